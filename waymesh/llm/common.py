@@ -56,3 +56,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: dict[np.uint64, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept for the next call."""
+    if base not in _powers or _powers[base].size < n:
+        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x[0] = 1
+        _powers[base] = np.multiply.accumulate(x)
+    return _powers[base][:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of the bytes, one more entry than bytes; see span_hash."""
+    sums = np.zeros(data.size + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, data.size), out=sums[1:])
+    return sums
+
+
+def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    return mixed((sums[end] - sums[begin]) * powers(_UNBASE, sums.size)[begin])

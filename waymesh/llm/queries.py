@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality as _quality
 from . import simhash as _simhash
 from .common import table
 
@@ -21,3 +22,9 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return _quality.with_quality(documents, _quality.train(documents, table(spark, sf_dir, "labels")))
