@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing as _mixing
 from . import quality as _quality
 from . import simhash as _simhash
 from .common import table
@@ -28,3 +29,8 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return _quality.with_quality(documents, _quality.train(documents, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents"))
