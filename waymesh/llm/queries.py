@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
 from . import simhash as _simhash
@@ -34,3 +35,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_license_scan"] = _licenses.SCAN_SQL
