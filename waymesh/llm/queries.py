@@ -10,6 +10,7 @@ from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
 from . import simhash as _simhash
+from . import warc as _warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_license_scan"] = _licenses.SCAN_SQL
+
+
+@_query
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_warc_round_trip"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+last AS (SELECT d, max(page_id) AS last_id FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN last_id IS NOT NULL AND p.page_id IS DISTINCT FROM last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
+FROM p LEFT JOIN last ON p.d = last.d AND p.n >= 1000
+"""
