@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
+from . import repeats as _repeats
 from . import simhash as _simhash
 from . import warc as _warc
 from .common import table
@@ -59,3 +60,8 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN p.page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
 FROM p LEFT JOIN last ON p.d = last.d AND p.n >= 1000
 """
+
+
+@_query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
