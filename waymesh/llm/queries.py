@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import digests as _digests
 from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
@@ -65,3 +66,8 @@ FROM p LEFT JOIN last ON p.d = last.d AND p.n >= 1000
 @_query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests.edited_likeness(table(spark, sf_dir, "documents"))
