@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import digests as _digests
+from . import html_text as _html_text
 from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
 from . import repeats as _repeats
 from . import simhash as _simhash
+from . import tokens as _tokens
 from . import warc as _warc
 from .common import table
 
@@ -71,3 +73,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = _tokens.VOCABULARY) -> DataFrame:
+    return _tokens.with_token_counts(table(spark, sf_dir, "documents"), _tokens.Counter(_tokens.unigram_pieces(vocabulary)))
