@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as _decontaminate
 from . import digests as _digests
 from . import html_text as _html_text
 from . import licenses as _licenses
@@ -83,3 +84,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = _tokens.VOCABULARY) -> DataFrame:
     return _tokens.with_token_counts(table(spark, sf_dir, "documents"), _tokens.Counter(_tokens.unigram_pieces(vocabulary)))
+
+
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
