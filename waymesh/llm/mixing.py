@@ -50,7 +50,7 @@ def _unit(*keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-def mix(documents: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, growth: float = GROWTH, most: float = MOST) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, growth: float = GROWTH, most: float = MOST) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's) and taken (words the mix takes, repeats counted).
 
     Null texts have size 0 and give nothing; a null source is a source of its own, a null id an id
@@ -59,7 +59,7 @@ def mix(documents: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEI
     gives no rows; other columns are not read."""
     spark = documents.sparkSession
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a key too
-    rows = written(documents.select("doc_id", key.alias("key"), words(F.col("text")).alias("size")), "sizes")
+    rows = written(documents.select(F.col(id_col).alias("doc_id"), key.alias("key"), words(F.col("text")).alias("size")), "sizes")
     sizes = {(r.key[1:] if r.key else None): r.n for r in rows.groupBy("key").agg(F.sum("size").alias("n")).collect()}
     goal = targets(sizes, weights, growth, most)
     total = sum(goal.values())
@@ -91,4 +91,4 @@ def mix(documents: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEI
     found = found.withColumn("last", F.col("first") + F.col("rest"))
     overlap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least("end", b) - F.greatest("begin", a))
     taken = F.col("rounds") * F.col("size") + overlap(F.col("first"), F.col("last")) + overlap(F.col("first") - F.col("tokens"), F.col("last") - F.col("tokens"))
-    return found.select("doc_id", "size", "source_size", "target", F.least(taken, F.floor(F.col("size") * F.lit(float(most)))).cast("long").alias("taken"))
+    return found.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.least(taken, F.floor(F.col("size") * F.lit(float(most)))).cast("long").alias("taken"))

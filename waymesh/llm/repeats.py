@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import byte_view, prefix_hash, removed, span_hash, written
 from .induced import common_prefixes, suffix_array
@@ -182,7 +182,7 @@ def _shards(length: int):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends n_bytes, n_removed, n_spans and the bytes that stay; text and ranges (struct of begin and end) come last."""
+    """Appends n_bytes, n_removed, n_spans, the hash of the bytes that stay, and them; text and ranges (struct of begin and end) come last."""
     for batch in batches:
         names = batch.schema.names
         data, starts = byte_view(batch.column(len(names) - 2))
@@ -245,3 +245,9 @@ def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col:
     joined = rows.join(ranges, ["_id", "_tag"], "left").select("_kept", "_text", "_ranges")
     schema = f"_kept {joined.schema['_kept'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_kept, schema).select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+@F.arrow_udf(T.StringType())
+def whole_characters(kept: pa.Array) -> pa.Array:
+    """The kept bytes as text, without the remains of characters that a removed string's edge cut in two."""
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())

@@ -165,16 +165,30 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, fp, root (one fingerprint of the group) and component_id of every row."""
+    rows = written(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), simhash(F.col(text_col)).alias("fp")), "simhash")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprints")
+    links = postings(distinct).repartition("list").sortWithinPartitions("list").mapInArrow(_links, "a long, b long")
+    root = components(written(links, "links")).withColumnRenamed("node", "fp")
+    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(rooted, "fp")
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of at most four bits.
 
     Null and empty texts have fingerprint zero and link like any other. A null id takes part in its
     group, which is named by its smallest id that is not null. Repeated rows give repeated rows; an
     empty table gives none. Other columns are not read."""
-    rows = written(df.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprints")
-    links = postings(distinct).repartition("list").sortWithinPartitions("list").mapInArrow(_links, "a long, b long")
-    root = components(written(links, "links")).withColumnRenamed("node", "fp")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(rooted, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(df, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, one of each near-duplicate group: that with the smallest id, a null id counting as largest, and of equal ids that with the smallest hash of its text."""
+    groups = _grouped(df, id_col, text_col)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
+    first = first.select(F.coalesce(F.col("first.id"), F.col("first.text_hash")).alias("_id"), F.col("first.text_hash").alias("_hash"))
+    keyed = df.withColumns({"_hash": F.xxhash64(text_col), "_id": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))})
+    return keyed.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*df.columns)
