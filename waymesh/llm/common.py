@@ -11,6 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python are bounded by bytes, so that long texts do not add up; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 128
 #: Bytes of text in one suffix array, about, and of one batch of texts whose windows are hashed together.
-SHARD, PIECE = 4 << 20, 2 << 20
+SHARD, PIECE = 2 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
