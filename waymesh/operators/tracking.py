@@ -172,6 +172,7 @@ class Tracker:
         p[:, 0, 0] = p[:, 1, 1] = 1
         if not self.compat:
             x[:, :2] = dets[:, :2]
+            p[:, :2, :2] = dets[:, [5, 6, 6, 7]].reshape(-1, 2, 2)
         self.x, self.p = np.concatenate((self.x, x)), np.concatenate((self.p, p))
         self.boxes = np.concatenate((self.boxes, dets[:, 2:5]))
         self.steps, self.seen, self.updated = np.append(self.steps, np.zeros(n, int)), np.append(self.seen, np.full(n, t)), np.append(self.updated, np.full(n, t))

@@ -1 +1,3 @@
+"""Queries; importing the package registers them all."""
 
+from . import perception, sensing, tracks  # noqa: F401

@@ -20,5 +20,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-from . import perception, sensing, tracks  # noqa: E402, F401  they register their queries

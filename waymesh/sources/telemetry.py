@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TELEMETRY = "run_id int, frame int, t double, object_id string, object_type string, front_x double, front_y double, speed double, angle_deg double, length double, width double"
 FRAMES_A_RUN, SLOTS = 200, 20
+#: Milliseconds of a frame, and of the first one: not the epoch, where a stream's first watermark stands and after which rows must come.
+FRAME_MS, FIRST_MS = 100, 100
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -20,7 +22,7 @@ def read_stream(spark: SparkSession, path: str, kind: str = "parquet", files_a_b
 
 
 def with_time(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("ts", F.timestamp_millis(F.col("frame").cast("long") * 100))
+    return rows.withColumn("ts", F.timestamp_millis(F.col("frame").cast("long") * FRAME_MS + FIRST_MS))
 
 
 def from_events(events: DataFrame) -> DataFrame:

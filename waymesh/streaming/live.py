@@ -10,6 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from waymesh.operators import safety
 from waymesh.operators.tracking import INPUT, TRACKS, Tracker, table_of
+from waymesh.sources.telemetry import FIRST_MS, FRAME_MS
 
 LATE = "1 second"
 
@@ -30,11 +31,11 @@ class TrackingProcessor(StatefulProcessor):
             part = part[INPUT[2:]].astype(object).where(part[INPUT[2:]].notna(), None)
             self.held.appendList([tuple(r) for r in part.itertuples(index=False)])
             for frame in sorted(set(part["frame"])):
-                self.handle.registerTimer(int(frame) * 100)
+                self.handle.registerTimer(int(frame) * FRAME_MS + FIRST_MS)
         yield pd.DataFrame(columns=[c.split()[0] for c in TRACKS.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() // 100
+        upto = (expiredTimerInfo.getExpiryTimeInMs() - FIRST_MS) // FRAME_MS
         held = pd.DataFrame([tuple(r) for r in self.held.get()], columns=INPUT[2:])
         due = held[held["frame"] <= upto]
         if len(due):
@@ -65,5 +66,5 @@ def live_tracks(detections: DataFrame, cleanup: float = 0.3, compat: bool = True
 def live_violations(pairs: DataFrame, late: str = LATE) -> DataFrame:
     """Violations of each run, platform and frame of a stream of ego pairs, in tumbling windows of one frame."""
     counts = [F.count_if(safety.breaks_envelope(F.col("rho"), F.col("decel_min"))).alias("envelope"), F.count_if(safety.will_collide()).alias("ttc")]
-    found = pairs.withWatermark("ts", late).groupBy(F.window("ts", "100 milliseconds"), "run_id", "ego_id").agg(*counts)
-    return found.select("run_id", F.col("ego_id"), F.floor(F.unix_millis("window.start") / 100).cast("int").alias("frame"), "envelope", "ttc")
+    found = pairs.withWatermark("ts", late).groupBy(F.window("ts", f"{FRAME_MS} milliseconds"), "run_id", "ego_id").agg(*counts)
+    return found.select("run_id", F.col("ego_id"), F.floor((F.unix_millis("window.start") - FIRST_MS) / FRAME_MS).cast("int").alias("frame"), "envelope", "ttc")
