@@ -35,6 +35,7 @@ RUNNING = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd td figcaption".spl
 CONTAINERS = frozenset("html body article main section div td blockquote center".split())
 #: Characters from which text that stands bare in a container counts as running, and the share of links from which text does not.
 BARE, LINKED = 80, 0.5
+SALTS = 32
 
 
 class _Node:
@@ -253,5 +254,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html is empty and gives an empty text. Pages without a host share one vote. Repeated rows
     and null ids stay; an empty table gives no rows; other columns are not read."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(consensus_paths(pages), "host", "left").select("page_id", "url", "html", "path")
+    # Pages of one host go to SALTS tasks; the paths, a row a host, to each of them.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
+    paths = consensus_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
