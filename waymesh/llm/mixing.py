@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import written
 
 WEIGHTS, GROWTH, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 #: Seats of a shard for each source in the corpus, and at least.
-SEATS_A_SOURCE, LEAST_SEATS = 64, 4096
+SEATS_A_SOURCE, LEAST_SEATS = 64, 2048
 
 
 def words(text: Column) -> Column:
