@@ -53,7 +53,7 @@ def test_each_stage_on_its_own_input(spark, corpus):
     assert kept.columns == P.COLUMNS and 0 < kept.count() <= n - 5
     groups = {(r.fingerprint if r.component_id is None else r.component_id) for r in simhash.near_duplicate_groups(docs).collect()}
     assert P.simhash_near_duplicates(spark, docs, sf).count() == len(groups)
-    cut = {(r.doc_id, r.n_removed > 0): r.kept for r in repeats.without_repeats(docs).collect()}
+    cut = {(r.doc_id, r.n_removed > 0): r.kept for r in repeats.without_repeats(docs, length=P.REPEAT_BYTES, gram=P.REPEAT_GRAM).collect()}
     for r in P.suffix_array_dedup(spark, docs, sf).collect():
         assert r.text in {bytes(x).decode("utf-8", "ignore") for (i, _), x in cut.items() if i == r.doc_id}
     leaked = {r.doc_id for r in decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}

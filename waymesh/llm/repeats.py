@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_view, prefix_hash, removed, span_hash, written
+from .common import byte_view, fresh_dir, prefix_hash, removed, span_hash, written
 from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 128
 #: Bytes of text in one suffix array, about, and of one batch of texts whose windows are hashed together.
-SHARD, PIECE = 2 << 20, 1 << 19
+SHARD, PIECE = 1 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -181,41 +181,49 @@ def _shards(length: int):
     return shard
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(as_text: bool):
     """Appends n_bytes, n_removed, n_spans, the hash of the bytes that stay, and them; text and ranges (struct of begin and end) come last."""
-    for batch in batches:
-        names = batch.schema.names
-        data, starts = byte_view(batch.column(len(names) - 2))
-        ranges = batch.column(len(names) - 1)
-        whole, rows = data.tobytes(), []
-        for i, found in enumerate(ranges.to_pylist()):
-            text = whole[starts[i] : starts[i + 1]]
-            stay, at, gone, spans = [], 0, 0, 0
-            for x, y in sorted((r["begin"], r["end"]) for r in found or ()):
-                if x > at or not spans:
-                    stay.append(text[at:x])
-                    spans += 1
-                    at = x
-                if y > at:
-                    gone += y - at
-                    at = y
-            stay.append(text[at:])
-            rows.append((len(text), gone, spans, b"".join(stay)))
-        n, gone, spans, stay = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stay], pa.string()), pa.array(stay, pa.binary())],
-            [*names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            data, starts = byte_view(batch.column(len(names) - 2))
+            ranges = batch.column(len(names) - 1)
+            whole, rows = data.tobytes(), []
+            for i, found in enumerate(ranges.to_pylist()):
+                text = whole[starts[i] : starts[i + 1]]
+                stay, at, gone, spans = [], 0, 0, 0
+                for x, y in sorted((r["begin"], r["end"]) for r in found or ()):
+                    if x > at or not spans:
+                        stay.append(text[at:x])
+                        spans += 1
+                        at = x
+                    if y > at:
+                        gone += y - at
+                        at = y
+                stay.append(text[at:])
+                rows.append((len(text), gone, spans, b"".join(stay)))
+            n, gone, spans, stay = zip(*rows, strict=True) if rows else ((), (), (), ())
+            last = pa.array([x.decode("utf-8", "ignore") for x in stay], pa.string()) if as_text else pa.array(stay, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stay], pa.string()), last],
+                [*names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
+
+    return kept
 
 
 def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, tag, ranges) of the texts with bytes that a repeated string of `length` bytes covers; ranges may overlap."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(*_key(id_col, text), text.alias("text"))
-    every = written(rows.where(F.octet_length("text") >= length).mapInArrow(_stretches(length, gram), "id long, tag int, anchor long, content long, low int, windows int"), "stretches")
-    twice = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    spark = documents.sparkSession
+    path = fresh_dir(spark, "stretches")
+    every = written(rows.where(F.octet_length("text") >= length).mapInArrow(_stretches(length, gram), "id long, tag int, anchor long, content long, low int, windows int"), "stretches", path)
+    # Written, so that the join has plain exchanges on both sides: then a hot anchor's rows are split over tasks.
+    twice = written(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     held = written(every.join(twice, "anchor"), "held")
-    removed(documents.sparkSession, every.inputFiles()[0].rpartition("/")[0]) if not held.isEmpty() else None
+    removed(spark, path)  # only what is held is read from here on
 
     one = F.struct("id", "tag", "low", "windows")
     different = held.groupBy("anchor", "content").agg(F.min(one).alias("one"), F.count("*").alias("often"))
@@ -230,8 +238,10 @@ def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return ranges.groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
 
 
-def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per input row: the kept columns (the id unless named), n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes.
+def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """One row per input row: the kept columns (the id unless named), n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay.
+
+    As text, kept is without the remains of characters that a removed string's edge cut in two.
 
     Every byte that a string of `length` bytes covers which also starts anywhere else goes, in all
     places where it stands. Null counts as empty. Rows with the same id or none are texts like any
@@ -244,10 +254,7 @@ def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col:
     rows = documents.select(*_key(id_col, text), text.alias("_text"), kept).withColumnsRenamed({"id": "_id", "tag": "_tag"})
     joined = rows.join(ranges, ["_id", "_tag"], "left").select("_kept", "_text", "_ranges")
     schema = f"_kept {joined.schema['_kept'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_kept, schema).select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-
+    if as_text:
+        schema = schema.removesuffix("binary") + "string"
+    return joined.mapInArrow(_kept(as_text), schema).select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
-@F.arrow_udf(T.StringType())
-def whole_characters(kept: pa.Array) -> pa.Array:
-    """The kept bytes as text, without the remains of characters that a removed string's edge cut in two."""
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
