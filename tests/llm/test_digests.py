@@ -82,3 +82,16 @@ def test_one_row_and_none(spark):
     df = spark.createDataFrame([(4, "abc" * 50)], "doc_id long, text string")
     assert [(r.near_next, r.n_chars) for r in D.edited_likeness(df).collect()] == [(1.0, 150)]
     assert D.edited_likeness(df.where("false")).collect() == []
+
+
+def test_texts_without_a_feature_differ():
+    rng = random.Random(9)
+    raw = [("T" + "".join(rng.choices("abcdefg hi", k=rng.randint(63, 99)))).encode() for _ in range(300)] + [b"T" + b"abc" * 30, b"T" + b"abd" * 30, b"T" * 80]
+    rank = D.ranks(D.level_counts(*joined(raw)))
+    found = D.digests_of(raw, rank)
+    assert len({D.fingerprint(d) for d in found}) == len(set(raw))
+    assert [D.fingerprint(D.digests_of([t], rank)[0]) for t in raw] == [D.fingerprint(d) for d in found]
+    bare = [i for i, t in enumerate(raw[:300]) if len(t) < 70]
+    assert all(D.likeness(found[i], found[j]) < 0.5 for i in bare for j in bare if i < j)
+    x = raw[bare[0]]
+    assert 0.5 < D.likeness(found[bare[0]], D.digests_of([x[:-1] + b"X"], rank)[0]) < 1

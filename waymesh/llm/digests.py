@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_view, mixed
+from .common import byte_view, mixed, prefix_hash, span_hash
 
 WINDOW, AROUND, POINTS = 32, 32, 8
 BITS, HASHES, FEATURES = 2048, 5, 160
-#: Texts with fewer bytes than a window and a neighbourhood take all of their windows of this size.
+#: Texts with fewer bytes than a window and a neighbourhood take all of their windows of this size; digests of other texts without a feature the different ones.
 SMALL = 8
 _SCALE = 1 << 16
 PIECE = 1 << 18
@@ -72,8 +72,17 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text and the hash of every feature, in order of place."""
+def _small_windows(text: np.ndarray) -> np.ndarray:
+    text = np.concatenate((text, np.zeros(max(0, SMALL - text.size), np.uint8)))
+    grams = np.lib.stride_tricks.sliding_window_view(text, SMALL).copy().view(np.uint64)[:, 0]
+    return mixed(grams ^ np.uint64(SMALL))
+
+
+def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of every feature, in order of place.
+
+    A text in which no window has enough points has a single one, of all its bytes; or, if small,
+    its different small windows, so that parts of it can be compared."""
     found_text, found_hash = [], []
     levels = entropy_levels(data)
     lengths = np.diff(starts)
@@ -94,25 +103,26 @@ def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> tuple[np
         found_hash.append(h)
     short = np.flatnonzero((lengths > 0) & (lengths < WINDOW + AROUND))
     for i in short.tolist():
-        text = data[starts[i] : starts[i + 1]]
-        text = np.concatenate((text, np.zeros(max(0, SMALL - text.size), np.uint8)))
-        grams = np.lib.stride_tricks.sliding_window_view(text, SMALL).copy().view(np.uint64)[:, 0]
-        found_text.append(np.full(grams.size, i))
-        found_hash.append(mixed(grams ^ np.uint64(SMALL)))
+        h = _small_windows(data[starts[i] : starts[i + 1]])
+        found_text.append(np.full(h.size, i))
+        found_hash.append(h)
     if not found_text:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text, h = np.concatenate(found_text), np.concatenate(found_hash)
-    bare = np.setdiff1d(np.flatnonzero(lengths > 0), text)  # only flat windows: the first one stands for all
-    if bare.size:
-        text = np.concatenate((text, bare))
-        h = np.concatenate((h, mixed(data[starts[bare]].astype(np.uint64) + np.uint64(1 << 32))))
+    bare = np.setdiff1d(np.flatnonzero(lengths > 0), text)
+    if bare.size and small:
+        grams = [_small_windows(data[starts[i] : starts[i + 1]]) for i in bare.tolist()]
+        grams = [g[np.sort(np.unique(g, return_index=True)[1])] for g in grams]
+        text, h = np.concatenate((text, np.repeat(bare, [g.size for g in grams]))), np.concatenate((h, *grams))
+    elif bare.size:
+        text, h = np.concatenate((text, bare)), np.concatenate((h, span_hash(prefix_hash(data), starts[bare], starts[bare + 1])))
     order = np.argsort(text, kind="stable")
     return text[order], h[order]
 
 
 def digests(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     """Of each text, the chained filters as rows of BITS / 8 bytes; no rows for an empty text."""
-    text, h = features(data, starts, rank)
+    text, h = features(data, starts, rank, small=True)
     n = starts.size - 1
     count = np.bincount(text, minlength=n)
     first = np.cumsum(count) - count
