@@ -93,3 +93,23 @@ def test_verbatim_items_of_the_sample_are_found(spark):
     items = [(r.item_id, " ".join(D.words(r.text))) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = [(r.doc_id, " ".join(D.words(r.text))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got >= {(d, i) for d, t in docs for i, x in items if f" {x} " in f" {t} "} and got
+
+
+def test_whole_long_items_and_numbers(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvw", k=6))
+    item = [word() for _ in range(5000)]
+    question, other = "how many of the grey boats came back that evening", " ".join(word() for _ in range(200))
+    bench = [(1, " ".join(item)), (2, question + " 4711 815 29 63"), (3, "12 + 34 = 46; 46 - 17 = 29"), (4, "what is 7919 * 6841 - 5501")]
+    docs = [
+        (1, other + " " + " ".join(item)),
+        (2, " ".join(item[2000:])),  # 60 % of its words, the last included
+        (3, " ".join(item[:4096]) + " " + other * 3),  # what was once the whole query, without the answer
+        (4, question + " 4711 815 29 63"),
+        (5, question + " 1 2 3 4"),
+        (6, "see 12 + 34 = 46; 46 - 17 = 29 here"),
+        (7, "and what is " + other),
+        (8, other),
+    ]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 2), (6, 3)}

@@ -7,7 +7,7 @@ cosine. What comes near is checked in the text: the longest common subsequence o
 and of stretches about as long there, and by itself that of the item's answer, its last words.
 
 The benchmark is the query set. It is searched in blocks of items, so that what tasks share (terms
-of a block by latent dimensions) has a fixed bound whatever the benchmark's size."""
+of a block by latent dimensions) is bounded by the length of its items, whatever the benchmark's size."""
 
 from __future__ import annotations
 
@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Items searched at a time, words of a passage at most, and words of an item that are read as the query.
-BLOCK, PASSAGE, ITEM_WORDS = 256, 48, 4096
+WORD = re.compile(r"[^\W_]+")
+#: Items searched at a time, and words of a passage at most.
+BLOCK, PASSAGE = 256, 48
+#: Longer items are checked once for all places of a fifth of their length, not at each.
+LONG_ITEM = 8 * PASSAGE
 #: Words of a step and steps of a window of a document.
 STEP, STEPS = 16, 4
 #: Latent dimensions at most, the share of energy they keep, and further dimensions of the sketch.
@@ -71,7 +73,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
     dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(many, 1))).alias("block"))
     for k in range(many):
         rows = dealt.where(F.col("block") == k).select("item_id", "text").distinct().collect()
-        items = [(r.item_id, w) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or "")) if (w := words(r.text)[:ITEM_WORDS])]
+        items = [(r.item_id, w) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or "")) if (w := words(r.text))]
         if not items:
             continue
         passages = []
@@ -157,11 +159,11 @@ def index(spark: SparkSession, block: Block, documents: DataFrame, text_col: str
     return Index(block, (vectors * weight[:, None]).astype(np.float32), (latent / lengths[:, None]).astype(np.float32), lengths.astype(np.float32), [dict(zip(t, np.square(w).tolist(), strict=True)) for t, w in rows])
 
 
-def _checked(item: list[str], text: list[str], at: int) -> tuple[float, float]:
-    """The best share of the item, and with it of its answer, that stretches near a place have as a common subsequence."""
+def _checked(item: list[str], text: list[str], at: int, reach: int = 0) -> tuple[float, float]:
+    """The best share of the item, and with it of its answer, that stretches near a place, or one of the `reach` after it, have as a common subsequence."""
     n = len(item)
     answer = item[-max(3, math.ceil(n * ANSWER_WORDS)) :]
-    near = text[max(0, at - n) : at + STEP * STEPS + n]
+    near = text[max(0, at - n) : at + reach + STEP * STEPS + n]
     size, step, best = math.ceil(1.3 * n) + 4, max(1, n // 5), (0.0, 0.0)
     known = set(item)
     marks = [w in known for w in near]
@@ -231,6 +233,7 @@ def leaks_of(found: Index, texts: list[str | None]) -> list[tuple[int, int, floa
             r, p = np.nonzero(along >= WEIGHT * found.lengths)
             cosine = along[r, p] / norm[heavy[r]]
             near = cosine >= COSINE
+            done: set[tuple[int, int, int]] = set()
             present = lru_cache(1)(lambda r: set(ids[r * STEP : (r + STEPS) * STEP].tolist()))  # noqa: B023
             for r, p, c in zip(heavy[r[near]].tolist(), p[near].tolist(), cosine[near].tolist(), strict=True):
                 weights = found.weights[p]
@@ -238,7 +241,14 @@ def leaks_of(found: Index, texts: list[str | None]) -> list[tuple[int, int, floa
                     continue  # near in the latent space only
                 i, item = a + bisect_right(first, r) - 1, found.block.passages[p][0]
                 place = max(0, r - first[i - a]) * STEP
-                share, answer = _checked(found.block.items[item][1], split[i], place)
+                reach, asked = 0, found.block.items[item][1]
+                if len(asked) > LONG_ITEM:
+                    reach = len(asked) // 5
+                    place -= place % reach
+                    if (i, item, place) in done:
+                        continue
+                    done.add((i, item, place))
+                share, answer = _checked(asked, split[i], place, reach)
                 if share >= COMMON and answer >= ANSWER and share > out.get((i, item), (0, 0, 0))[1]:
                     out[i, item] = (c, share, answer)
         a = b
