@@ -77,3 +77,22 @@ def test_suffix_arrays_and_common_prefixes():
             while max(i, j) + m < x.size and x[i + m] == x[j + m]:
                 m += 1
             assert (before[i], common[i]) == (j, m)
+
+
+def test_texts_longer_than_the_places_of_anchors(monkeypatch):
+    rng = random.Random(6)
+    again = "".join(rng.choices("abcdefgh", k=90))
+    strings = ["".join(rng.choices("abcdefgh", k=n)) for n in (40, 900, 0, 3000, 61)]
+    strings[3] = strings[3][:200] + again + strings[3][200:2500] + again + strings[3][2500:]
+    data, starts = np.frombuffer("".join(strings).encode(), np.uint8), np.cumsum([0, *map(len, strings)])
+
+    def of_windows():
+        text, anchor, place, low, high = R.anchors(data, starts, 60, 20)
+        return {(t, s): (a, p) for t, a, p, x, y in zip(text.tolist(), anchor.tolist(), place.tolist(), low.tolist(), high.tolist(), strict=True) for s in range(x, y + 1)}
+
+    for bits in (9, 24):
+        monkeypatch.setattr(R, "_PLACE", np.uint64((1 << bits) - 1))
+        got = of_windows()
+        assert got.keys() == {(t, s) for t, x in enumerate(strings) for s in range(len(x) - 59)}
+        assert all(s <= p <= s + 40 for (_, s), (_, p) in got.items())
+        assert all(got[3, 200 + k][0] == got[3, 2590 + k][0] for k in range(31))

@@ -31,7 +31,22 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
 
     Returns, for each run of windows with one anchor, the text, the anchor's hash and place, and the
     first and last window start, as places in the text. The anchor depends on the window's bytes
-    only, so equal windows have equal anchors at the same distance."""
+    only, so equal windows have equal anchors at the same distance. Data of any size are worked
+    through in pieces whose places fit _PLACE; a run ends where a piece does."""
+    most = min(int(_PLACE) + 1, 4 * PIECE)
+    if data.size <= most:
+        return _anchors(data, starts, length, gram)
+    parts, step = [], most - length + 1
+    for a in range(0, data.size - length + 1, step):
+        b = min(a + most, data.size)
+        first, last = int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b))
+        text, anchor, *places = _anchors(data[a:b], np.clip(starts[first : last + 1], a, b) - a, length, gram)
+        text += first
+        parts.append((text, anchor, *(x + np.maximum(a - starts[text], 0) for x in places)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     size, width = data.size, length - gram + 1
     if size < length:
