@@ -96,3 +96,26 @@ def test_texts_longer_than_the_places_of_anchors(monkeypatch):
         assert got.keys() == {(t, s) for t, x in enumerate(strings) for s in range(len(x) - 59)}
         assert all(s <= p <= s + 40 for (_, s), (_, p) in got.items())
         assert all(got[3, 200 + k][0] == got[3, 2590 + k][0] for k in range(31))
+
+
+def test_hot_anchors_are_not_taken_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARD", 2000)
+
+    def _shards(length, real=R._shards):
+        def shard(group):
+            by = {}
+            for a, x in zip(group.column("anchor").to_pylist(), group.column("bytes").to_pylist(), strict=True):
+                by[a] = by.get(a, 0) + len(x)
+            assert max(by.values()) <= R.HOT * R.SHARD
+            return real(length)(group)
+
+        return shard
+
+    monkeypatch.setattr(R, "_shards", _shards)
+    rng = random.Random(3)
+    word = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(n))
+    footer, wide = word(8)[:40], word(20)
+    rows = [(i, word(20) + footer + word(20)) for i in range(150)] + [(200 + i, word(20) + wide + word(20)) for i in range(150)]
+    rows += [(400, rows[0][1]), (401, rows[1][1][20:-20]), (402, footer * 9), (403, rows[2][1][:150]), (None, wide)]
+    got = R.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, gram=20).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 60)

@@ -24,6 +24,8 @@ LENGTH, GRAM = 400, 128
 #: Bytes of text in one suffix array, about, and of one batch of texts whose windows are hashed together.
 SHARD, PIECE = 1 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
+#: An anchor whose different stretches have more bytes than so many shards is not taken by one.
+HOT = 2
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -106,20 +108,20 @@ def _stretches(length: int, gram: int):
 
 
 def _cut(length: int):
-    """The bytes of the asked stretches of each text."""
+    """The bytes of the asked stretches of each text, and whether their anchor is a hot one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = byte_view(batch.column(0))
             asked = batch.column(1)
             text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            fields = dict(zip(("anchor", "content", "low", "windows", "often"), asked.flatten().flatten(), strict=True))
+            fields = dict(zip(("anchor", "content", "low", "windows", "often", "hot"), asked.flatten().flatten(), strict=True))
             begin = starts[text] + fields["low"].to_numpy()
             size = fields["windows"].to_numpy() + length - 1
             whole = data.tobytes()
             cuts = [whole[x : x + n] for x, n in zip(begin.tolist(), size.tolist(), strict=True)]
             for a in range(0, max(len(cuts), 1), 20_000):
-                yield pa.RecordBatch.from_arrays([*(fields[k][a : a + 20_000] for k in ("anchor", "content", "often")), pa.array(cuts[a : a + 20_000], pa.binary())], ["anchor", "content", "often", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(fields[k][a : a + 20_000] for k in ("anchor", "content", "often", "hot")), pa.array(cuts[a : a + 20_000], pa.binary())], ["anchor", "content", "often", "hot", "bytes"])
 
     return cut
 
@@ -196,6 +198,50 @@ def _shards(length: int):
     return shard
 
 
+def _window_hashes(length: int):
+    """A row for each window of a stretch: its hash and place. Batches hold the bytes of at most PIECE and a stretch."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = byte_view(batch.column(2))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
+                part, begin = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+                windows = np.diff(begin) - length + 1
+                row = np.repeat(np.arange(b - a), windows)
+                place = np.arange(row.size) - np.repeat(np.cumsum(windows) - windows, windows)
+                at = begin[row] + place
+                found = span_hash(prefix_hash(part), at, at + length)
+                rows = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.view(np.int64)), pa.array(place.astype(np.int32))], ["anchor", "content", "window", "place"])
+                a = b
+
+    return hashes
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of places that follow each other, from the places of each stretch."""
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for anchor, content, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            x = np.unique(np.array(places, np.int64))
+            cuts = np.flatnonzero(np.diff(x) > 1)
+            out += [(anchor, content, a, b + 1) for a, b in zip(x[np.append(0, cuts + 1)].tolist(), x[np.append(cuts, x.size - 1)].tolist(), strict=True)]
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "content", "first", "stop"])
+
+
+def _of_hot(hot: DataFrame, length: int) -> DataFrame:
+    """What the shards give, for stretches of anchors with too many bytes for one: windows are counted by hash over all tasks, so no task holds an anchor's stretches."""
+    windows = written(hot.select("anchor", "content", "bytes").mapInArrow(_window_hashes(length), "anchor long, content long, window long, place int"), "windows")
+    # A window repeats if two stretches have it, one has it twice, or its stretch stands in two places.
+    twice = windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
+    places = windows.join(written(twice, "windows"), ["anchor", "window"]).groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
+    whole = hot.where("often > 1").select("anchor", "content", F.lit(0).alias("first"), (F.octet_length("bytes") - length + 1).alias("stop"))
+    return places.mapInArrow(_runs, "anchor long, content long, first int, stop int").unionByName(whole)
+
+
 def _kept(as_text: bool):
     """Appends n_bytes, n_removed, n_spans, the hash of the bytes that stay, and them; text and ranges (struct of begin and end) come last."""
 
@@ -242,11 +288,19 @@ def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     one = F.struct("id", "tag", "low", "windows")
     different = held.groupBy("anchor", "content").agg(F.min(one).alias("one"), F.count("*").alias("often"))
-    asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.windows").alias("windows"), "often")).alias("asked"))
-    cut = rows.join(asked, ["id", "tag"]).select("text", "asked").mapInArrow(_cut(length), "anchor long, content long, often long, bytes binary")
+    hot = different.groupBy("anchor").agg(F.sum(F.col("one.windows") + length - 1).alias("size")).where(F.col("size") > HOT * SHARD)
+    hot = written(hot.select("anchor", F.lit(True).alias("hot")), "hot")
+    some_hot = not hot.isEmpty()
+    different = different.join(hot, "anchor", "left") if some_hot else different.withColumn("hot", F.lit(None).cast("boolean"))
+    asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.windows").alias("windows"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    cut = rows.join(asked, ["id", "tag"]).select("text", "asked").mapInArrow(_cut(length), "anchor long, content long, often long, hot boolean, bytes binary")
+    if some_hot:
+        cut = written(cut, "cut")
     size = held.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    found = cut.groupBy(F.pmod("anchor", F.lit(shards)).alias("shard")).applyInArrow(_shards(length), "anchor long, content long, first int, stop int")
+    found = cut.where("not hot").drop("hot").groupBy(F.pmod("anchor", F.lit(shards)).alias("shard")).applyInArrow(_shards(length), "anchor long, content long, first int, stop int")
+    if some_hot:
+        found = found.unionByName(_of_hot(cut.where("hot"), length))
     found = found.dropDuplicates()
     back = held.join(found, ["anchor", "content"])
     ranges = back.select("id", "tag", F.struct((F.col("low") + F.col("first")).alias("begin"), (F.col("low") + F.col("stop") + length - 1).alias("end")).alias("range"))
