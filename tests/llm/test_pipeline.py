@@ -69,3 +69,12 @@ def test_empty_table(spark, corpus):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_passages_of_short_words_go(spark, corpus):
+    sf, *_ = corpus
+    rng = random.Random(2)
+    words = lambda n, m: " ".join("".join(rng.choices("abcdefghik", k=rng.randint(1, m))) for _ in range(n))
+    passage = words(51, 4)
+    docs = spark.createDataFrame([(i, f"{words(80, 9)} {passage} {words(80, 9)}", "en", "s", 0) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(passage) < 200 and all(passage not in r.text and len(r.text) > 500 for r in P.suffix_array_dedup(spark, docs, sf).collect())

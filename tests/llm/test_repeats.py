@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -101,13 +102,13 @@ def test_texts_longer_than_the_places_of_anchors(monkeypatch):
 def test_hot_anchors_are_not_taken_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(R, "SHARD", 2000)
 
-    def _shards(length, real=R._shards):
+    def _shards(length, words=0, real=R._shards):
         def shard(group):
             by = {}
             for a, x in zip(group.column("anchor").to_pylist(), group.column("bytes").to_pylist(), strict=True):
                 by[a] = by.get(a, 0) + len(x)
             assert max(by.values()) <= R.HOT * R.SHARD
-            return real(length)(group)
+            return real(length, words)(group)
 
         return shard
 
@@ -119,3 +120,30 @@ def test_hot_anchors_are_not_taken_by_one_task(spark, monkeypatch):
     rows += [(400, rows[0][1]), (401, rows[1][1][20:-20]), (402, footer * 9), (403, rows[2][1][:150]), (None, wide)]
     got = R.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, gram=20).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 60)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages_by_words(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(R, "SHARD", 300)
+    rng = random.Random(5)
+    word = lambda n, m: " ".join("".join(rng.choices("abcdefé", k=rng.randint(1, m))) for _ in range(n))
+    short, cut, long = word(51, 3), word(50, 3), word(60, 9)
+    rows = [(i, word(40, 9) + "\n" * (1 + i % 2) + p + " " + word(30, 9)) for i, p in enumerate([short, cut, long] * 12)]
+    rows += [(100, short), (101, short.replace(" ", "  ", 1)), (102, "x" + short + "y"), (103, " " + short + "  " + short), (104, "a b " * 80), (105, None), (106, " \n "), (107, short + "\t" + word(3, 2)), (107, word(200, 2))]
+    got = R.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=300, gram=96, words=51).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    texts = [(t or "").encode() for _, t in rows]
+    spans = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    windows = [[(s[k][0], s[k + 50][1]) for k in range(len(s) - 50)] + [(k, k + 300) for k in range(len(t) - 299)] for t, s in zip(texts, spans, strict=True)]
+    of_words = Counter(t[x:y] for t, s in zip(texts, spans, strict=True) for x, y in [(s[k][0], s[k + 50][1]) for k in range(len(s) - 50)])
+    of_bytes = Counter(t[k : k + 300] for t in texts for k in range(len(t) - 299))
+    want = []
+    for (i, _), t, s, every in zip(rows, texts, spans, windows, strict=True):
+        gone, n = bytearray(len(t)), max(0, len(s) - 50)
+        for k, (x, y) in enumerate(every):
+            if (of_words if k < n else of_bytes)[t[x:y]] > 1:
+                gone[x:y] = b"\1" * (y - x)
+        want.append((i, len(t), sum(gone), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    removed = {r.doc_id: r.n_removed for r in got}
+    assert len(short.encode()) < 300 and removed[0] == removed[100] == len(short.encode()) and removed[1] == 0

@@ -11,6 +11,7 @@ to all texts that hold the stretch."""
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,10 @@ from .induced import common_prefixes, suffix_array
 LENGTH, GRAM = 400, 128
 #: Bytes of text in one suffix array, about, and of one batch of texts whose windows are hashed together.
 SHARD, PIECE = 1 << 20, 1 << 19
+#: Words of the string that is the anchor of a window of words.
+GRAM_WORDS = 16
 _PLACE = np.uint64((1 << 24) - 1)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 #: An anchor whose different stretches have more bytes than so many shards is not taken by one.
 HOT = 2
 
@@ -81,12 +85,46 @@ def _anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tu
     return text, grams[place[first]], place[first] - base, valid[first] - base, valid[last] - base
 
 
+def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word of texts that stand end to end; words are apart by ASCII white space."""
+    space, some = _SPACE[data], np.diff(starts) > 0
+    before, after = np.concatenate(([True], space))[:-1], np.concatenate((space, [True]))[1:]
+    before[starts[:-1][some]] = after[starts[1:][some] - 1] = True
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def passages(data: np.ndarray, starts: np.ndarray, words: int, below: int) -> tuple[np.ndarray, ...]:
+    """As anchors, for windows from one word's begin to the end of that `words` - 1 further, as far as they have fewer than `below` bytes.
+
+    Returns, for each run of such windows with one anchor, the text, the anchor's hash, and begin and
+    size of the run's bytes. Each word but a text's last is a token with the white space after it."""
+    begin, end = word_spans(data, starts)
+    none = np.zeros(0, np.int64)
+    if begin.size < words:
+        return none, none.astype(np.uint64), none, none
+    text = np.searchsorted(starts, begin, side="right") - 1
+    count = np.bincount(text, minlength=starts.size - 1)
+    tokens = span_hash(prefix_hash(data), begin[:-1], begin[1:])[text[1:] == text[:-1]]
+    held, anchor, _, low, high = anchors(tokens, np.concatenate(([0], np.cumsum(np.maximum(count - 1, 0)))), words - 1, min(GRAM_WORDS, words - 1))
+    windows = high - low + 1
+    run = np.repeat(np.arange(windows.size), windows)
+    word = ((np.cumsum(count) - count)[held] + low)[run] + np.arange(run.size) - np.repeat(np.cumsum(windows) - windows, windows)
+    short = end[word + words - 1] - begin[word] < below
+    run, word = run[short], word[short]
+    if not run.size:
+        return none, none.astype(np.uint64), none, none
+    first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (word[1:] != word[:-1] + 1))))
+    last = np.append(first[1:], run.size) - 1
+    at = begin[word[first]]
+    return held[run[first]], anchor[run[first]], at - starts[held[run[first]]], end[word[last] + words - 1] - at
+
+
 def _key(id_col: str, text: Column) -> list[Column]:
     """What tells rows apart: the id (a hash of the text where it is null) and some more bits of the text, for repeated ids."""
     return [F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(7), text)).alias("id"), F.hash(text).alias("tag")]
 
 
-def _stretches(length: int, gram: int):
+def _stretches(length: int, gram: int, words: int):
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = byte_view(batch.column(2))
@@ -95,19 +133,24 @@ def _stretches(length: int, gram: int):
                 b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
                 part, begin = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
                 text, anchor, _, low, high = anchors(part, begin, length, gram)
+                size = high - low + length
+                if words:  # the last bit of an anchor tells windows of words from those of bytes
+                    anchor &= ~np.uint64(1)
+                    more = passages(part, begin, words, length)
+                    text, anchor, low, size = (np.concatenate(x) for x in zip((text, anchor, low, size), (more[0], more[1] | np.uint64(1), *more[2:]), strict=True))
                 at = begin[text] + low
-                content = span_hash(prefix_hash(part), at, begin[text] + high + length)
+                content = span_hash(prefix_hash(part), at, at + size)
                 rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(low.astype(np.int32)), pa.array((high - low + 1).astype(np.int32))],
-                    ["id", "tag", "anchor", "content", "low", "windows"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["id", "tag", "anchor", "content", "low", "size"],
                 )
                 a = b
 
     return stretches
 
 
-def _cut(length: int):
+def _cut():
     """The bytes of the asked stretches of each text, and whether their anchor is a hot one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +158,9 @@ def _cut(length: int):
             data, starts = byte_view(batch.column(0))
             asked = batch.column(1)
             text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            fields = dict(zip(("anchor", "content", "low", "windows", "often", "hot"), asked.flatten().flatten(), strict=True))
+            fields = dict(zip(("anchor", "content", "low", "size", "often", "hot"), asked.flatten().flatten(), strict=True))
             begin = starts[text] + fields["low"].to_numpy()
-            size = fields["windows"].to_numpy() + length - 1
+            size = fields["size"].to_numpy()
             whole = data.tobytes()
             cuts = [whole[x : x + n] for x, n in zip(begin.tolist(), size.tolist(), strict=True)]
             for a in range(0, max(len(cuts), 1), 20_000):
@@ -172,74 +215,104 @@ def _marked(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [marks[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
-def _shards(length: int):
+def _spans_of_words(string: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each window of words."""
+    begin, end = word_spans(np.frombuffer(string, np.uint8), np.array([0, len(string)]))
+    return begin[: begin.size - words + 1], end[words - 1 :]
+
+
+def _repeated_passages(strings: list[bytes], words: int) -> list[list[tuple[int, int]]]:
+    """For each string, the windows of words that stand twice in all of them, compared as they are."""
+    spans = [list(zip(*(x.tolist() for x in _spans_of_words(s, words)), strict=True)) for s in strings]
+    often = Counter(s[x:y] for s, found in zip(strings, spans, strict=True) for x, y in found)
+    return [[(x, y) for x, y in found if often[s[x:y]] > 1] for s, found in zip(strings, spans, strict=True)]
+
+
+def _table(out: list[tuple[int, int, int, int]]) -> list[pa.Array]:
+    columns = zip(*out, strict=True) if out else ((), (), (), ())
+    return [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+
+
+def _shards(length: int, words: int = 0):
+    """Of each stretch, begin and end of what stands twice."""
+
     def shard(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("anchor", "ascending"), ("content", "ascending")])
         anchor, content, often = (group.column(c).to_numpy() for c in ("anchor", "content", "often"))
         strings = group.column("bytes").to_pylist()
         size = np.cumsum([len(x) for x in strings])
         heads = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), anchor.size)
+        of_words = anchor & 1 == 1 if words else np.zeros(anchor.size, bool)
         out: list[tuple[int, int, int, int]] = []
         a = 0
         while a < anchor.size:
             limit = (size[a - 1] if a else 0) + SHARD
             fitting = heads[(heads > a) & (size[heads - 1] <= limit)]
             b = int(fitting[-1]) if fitting.size else int(heads[heads > a][0])
-            for i, marks in enumerate(_marked(strings[a:b], length), a):
-                if often[i] > 1:
-                    marks = np.zeros(len(marks), bool)
-                    marks[: len(marks) - length + 1] = True
+            found: dict[int, list[tuple[int, int]]] = {i: [(0, len(strings[i]))] for i in range(a, b) if often[i] > 1}
+            some = [i for i in range(a, b) if not of_words[i]]
+            for i, marks in zip(some, _marked([strings[i] for i in some], length) if some else (), strict=True):
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
-                out += [(int(anchor[i]), int(content[i]), x, y) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+                found.setdefault(i, list(zip(edges[::2].tolist(), (edges[1::2] + length - 1).tolist(), strict=True)))
+            some = [i for i in range(a, b) if of_words[i]]
+            for i, spans in zip(some, _repeated_passages([strings[i] for i in some], words), strict=True):
+                found.setdefault(i, spans)
+            out += [(int(anchor[i]), int(content[i]), x, y) for i in sorted(found) for x, y in found[i]]
             a = b
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "content", "first", "stop"])
+        return pa.table(_table(out), ["anchor", "content", "first", "stop"])
 
     return shard
 
 
-def _window_hashes(length: int):
-    """A row for each window of a stretch: its hash and place. Batches hold the bytes of at most PIECE and a stretch."""
+def _window_hashes(length: int, words: int):
+    """A row for each window of a stretch: its hash, begin and end. Batches hold the windows of at most PIECE bytes and a stretch."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = byte_view(batch.column(2))
+            of_words = batch.column(0).to_numpy() & 1 == 1 if words else np.zeros(batch.num_rows, bool)
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
                 part, begin = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-                windows = np.diff(begin) - length + 1
-                row = np.repeat(np.arange(b - a), windows)
-                place = np.arange(row.size) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = begin[row] + place
-                found = span_hash(prefix_hash(part), at, at + length)
+                spans = []
+                for i, (x, y) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                    place = np.arange(y - x - length + 1)
+                    spans.append(_spans_of_words(part[x:y].tobytes(), words) if of_words[a + i] else (place, place + length))
+                row = np.repeat(np.arange(b - a), [x.size for x, _ in spans])
+                first, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
+                found = span_hash(prefix_hash(part), begin[row] + first, begin[row] + stop)
                 rows = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.view(np.int64)), pa.array(place.astype(np.int32))], ["anchor", "content", "window", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32))], ["anchor", "content", "window", "first", "stop"])
                 a = b
 
     return hashes
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of places that follow each other, from the places of each stretch."""
+    """Of each stretch, its windows as spans that do not overlap."""
     for batch in batches:
         out: list[tuple[int, int, int, int]] = []
-        for anchor, content, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            x = np.unique(np.array(places, np.int64))
-            cuts = np.flatnonzero(np.diff(x) > 1)
-            out += [(anchor, content, a, b + 1) for a, b in zip(x[np.append(0, cuts + 1)].tolist(), x[np.append(cuts, x.size - 1)].tolist(), strict=True)]
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "content", "first", "stop"])
-
-
-def _of_hot(hot: DataFrame, length: int) -> DataFrame:
+        for anchor, content, windows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            at, end = None, None
+            for x, y in sorted((w["first"], w["stop"]) for w in windows):
+                if at is None or x > end:
+                    if at is not None:
+                        out.append((anchor, content, at, end))
+                    at, end = x, y
+                end = max(end, y)
+            out.append((anchor, content, at, end))
+        yield pa.RecordBatch.from_arrays(_table(out), ["anchor", "content", "first", "stop"])
+
+
+def _of_hot(hot: DataFrame, length: int, words: int) -> DataFrame:
     """What the shards give, for stretches of anchors with too many bytes for one: windows are counted by hash over all tasks, so no task holds an anchor's stretches."""
-    windows = written(hot.select("anchor", "content", "bytes").mapInArrow(_window_hashes(length), "anchor long, content long, window long, place int"), "windows")
+    windows = written(hot.select("anchor", "content", "bytes").mapInArrow(_window_hashes(length, words), "anchor long, content long, window long, first int, stop int"), "windows")
     # A window repeats if two stretches have it, one has it twice, or its stretch stands in two places.
     twice = windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
-    places = windows.join(written(twice, "windows"), ["anchor", "window"]).groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
-    whole = hot.where("often > 1").select("anchor", "content", F.lit(0).alias("first"), (F.octet_length("bytes") - length + 1).alias("stop"))
-    return places.mapInArrow(_runs, "anchor long, content long, first int, stop int").unionByName(whole)
+    found = windows.join(written(twice, "windows"), ["anchor", "window"]).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "stop")).alias("windows"))
+    whole = hot.where("often > 1").select("anchor", "content", F.lit(0).alias("first"), F.octet_length("bytes").alias("stop"))
+    return found.mapInArrow(_runs, "anchor long, content long, first int, stop int").unionByName(whole)
 
 
 def _kept(as_text: bool):
@@ -274,51 +347,53 @@ def _kept(as_text: bool):
     return kept
 
 
-def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, tag, ranges) of the texts with bytes that a repeated string of `length` bytes covers; ranges may overlap."""
+def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """(id, tag, ranges) of the texts with bytes that a repeated string of `length` bytes covers, or one of `words` whole words, if given; ranges may overlap."""
+    least = min(length, 2 * words - 1) if words else length
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(*_key(id_col, text), text.alias("text"))
     spark = documents.sparkSession
     path = fresh_dir(spark, "stretches")
-    every = written(rows.where(F.octet_length("text") >= length).mapInArrow(_stretches(length, gram), "id long, tag int, anchor long, content long, low int, windows int"), "stretches", path)
+    every = written(rows.where(F.octet_length("text") >= least).mapInArrow(_stretches(length, gram, words), "id long, tag int, anchor long, content long, low int, size int"), "stretches", path)
     # Written, so that the join has plain exchanges on both sides: then a hot anchor's rows are split over tasks.
     twice = written(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     held = written(every.join(twice, "anchor"), "held")
     removed(spark, path)  # only what is held is read from here on
 
-    one = F.struct("id", "tag", "low", "windows")
+    one = F.struct("id", "tag", "low", "size")
     different = held.groupBy("anchor", "content").agg(F.min(one).alias("one"), F.count("*").alias("often"))
-    hot = different.groupBy("anchor").agg(F.sum(F.col("one.windows") + length - 1).alias("size")).where(F.col("size") > HOT * SHARD)
+    hot = different.groupBy("anchor").agg(F.sum("one.size").alias("size")).where(F.col("size") > HOT * SHARD)
     hot = written(hot.select("anchor", F.lit(True).alias("hot")), "hot")
     some_hot = not hot.isEmpty()
     different = different.join(hot, "anchor", "left") if some_hot else different.withColumn("hot", F.lit(None).cast("boolean"))
-    asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.windows").alias("windows"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    cut = rows.join(asked, ["id", "tag"]).select("text", "asked").mapInArrow(_cut(length), "anchor long, content long, often long, hot boolean, bytes binary")
+    asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.size").alias("size"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    cut = rows.join(asked, ["id", "tag"]).select("text", "asked").mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
     if some_hot:
         cut = written(cut, "cut")
-    size = held.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
+    size = held.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    found = cut.where("not hot").drop("hot").groupBy(F.pmod("anchor", F.lit(shards)).alias("shard")).applyInArrow(_shards(length), "anchor long, content long, first int, stop int")
+    found = cut.where("not hot").drop("hot").groupBy(F.pmod("anchor", F.lit(shards)).alias("shard")).applyInArrow(_shards(length, words), "anchor long, content long, first int, stop int")
     if some_hot:
-        found = found.unionByName(_of_hot(cut.where("hot"), length))
+        found = found.unionByName(_of_hot(cut.where("hot"), length, words))
     found = found.dropDuplicates()
     back = held.join(found, ["anchor", "content"])
-    ranges = back.select("id", "tag", F.struct((F.col("low") + F.col("first")).alias("begin"), (F.col("low") + F.col("stop") + length - 1).alias("end")).alias("range"))
+    ranges = back.select("id", "tag", F.struct((F.col("low") + F.col("first")).alias("begin"), (F.col("low") + F.col("stop")).alias("end")).alias("range"))
     return ranges.groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
 
 
-def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, words: int = 0) -> DataFrame:
     """One row per input row: the kept columns (the id unless named), n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay.
 
     As text, kept is without the remains of characters that a removed string's edge cut in two.
 
     Every byte that a string of `length` bytes covers which also starts anywhere else goes, in all
-    places where it stands. Null counts as empty. Rows with the same id or none are texts like any
+    places where it stands; so does, if `words` is given, a string of so many whole words, however
+    short, that is also elsewhere, with the same white space between them. Null counts as empty. Rows with the same id or none are texts like any
     other, and rows that repeat as a whole repeat each other. An empty table gives no rows; columns
     other than those kept are not read."""
     keep = [id_col] if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ranges = repeated_ranges(documents, id_col, text_col, length, gram).withColumnsRenamed({"id": "_id", "tag": "_tag", "ranges": "_ranges"})
+    ranges = repeated_ranges(documents, id_col, text_col, length, gram, words).withColumnsRenamed({"id": "_id", "tag": "_tag", "ranges": "_ranges"})
     kept = F.struct(*keep).alias("_kept")
     rows = documents.select(*_key(id_col, text), text.alias("_text"), kept).withColumnsRenamed({"id": "_id", "tag": "_tag"})
     joined = rows.join(ranges, ["_id", "_tag"], "left").select("_kept", "_text", "_ranges")
