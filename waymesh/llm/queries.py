@@ -74,7 +74,8 @@ FROM p LEFT JOIN last ON p.d = last.d AND p.n >= 1000
 
 @_query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """The contract's columns, of strings of 400 bytes; and the text without these and without repeated strings of 51 whole words."""
+    return _repeats.without_repeats(table(spark, sf_dir, "documents"), as_text=True, words=_repeats.PASSAGE_WORDS).withColumnRenamed("kept", "text")
 
 
 @_query

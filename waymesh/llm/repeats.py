@@ -22,6 +22,8 @@ from .common import byte_view, fresh_dir, prefix_hash, removed, span_hash, writt
 from .induced import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 128
+#: Repeats of more than fifty whole words are passages, however few bytes they have.
+PASSAGE_WORDS = 51
 #: Bytes of text in one suffix array, about, and of one batch of texts whose windows are hashed together.
 SHARD, PIECE = 1 << 20, 1 << 19
 #: Words of the string that is the anchor of a window of words.
@@ -119,9 +121,10 @@ def passages(data: np.ndarray, starts: np.ndarray, words: int, below: int) -> tu
     return held[run[first]], anchor[run[first]], at - starts[held[run[first]]], end[word[last] + words - 1] - at
 
 
-def _key(id_col: str, text: Column) -> list[Column]:
-    """What tells rows apart: the id (a hash of the text where it is null) and some more bits of the text, for repeated ids."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(7), text)).alias("id"), F.hash(text).alias("tag")]
+def _rows(documents: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """id and tag, which tell rows apart (the id, or a hash of the text where it is null, and another hash of the text, for repeated ids), the text, and a struct of the columns to keep."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return documents.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(7), text)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"), F.struct(*keep).alias("kept"))
 
 
 def _stretches(length: int, gram: int, words: int):
@@ -155,8 +158,8 @@ def _cut():
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = byte_view(batch.column(0))
-            asked = batch.column(1)
+            data, starts = byte_view(batch.column("text"))
+            asked = batch.column("asked")
             text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
             fields = dict(zip(("anchor", "content", "low", "size", "often", "hot"), asked.flatten().flatten(), strict=True))
             begin = starts[text] + fields["low"].to_numpy()
@@ -315,46 +318,49 @@ def _of_hot(hot: DataFrame, length: int, words: int) -> DataFrame:
     return found.mapInArrow(_runs, "anchor long, content long, first int, stop int").unionByName(whole)
 
 
+def _without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """What stays of a text without some ranges, in order of begin; how many bytes go, and in how many runs."""
+    stay, at, gone, spans = [], 0, 0, 0
+    for x, y in ranges:
+        if x > at or not spans:
+            stay.append(text[at:x])
+            spans += 1
+            at = x
+        if y > at:
+            gone += y - at
+            at = y
+    stay.append(text[at:])
+    return b"".join(stay), gone, spans
+
+
 def _kept(as_text: bool):
-    """Appends n_bytes, n_removed, n_spans, the hash of the bytes that stay, and them; text and ranges (struct of begin and end) come last."""
+    """From kept, text and ranges (begin, end, of_words): kept, n_bytes, n_removed, n_spans and kept_sha256 by ranges of bytes, and what all ranges leave."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            data, starts = byte_view(batch.column(len(names) - 2))
-            ranges = batch.column(len(names) - 1)
+            data, starts = byte_view(batch.column(1))
             whole, rows = data.tobytes(), []
-            for i, found in enumerate(ranges.to_pylist()):
+            for i, found in enumerate(batch.column(2).to_pylist()):
                 text = whole[starts[i] : starts[i + 1]]
-                stay, at, gone, spans = [], 0, 0, 0
-                for x, y in sorted((r["begin"], r["end"]) for r in found or ()):
-                    if x > at or not spans:
-                        stay.append(text[at:x])
-                        spans += 1
-                        at = x
-                    if y > at:
-                        gone += y - at
-                        at = y
-                stay.append(text[at:])
-                rows.append((len(text), gone, spans, b"".join(stay)))
-            n, gone, spans, stay = zip(*rows, strict=True) if rows else ((), (), (), ())
-            last = pa.array([x.decode("utf-8", "ignore") for x in stay], pa.string()) if as_text else pa.array(stay, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stay], pa.string()), last],
-                [*names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                ranges = sorted((r["begin"], r["end"], r["of_words"]) for r in found or ())
+                of_bytes = [(x, y) for x, y, of_words in ranges if not of_words]
+                stay, gone, spans = _without(text, of_bytes)
+                last = stay if len(of_bytes) == len(ranges) else _without(text, [(x, y) for x, y, _ in ranges])[0]
+                rows.append((len(text), gone, spans, hashlib.sha256(stay).hexdigest(), last.decode("utf-8", "ignore") if as_text else last))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return kept
 
 
-def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
+def _repeated_ranges(rows: DataFrame, length: int, gram: int, words: int) -> DataFrame:
     """(id, tag, ranges) of the texts with bytes that a repeated string of `length` bytes covers, or one of `words` whole words, if given; ranges may overlap."""
     least = min(length, 2 * words - 1) if words else length
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.select(*_key(id_col, text), text.alias("text"))
-    spark = documents.sparkSession
+    spark = rows.sparkSession
     path = fresh_dir(spark, "stretches")
-    every = written(rows.where(F.octet_length("text") >= least).mapInArrow(_stretches(length, gram, words), "id long, tag int, anchor long, content long, low int, size int"), "stretches", path)
+    texts = rows.select("id", "tag", "text").where(F.octet_length("text") >= least)
+    every = written(texts.mapInArrow(_stretches(length, gram, words), "id long, tag long, anchor long, content long, low int, size int"), "stretches", path)
     # Written, so that the join has plain exchanges on both sides: then a hot anchor's rows are split over tasks.
     twice = written(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     held = written(every.join(twice, "anchor"), "held")
@@ -367,7 +373,8 @@ def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str
     some_hot = not hot.isEmpty()
     different = different.join(hot, "anchor", "left") if some_hot else different.withColumn("hot", F.lit(None).cast("boolean"))
     asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.size").alias("size"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    cut = rows.join(asked, ["id", "tag"]).select("text", "asked").mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
+    # All columns stay, so that the rows are dealt as they are for the last join, and Spark deals them once.
+    cut = rows.join(asked, ["id", "tag"]).mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
     if some_hot:
         cut = written(cut, "cut")
     size = held.agg(F.sum("size")).first()[0] or 0
@@ -377,28 +384,24 @@ def repeated_ranges(documents: DataFrame, id_col: str = "doc_id", text_col: str
         found = found.unionByName(_of_hot(cut.where("hot"), length, words))
     found = found.dropDuplicates()
     back = held.join(found, ["anchor", "content"])
-    ranges = back.select("id", "tag", F.struct((F.col("low") + F.col("first")).alias("begin"), (F.col("low") + F.col("stop")).alias("end")).alias("range"))
+    of_words = F.col("anchor").bitwiseAND(F.lit(1).cast("long")) == (1 if words else 2)
+    ranges = back.select("id", "tag", F.struct((F.col("low") + F.col("first")).alias("begin"), (F.col("low") + F.col("stop")).alias("end"), of_words.alias("of_words")).alias("range"))
     return ranges.groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
 
 
 def without_repeats(documents: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, words: int = 0) -> DataFrame:
     """One row per input row: the kept columns (the id unless named), n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay.
 
-    As text, kept is without the remains of characters that a removed string's edge cut in two.
-
     Every byte that a string of `length` bytes covers which also starts anywhere else goes, in all
-    places where it stands; so does, if `words` is given, a string of so many whole words, however
-    short, that is also elsewhere, with the same white space between them. Null counts as empty. Rows with the same id or none are texts like any
-    other, and rows that repeat as a whole repeat each other. An empty table gives no rows; columns
-    other than those kept are not read."""
-    keep = [id_col] if keep is None else keep
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ranges = repeated_ranges(documents, id_col, text_col, length, gram, words).withColumnsRenamed({"id": "_id", "tag": "_tag", "ranges": "_ranges"})
-    kept = F.struct(*keep).alias("_kept")
-    rows = documents.select(*_key(id_col, text), text.alias("_text"), kept).withColumnsRenamed({"id": "_id", "tag": "_tag"})
-    joined = rows.join(ranges, ["_id", "_tag"], "left").select("_kept", "_text", "_ranges")
-    schema = f"_kept {joined.schema['_kept'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    if as_text:
-        schema = schema.removesuffix("binary") + "string"
-    return joined.mapInArrow(_kept(as_text), schema).select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-
+    places where it stands. If `words` is given, kept is also without every string of so many whole
+    words, however short, that is elsewhere too, with the same white space between them; the other
+    columns are about strings of bytes alone. As text, kept is without the remains of characters
+    that a removed string's edge cut in two.
+
+    Null counts as empty. Rows with the same id or none are texts like any other, and rows that
+    repeat as a whole repeat each other. An empty table gives no rows; columns other than those kept
+    are not read."""
+    rows = _rows(documents, id_col, text_col, [id_col] if keep is None else keep)
+    joined = rows.join(_repeated_ranges(rows, length, gram, words), ["id", "tag"], "left").select("kept", "text", "ranges")
+    schema = f"row {joined.schema['kept'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}"
+    return joined.mapInArrow(_kept(as_text), schema).select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
