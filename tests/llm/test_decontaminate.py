@@ -113,3 +113,38 @@ def test_whole_long_items_and_numbers(spark):
     ]
     got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 2), (6, 3)}
+
+
+def test_paraphrases_are_found(spark):
+    """Up to 35 % of an item's words are others: at least nine in ten of what brute force over all stretches finds."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(2, 7))) for _ in range(2000)]
+    words = lambda n: [stems[min(int(rng.expovariate(0.004)), 1999)] for _ in range(n)]
+    items, docs = [words(rng.randint(20, 90)) for _ in range(300)], []
+    for d in range(600):
+        item, w = list(items[d % 300]), words(rng.randint(50, 400))
+        for k in rng.sample(range(len(item)), int(len(item) * rng.choice((0.15, 0.25, 0.35)))):
+            item[k] = rng.choice(stems)
+        at = rng.randint(0, len(w))
+        docs.append(w[:at] + item + w[at:])
+
+    def has(item, text):  # an item's share in order, and its answer's there
+        answer, n = item[-max(3, -(-len(item) // 4)) :], len(item)
+        parts = [text[a : a + int(1.3 * n) + 4] for a in range(max(1, len(text) - n // 2))]
+        return any(D.common_subsequence(item, p) >= D.COMMON * n and D.common_subsequence(answer, p) >= D.ANSWER * len(answer) for p in parts)
+
+    want = {(d, d % 300) for d in range(600) if has(items[d % 300], docs[d])}
+    got = D.leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(want) > 500 and len(want & found) >= 0.9 * len(want)
+    assert all(has(items[i], docs[d]) for d, i in found - want)
+
+
+def test_one_scan_serves_many_blocks(spark, corpus, monkeypatch):
+    docs, items, leaked = corpus
+    monkeypatch.setattr(D, "BLOCK", 15)
+    monkeypatch.setattr(D, "SCAN_TERMS", 900)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert 1 < len(list(D._scans(bench))) <= len(list(D.blocks(bench)))
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == leaked

@@ -6,8 +6,9 @@ latent space; every window of every document is folded into it and compared with
 cosine. What comes near is checked in the text: the longest common subsequence of words of the item
 and of stretches about as long there, and by itself that of the item's answer, its last words.
 
-The benchmark is the query set. It is searched in blocks of items, so that what tasks share (terms
-of a block by latent dimensions) is bounded by the length of its items, whatever the benchmark's size."""
+The benchmark is the query set. Each block of items has a latent space of its own. The corpus is read
+once for as many blocks as have SCAN_TERMS terms in all, so that what tasks share (terms by latent
+dimensions) is bounded whatever the benchmark's size."""
 
 from __future__ import annotations
 
@@ -17,7 +18,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -27,14 +27,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = re.compile(r"[^\W_]+")
 #: Items searched at a time, and words of a passage at most.
 BLOCK, PASSAGE = 256, 48
+#: Terms of the blocks that are searched in one scan, a block at least.
+SCAN_TERMS = 1 << 16
 #: Longer items are checked once for all places of a fifth of their length, not at each.
 LONG_ITEM = 8 * PASSAGE
 #: Words of a step and steps of a window of a document.
 STEP, STEPS = 16, 4
 #: Latent dimensions at most, the share of energy they keep, and further dimensions of the sketch.
-RANK, ENERGY, SPARE, POWERS, SEED = 96, 0.95, 8, 2, 11
-#: A candidate window is at least so near a passage by cosine, and has at least that share of the passage's own weight along it.
-COSINE, WEIGHT = 0.2, 0.4
+RANK, ENERGY, SPARE, POWERS, SEED = 256, 0.95, 8, 2, 11
+#: A passage that the space keeps less of adds a dimension, for RANK passages at most: the rest have more candidates, not fewer.
+KEPT = 0.5
+#: The heaviest terms of a passage that hold that share of its squared weight are its terms; common words that are nobody's cost nothing.
+MASS = 0.95
+#: A candidate window is at least so near a passage by cosine, and reaches at least that far along it, of the passage's own length.
+COSINE, WEIGHT = 0.15, 0.35
 COMMON, ANSWER, ANSWER_WORDS = 0.6, 0.5, 0.25
 ROWS_A_TIME = 4096
 
@@ -84,20 +90,20 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(items, passages, terms)
 
 
-def document_frequencies(documents: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[np.ndarray, int]:
+def document_frequencies(documents: DataFrame, terms: set[str], text_col: str = "text") -> tuple[dict[str, int], int]:
     """In how many documents each term occurs, over all documents, and how many there are."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known, n = Counter(), terms.keys(), 0
+        counts, n = Counter(), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                counts.update(known & set(words(text)))
-        rows = [(terms[w], c) for w, c in counts.items()] + [(-1, n)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["term", "n"])
+                counts.update(terms.intersection(words(text)))
+        rows = [*counts.items(), (None, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], ["word", "n"])
 
-    found = {r.term: r.n for r in documents.select(text_col).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([found.get(i, 0) for i in range(len(terms))], np.float64), found.get(-1, 0)
+    found = {r.word: r.n for r in documents.select(text_col).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return found, found.pop(None, 0)
 
 
 def randomised_svd(matrix: DataFrame, n_terms: int, rank: int = RANK) -> np.ndarray:
@@ -141,22 +147,53 @@ def randomised_svd(matrix: DataFrame, n_terms: int, rank: int = RANK) -> np.ndar
 @dataclass(frozen=True)
 class Index:
     block: Block
-    #: Latent vector of each term, with its weight; of each passage, of length one; and the passages' lengths before.
+    #: The number of each term, and its latent vector with its weight.
+    known: dict[str, int]
     terms: np.ndarray
+    #: The latent vector of each passage, of length one, and the lengths before.
     passages: np.ndarray
     lengths: np.ndarray
-    #: Of each passage, the squared weights of its terms.
-    weights: list[dict[int, float]]
 
 
-def index(spark: SparkSession, block: Block, documents: DataFrame, text_col: str = "text") -> Index:
-    frequency, n = document_frequencies(documents, block.terms, text_col)
-    weight = np.log((n + 1) / (frequency + 1)) + 1e-3
-    rows = [(t, weight[t].tolist()) for t in (sorted({block.terms[w] for w in p}) for _, p in block.passages)]
-    vectors = randomised_svd(spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(4), len(block.terms))
+def _with_residues(vectors: np.ndarray, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+    """The singular vectors, and further orthogonal ones of the passages of which they keep too little."""
+    poor = []
+    for t, w in rows:
+        w = np.asarray(w)
+        inside = w @ vectors[t]
+        if inside @ inside < KEPT * (w @ w) and len(poor) < RANK:
+            rest = -(vectors @ inside)
+            rest[t] += w
+            poor.append(rest)
+    if not poor:
+        return vectors
+    q, r = np.linalg.qr(np.array(poor).T)
+    more = q[:, np.abs(np.diag(r)) > 1e-6 * np.abs(r).max()]
+    return np.concatenate((vectors, more), axis=1)
+
+
+def _heaviest(weights: dict[str, float]) -> list[str]:
+    """The words of most weight that hold MASS of the squared weight; ties by word."""
+    left, out = (1 - MASS) * sum(x * x for x in weights.values()), []
+    for w in sorted(weights, key=lambda w: (weights[w], w)):
+        left -= weights[w] ** 2
+        if left < 0:
+            out.append(w)
+    return out
+
+
+def index(spark: SparkSession, block: Block, frequency: dict[str, int], n: int) -> Index:
+    """The latent space of a block's passages, with document frequencies of its terms among n documents."""
+    weights = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in block.terms}
+    heavy = [_heaviest({w: weights[w] for w in p}) for _, p in block.passages]
+    known = {w: i for i, w in enumerate(sorted(set().union(*heavy)))}
+    weight = np.array([weights[w] for w in known])
+    rows = [(t, weight[t].tolist()) for t in (sorted(map(known.__getitem__, p)) for p in heavy)]
+    vectors = randomised_svd(spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(4), len(known))
+    vectors = _with_residues(vectors, rows)
     latent = np.array([np.asarray(w) @ vectors[t] for t, w in rows])
     lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
-    return Index(block, (vectors * weight[:, None]).astype(np.float32), (latent / lengths[:, None]).astype(np.float32), lengths.astype(np.float32), [dict(zip(t, np.square(w).tolist(), strict=True)) for t, w in rows])
+    return Index(block, known, (vectors * weight[:, None]).astype(np.float32), (latent / lengths[:, None]).astype(np.float32), lengths.astype(np.float32))
 
 
 def _checked(item: list[str], text: list[str], at: int, reach: int = 0) -> tuple[float, float]:
@@ -205,11 +242,10 @@ def _windows(ids: np.ndarray, none: int, steps: int, terms: np.ndarray) -> np.nd
     return np.cumsum(change, axis=0, dtype=np.float32)[:steps]
 
 
-def leaks_of(found: Index, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, cosine, share, answer share) of every item that a text has, once each with its best share."""
-    known, size = found.block.terms, len(found.block.terms)
+def leaks_of(found: Index, split: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
+    """(text, item, cosine, share, answer share) of every item that a text, given by its words, has; once each with its best share."""
+    known, size = found.known, len(found.known)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
-    split = [words(t) for t in texts]
     steps = [-(-len(w) // STEP) for w in split]
     a = 0
     while a < len(split):  # some texts, or a single one
@@ -234,25 +270,36 @@ def leaks_of(found: Index, texts: list[str | None]) -> list[tuple[int, int, floa
             cosine = along[r, p] / norm[heavy[r]]
             near = cosine >= COSINE
             done: set[tuple[int, int, int]] = set()
-            present = lru_cache(1)(lambda r: set(ids[r * STEP : (r + STEPS) * STEP].tolist()))  # noqa: B023
             for r, p, c in zip(heavy[r[near]].tolist(), p[near].tolist(), cosine[near].tolist(), strict=True):
-                weights = found.weights[p]
-                if sum(map(weights.__getitem__, weights.keys() & present(r))) < WEIGHT * sum(weights.values()):
-                    continue  # near in the latent space only
                 i, item = a + bisect_right(first, r) - 1, found.block.passages[p][0]
                 place = max(0, r - first[i - a]) * STEP
                 reach, asked = 0, found.block.items[item][1]
                 if len(asked) > LONG_ITEM:
                     reach = len(asked) // 5
                     place -= place % reach
-                    if (i, item, place) in done:
-                        continue
-                    done.add((i, item, place))
+                if (i, item, place) in done:
+                    continue
+                done.add((i, item, place))
                 share, answer = _checked(asked, split[i], place, reach)
                 if share >= COMMON and answer >= ANSWER and share > out.get((i, item), (0, 0, 0))[1]:
                     out[i, item] = (c, share, answer)
         a = b
-    return [(i, item, *v) for (i, item), v in sorted(out.items())]
+    return ((i, item, *v) for (i, item), v in sorted(out.items()))
+
+
+RESULT = "doc_id long, item_id long, cosine double, common double, answer double"
+
+
+def _scans(benchmark: DataFrame) -> Iterator[list[Block]]:
+    """Blocks that one scan takes, one after the other."""
+    held: list[Block] = []
+    for block in blocks(benchmark):
+        if held and sum(len(b.terms) for b in held) + len(block.terms) > SCAN_TERMS:
+            yield held
+            held = []
+        held.append(block)
+    if held:
+        yield held
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,28 +308,27 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Texts that are null or have no words have no rows, nor have such items. Null ids stay null;
     repeated document rows give repeated rows, repeated items one. Without a benchmark or documents
     the result is empty. Other columns are not read."""
+    spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, cosine double, common double, answer double"
-    every = None
-    for block in blocks(benchmark):
-        found = index(documents.sparkSession, block, documents, text_col)
-        every = _searched(rows, found, schema) if every is None else every.unionByName(_searched(rows, found, schema))
-    return documents.sparkSession.createDataFrame([], schema) if every is None else every
+    every = spark.createDataFrame([], RESULT)
+    for scan in _scans(benchmark):
+        frequency, n = document_frequencies(documents, set().union(*(b.terms for b in scan)), text_col)
+        every = every.unionByName(_searched(rows, [index(spark, b, frequency, n) for b in scan]))
+    return every
 
 
-def _searched(rows: DataFrame, found: Index, schema: str) -> DataFrame:
+def _searched(rows: DataFrame, found: list[Index]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(found)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                hits = leaks_of(shared.value, part.column(1).to_pylist())
+                split = [words(t) for t in part.column(1).to_pylist()]
                 ids = part.column(0).to_pylist()
-                columns = list(zip(*hits, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in columns[0]], pa.int64()), pa.array([shared.value.block.items[j][0] for j in columns[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])],
-                    ["doc_id", "item_id", "cosine", "common", "answer"],
-                )
+                hits = [(ids[i], x.block.items[j][0], *v) for x in shared.value for i, j, *v in leaks_of(x, split)]
+                columns = zip(*hits, strict=True) if hits else [()] * 5
+                kinds = [pa.int64()] * 2 + [pa.float64()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
 
-    return rows.mapInArrow(searched, schema)
+    return rows.mapInArrow(searched, RESULT)
