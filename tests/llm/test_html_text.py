@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -21,6 +23,14 @@ CASES = [
     ("<p title='a > b'>quo\"ted</p><p>5 < 6 &lt; 7</p>", 'quo"ted 5 < 6 < 7'),
     ("<p>" + "word " * 30000 + "</p>", ("word " * 30000).strip()),
     ("<div " * 3 + "<p>broken</p>", None),
+    ('<div class="content"><div>Short one.</div><div>Short two.</div></div>', "Short one. Short two."),
+    ("<div>no full stop</div><div>none here</div><nav>a</nav>", "no full stop none here"),
+    (f'<main><div class="form"><p>About the poetic form. {LONG}</p></div><p>{LONG}</p></main>', f"About the poetic form. {LONG} {LONG}"),
+    (f'<main><p>{LONG}</p><div class="form"><p>Your name here.</p><input></div></main>', LONG),
+    (f"<div class=content><div>Short one.</div><div><p>{LONG}</p></div></div>", f"Short one. {LONG}"),
+    (f'<p>{LONG}</p><a title="open > and <p>never closed', f"{LONG} and never closed"),
+    (f"<p title=it's>one</p><p data-x='a > b' y>{LONG}</p>", f"one {LONG}"),
+    (f"</body></p><p>{LONG}</p></section><!-- open", LONG),
 ]
 
 
@@ -30,6 +40,34 @@ def test_single_pages(html, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<a" * 100_000, "<a " * 100_000 + ">", "<div>" * 100_000, "<div>x" * 50_000 + "</b>" * 50_000, "<p>" + "<span>x" * 50_000 + "<div>y" * 50_000, "<p><object>" + "<div>" * 100_000, "<a " + "x=1 " * 250_000, '<a b="x>" ' * 60_000, "<a b='>" * 60_001, "<!" * 100_000, "<" * 300_000, "<ul>" + "<li><a>x" * 60_000, "<div class='a b'>t. " * 50_000, "<article>" * 60_000, "<table>" * 60_000 + "<td>x" * 60_000, "<script>" + "</scrip" * 100_000],
+)
+def test_time_is_linear(html):
+    begin = time.perf_counter()
+    page = H.Page(html)
+    best = page.best()
+    page.text(best and best[0])
+    assert time.perf_counter() - begin < 4
+
+
+def test_votes_equal_brute_force(spark):
+    rng = random.Random(4)
+    shapes = ["<div class='post p{i}'><p>{t}</p></div><div class=x>{s}</div>", "<section><div>{t}</div></section><p>{s}</p>", "<main><p>{t}</p><p>{s}</p></main>"]
+    pages = [(i, f"http://h{rng.randrange(5)}.example/{i}", rng.choice(shapes).format(i=i, t=LONG * rng.randint(1, 3), s="A note. " * rng.randint(1, 30))) for i in range(80)]
+    votes = {}
+    for _, url, html in pages:
+        path, score = H.Page(html).best()
+        key = url.split("/")[2]
+        votes.setdefault(key, {}).setdefault(path, 0.0)
+        votes[key][path] += score
+    want = {h: min(v, key=lambda p: (-round(v[p], 6), p)) for h, v in votes.items()}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.host: r.path for r in H.consensus_paths(df).collect()} == want
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: H.extracted(html, want[url.split("/")[2]]) for i, url, html in pages}
+
+
 def test_hosts_vote(spark):
     side = "<div class=c{}><p>{}</p></div>"
     pages = [(i, f"http://H.example/{i}", f"<div class=post-{i}><p>{LONG * 3}</p></div>" + side.format(i, "short note")) for i in range(4)]
