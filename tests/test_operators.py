@@ -127,7 +127,7 @@ def test_a_track_by_hand():
         t.observe(k / 10, np.array([det(10.0, 5.0)]))
         shown.append(t.fuse(k / 10))
     assert [len(s) for s in shown] == [0, 0, 0, 0, 1, 1, 1, 1]  # shown after more than four steps
-    assert shown[-1][0][0] == 70000 and np.allclose(shown[-1][0][1:3], [10, 5], atol=1e-6) and shown[-1][0][-1] == 1
+    assert shown[-1][0][0] == 70000 and np.allclose(shown[-1][0][1:3], [10, 5], atol=1e-6) and shown[-1][0][11] == 1
     t.observe(0.99, np.zeros((0, 8)))
     assert t.ids == [70000]  # last seen at 0.7, kept for less than 0.3 s
     t.observe(1.0, np.zeros((0, 8)))

@@ -121,3 +121,12 @@ def gated_distance(ax: Column, ay: Column, a_angle: Column, bx: Column, by: Colu
     u, v = dx * F.cos(turn) + dy * F.sin(turn), -dx * F.sin(turn) + dy * F.cos(turn)
     inside = (F.abs(u) < width / 2) & (F.abs(v) < length / 2)
     return F.when(inside, F.sqrt(dx * dx + dy * dy) / 100).otherwise(1.0)
+
+
+def gated_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """gated_distance of n pairs of boxes, rows of (x, y, width, length, angle)."""
+    turn = np.radians(a[:, 4])
+    dx, dy = a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]
+    u, v = dx * np.cos(turn) + dy * np.sin(turn), -dx * np.sin(turn) + dy * np.cos(turn)
+    inside = (np.abs(u) < b[:, 2] / 2) & (np.abs(v) < b[:, 3] / 2)
+    return np.where(inside, np.sqrt(dx * dx + dy * dy) / 100, 1.0)

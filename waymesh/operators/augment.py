@@ -99,7 +99,7 @@ def fake_rows(frames: DataFrame, seed: int, region: tuple[float, float] | None =
 
 def dispatched(detections: DataFrame, runs: DataFrame, seed: int) -> DataFrame:
     """Each run's own fault on its detections: removal, addition anywhere or in the region, or none."""
-    rows = detections.join(F.broadcast(runs), "run_id")  # a row for each run of the sweep
+    rows = detections.join(runs, "run_id")
     kind = F.col("error_type")
     kept = removal_fault(rows.where(kind == "MALICIOUS_REMOVAL"), seed).unionByName(rows.where(kind != "MALICIOUS_REMOVAL"))
     frames = rows.select(*SENSOR_FRAME, "error_type", "probability").distinct()

@@ -8,8 +8,8 @@ COUNTERS = ["envelope_truth", "ttc_truth", "envelope_seen", "ttc_seen", "envelop
 
 
 def run_totals(metrics: DataFrame) -> DataFrame:
-    """Sums of the counters for each run and source, with the platform frames and the distinct frames."""
-    return metrics.groupBy("run_id", "source").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.sum("f1").alias("f1_sum"), F.count("*").alias("platform_frames"), F.count_distinct("frame").alias("steps"))
+    """Sums of the counters for each run and source, with the platform frames (rows with an ego_id) and the distinct frames."""
+    return metrics.groupBy("run_id", "source").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.sum("f1").alias("f1_sum"), F.count("ego_id").alias("platform_frames"), F.count_distinct("frame").alias("steps"))
 
 
 def scored(score: str, truths: str | None = None) -> Column:
@@ -25,10 +25,10 @@ def mean_score(metrics: DataFrame, keys: list[str], score: str = "f1", truths: s
     return rows.withColumn("mean_score", F.coalesce(F.try_divide("score_sum", "scored_frames"), F.lit(0.0)))
 
 
-def running(frames: DataFrame, columns: list[str], every: int = 100) -> DataFrame:
+def running(frames: DataFrame, columns: list[str], every: int = 100, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Totals so far of each run, at every hundredth frame."""
-    w = Window.partitionBy("run_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.select("run_id", "frame", *(F.sum(c).over(w).alias(c) for c in columns)).where(F.col("frame") % every == 0)
+    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.select(*keys, "frame", *(F.sum(c).over(w).alias(c) for c in columns)).where(F.col("frame") % every == 0)
 
 
 def long_totals(totals: DataFrame, runs: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def long_totals(totals: DataFrame, runs: DataFrame) -> DataFrame:
     numbers = [c for c in totals.columns if c not in ("run_id", "source")]
     wide = totals.select("run_id", "source", *(F.col(c).cast("double") if kinds[c] != "double" else F.col(c) for c in numbers))
     rows = wide.unpivot(["run_id", "source"], numbers, "name", "total").withColumn("metric", F.concat_ws(" ", "source", "name"))
-    return rows.join(F.broadcast(runs.select("run_id", "error_type", "error_level")), "run_id", "left").select("run_id", "error_type", "error_level", "metric", "total")
+    return rows.join(runs.select("run_id", "error_type", "error_level"), "run_id", "left").select("run_id", "error_type", "error_level", "metric", "total")
 
 
 def last_writer(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

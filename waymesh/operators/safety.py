@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymesh.functions import kinematics as K
+from waymesh.operators import sensing
 
 HORIZON = 1.0
 
 
 def ego_pairs(egos: DataFrame, others: DataFrame, keys: list[str], reach: float | None = None) -> DataFrame:
-    """Each ego (ego_id, x, y, yaw, evx, evy) with every other object of its keys: dlong, dlat, vlong, vlat in the ego's frame."""
-    pairs = egos.join(others, keys).where(F.col("ego_id") != F.col("object_id"))
+    """Each ego (ego_id, x, y, yaw, evx, evy) with every other object of its keys: dlong, dlat, vlong, vlat in the ego's frame.
+
+    All others count, as each can be beside or behind the envelope however far it is, so there are
+    egos x objects pairs for each set of keys. With a reach only those within it are paired, by cells."""
+    pairs = egos.join(others, keys) if reach is None else sensing.within_range(egos, others, reach, tuple(keys)).drop("distance")
+    pairs = pairs.where(F.col("ego_id") != F.col("object_id"))
     dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
-    if reach is not None:
-        pairs = pairs.where(dx * dx + dy * dy <= reach * reach)
     dlong, dlat = K.in_frame(dx, dy, F.col("yaw"))
     vlong, vlat = K.in_frame(F.col("vx") - F.col("evx"), F.col("vy") - F.col("evy"), F.col("yaw"))
     return pairs.withColumns({"dlong": dlong, "dlat": dlat, "vlong": vlong, "vlat": vlat})

@@ -21,24 +21,30 @@ def sensor_poses(platforms: DataFrame, sensors: DataFrame) -> DataFrame:
     return rows.withColumns({"x": x, "y": y, "yaw": F.col("yaw") + F.col("eyaw") + F.col("dyaw")})
 
 
-def within_range(sensors: DataFrame, objects: DataFrame, reach: float, keys: tuple[str, ...] = ("run_id", "frame")) -> DataFrame:
-    """Pairs of a sensor (x, y) and an object (cx, cy) of the same keys within reach, with their distance.
-
-    The plane is cut into cells of the reach; a sensor goes to the nine around it and objects to
-    their own, so that the join is on equal keys and cells, never on keys alone."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    near = sensors.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-    near = near.withColumns({"_cell_x": cell("x") + F.col("_i"), "_cell_y": cell("y") + F.col("_j")}).drop("_i", "_j")
-    placed = objects.withColumns({"_cell_x": cell("cx"), "_cell_y": cell("cy")})
+#: Side of a cell of range joins with a reach of each sensor's own, in metres: the least range of the catalog's sensors.
+CELL = 100.0
+
+
+def within_range(sensors: DataFrame, objects: DataFrame, reach: float | str, keys: tuple[str, ...] = ("run_id", "frame"), cell: float | None = None) -> DataFrame:
+    """Pairs of a sensor (x, y) and an object (cx, cy) of the same keys within reach, with their distance; reach is a number or a column of the sensors.
+
+    The plane is cut into cells (of the reach, or CELL, unless given); a sensor goes to those that
+    its reach touches and objects to their own, so that the join is on equal keys and cells, never
+    on keys alone. Sensors and objects without a place have no pairs."""
+    bound = F.col(reach) if isinstance(reach, str) else F.lit(float(reach))
+    side = cell or (CELL if isinstance(reach, str) else float(reach))
+    at = lambda c: F.floor(c / side).cast("int")
+    touched = lambda c: F.explode(F.sequence(at(F.col(c) - bound - 1e-6), at(F.col(c) + bound + 1e-6)))
+    near = sensors.withColumn("_cell_x", touched("x")).withColumn("_cell_y", touched("y"))
+    placed = objects.withColumns({"_cell_x": at(F.col("cx")), "_cell_y": at(F.col("cy"))})
     pairs = near.join(placed, [*keys, "_cell_x", "_cell_y"]).drop("_cell_x", "_cell_y")
     dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
-    return pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach)
+    return pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= bound)
 
 
-def visible(sensors: DataFrame, objects: DataFrame, reach: float, half_angle: bool = True) -> DataFrame:
-    """Pairs that a sensor sees: within its range and field of view, not itself. The field counts to either side unless half_angle is false."""
-    pairs = within_range(sensors, objects, reach).where((F.col("object_id") != F.col("platform_id")) & (F.col("distance") > 0.001) & (F.col("distance") <= F.col("max_range")))
+def visible(sensors: DataFrame, objects: DataFrame, half_angle: bool = True) -> DataFrame:
+    """Pairs that a sensor sees: within its own range (max_range) and field of view, not itself. The field counts to either side unless half_angle is false."""
+    pairs = within_range(sensors, objects, "max_range").where((F.col("object_id") != F.col("platform_id")) & (F.col("distance") > 0.001))
     _, bearing = K.polar(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"), F.col("yaw"))
     field = F.col("fov") if half_angle else F.col("fov") / 2
     return pairs.withColumn("bearing", bearing).where(F.abs(K.wrapped(F.col("center") - F.col("bearing"))) <= field)

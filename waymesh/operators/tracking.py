@@ -1,7 +1,8 @@
 """Multi-object tracking: association of detections to tracks, Kalman fusion, births and expiry.
 
-Only a tracker's own frames are sequential; jobs run one group for each (run, tracker) and keep all
-tracks of it in arrays. The same step drives the batch job and the stream."""
+Only a tracker's own frames are sequential. Rows are dealt by (run, tracker) and sorted; a task goes
+through them frame by frame and holds a batch of rows, the live tracks of one tracker in arrays, and
+no history. The same step drives the batch job and the stream."""
 
 from __future__ import annotations
 
@@ -13,12 +14,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waymesh.functions.geometry import iou_of
-
-#: Fixed values of the filter and the gate.
-PROCESS, NOISE, STEP, GATE, SHOW_AFTER, IDS = 0.9, 0.7, 0.1, 0.5, 4, 10000
-TRACKS = "run_id int, tracker_id long, frame int, t double, track_id long, x double, y double, c00 double, c01 double, c11 double, dx double, dy double, d00 double, d01 double, d11 double, n_meas int"
-INPUT = ["run_id", "tracker_id", "frame", "t", "batch_ord", "det_ord", "cx", "cy", "width", "length", "angle", "c00", "c01", "c11"]
+from waymesh.functions import geometry as G
+from waymesh.functions.geometry import gated_of, iou_of
+from waymesh.operators import scoring
+
+#: Fixed values of the filter, the gate, and the trust from which measurements are left out.
+PROCESS, NOISE, STEP, GATE, SHOW_AFTER, IDS, UNTRUSTED = 0.9, 0.7, 0.1, 0.5, 4, 10000, 1.2
+TRACKS = "run_id int, tracker_id long, frame int, t double, track_id long, x double, y double, c00 double, c01 double, c11 double, dx double, dy double, d00 double, d01 double, d11 double, n_meas int, width double, length double, angle double, last_seen double, steps int"
+#: Which measurements went into a mature track.
+MEMBERS = "run_id int, tracker_id long, frame int, track_id long, batch_ord int, det_ord int"
+INPUT = ["run_id", "tracker_id", "frame", "t", "batch_ord", "det_ord", "cx", "cy", "width", "length", "angle", "c00", "c01", "c11", "trust"]
+VALUES = [*INPUT[6:], "batch_ord", "det_ord"]
 SIZE = {0: 4, 1: 6, 2: 5}
 
 
@@ -32,6 +38,28 @@ def transition(dt: float, mode: int = 1) -> np.ndarray:
     return f
 
 
+def transitions(dt: np.ndarray, mode: int) -> np.ndarray:
+    """One transition for each time."""
+    f = np.repeat(np.eye(SIZE[mode])[None], dt.size, axis=0)
+    f[:, 0, 2] = f[:, 1, 3] = dt
+    if mode == 1:
+        f[:, 0, 4] = f[:, 1, 5] = dt * dt
+        f[:, 2, 4] = f[:, 3, 5] = dt
+    return f
+
+
+def inverses(c: np.ndarray) -> np.ndarray:
+    """Inverses of n symmetric 2 x 2 matrices; the pseudo-inverse of one that is all but singular."""
+    det = c[:, 0, 0] * c[:, 1, 1] - c[:, 0, 1] * c[:, 1, 0]
+    flat = np.abs(det) <= 1e-12 * np.maximum(np.abs(c[:, 0, 0]), np.abs(c[:, 1, 1])) ** 2
+    out = np.empty_like(c)
+    safe = np.where(flat, 1.0, det)
+    out[:, 0, 0], out[:, 1, 1], out[:, 0, 1], out[:, 1, 0] = c[:, 1, 1] / safe, c[:, 0, 0] / safe, -c[:, 0, 1] / safe, -c[:, 1, 0] / safe
+    if flat.any():
+        out[flat] = np.linalg.pinv(c[flat])
+    return out
+
+
 def turning(x: np.ndarray, dt: float) -> np.ndarray:
     """The linearised motion of a turning track (x, y, speed, heading, turn rate); straight where it does not turn."""
     v, phi, rate = x[2], x[3], x[4]
@@ -77,6 +105,7 @@ class Tracker:
     cleanup: float = 0.3
     compat: bool = True
     mode: int = 1
+    distance: str = "iou"
     next_id: int = 0
     ids: list[int] = field(default_factory=list)
     boxes: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
@@ -86,6 +115,8 @@ class Tracker:
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0))
     updated: np.ndarray = field(default_factory=lambda: np.zeros(0))
     waiting: list[list[np.ndarray]] = field(default_factory=list)
+    #: Track, batch and number of each measurement of the last step that went into a mature track.
+    members: list[tuple[int, int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         n = SIZE[self.mode]
@@ -98,7 +129,7 @@ class Tracker:
         if self.mode != 2 and len(x):
             dt = t - self.updated
             later = dt >= 0
-            f = np.stack([transition(d, self.mode) for d in np.where(later, dt, 0)])
+            f = transitions(np.where(later, dt, 0), self.mode)
             moved = (f @ x[:, :, None])[:, :, 0]
             grown = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode)
             x, p = np.where(later[:, None], moved, x), np.where(later[:, None, None], grown, p)
@@ -106,12 +137,18 @@ class Tracker:
         return np.column_stack((x[:, 0], x[:, 1], self.boxes[:, 0] + 3 * a, self.boxes[:, 1] + 3 * b, self.boxes[:, 2]))
 
     def _distances(self, gates: np.ndarray, dets: np.ndarray) -> np.ndarray:
+        """One less the overlap of boxes, or for "gated_euclidean" a hundredth of the distance inside a detection's box; else one. Computed where circles meet."""
         out = np.ones((len(gates), len(dets)))
         reach = (np.hypot(gates[:, 2], gates[:, 3])[:, None] + np.hypot(dets[:, 2], dets[:, 3])) / 2
         apart = np.hypot(gates[:, None, 0] - dets[:, 0], gates[:, None, 1] - dets[:, 1])
         i, j = np.nonzero(apart <= reach)
-        overlap = iou_of(gates[i], dets[j])
-        out[i, j] = np.where(overlap <= 0, 1, 1 - overlap)
+        if self.distance == "gated_euclidean":
+            out[i, j] = gated_of(gates[i], dets[j])
+        elif self.distance == "iou":
+            overlap = iou_of(gates[i], dets[j, :5])
+            out[i, j] = np.where(overlap <= 0, 1, 1 - overlap)
+        else:
+            raise ValueError(f"unknown distance {self.distance!r}")
         return out
 
     def _matches(self, distances: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
@@ -129,8 +166,8 @@ class Tracker:
         first_claim: dict[int, int] = {}
         for track in range(len(distances)):
             first = True
-            order = np.argsort(distances[track], kind="stable")
-            for det in order[distances[track, order] < GATE].tolist():
+            near = np.flatnonzero(distances[track] < GATE)
+            for det in near[np.argsort(distances[track, near], kind="stable")].tolist():
                 d = distances[track, det]
                 if first:
                     if det not in first_claim:
@@ -147,7 +184,7 @@ class Tracker:
         return [(track, det) for det, track, _ in claims if track is not None], set(first_claim)
 
     def observe(self, t: float, dets: np.ndarray) -> None:
-        """A batch: rows of cx, cy, width, length, angle, c00, c01, c11 in order. An empty one only expires tracks."""
+        """A batch: rows of cx, cy, width, length, angle, c00, c01, c11 in order, and as far as they are given trust, batch_ord and det_ord. An empty one only expires tracks."""
         if len(dets):
             pairs, known = self._matches(self._distances(self._gates(t), dets)) if self.ids else ([], set())
             for track, det in pairs:
@@ -202,34 +239,40 @@ class Tracker:
             for k in range(int(counts[old].max(initial=0))):
                 has = np.flatnonzero(counts[old] > k)
                 z = np.array([self.waiting[old[i]][k] for i in has])
-                r = z[:, [5, 6, 6, 7]].reshape(-1, 2, 2)
-                gain = p[has][:, :, :2] @ np.linalg.pinv(p[has][:, :2, :2] + r)
+                trust = z[:, 8] if z.shape[1] > 8 else np.ones(len(z))
+                has, z, trust = has[trust < UNTRUSTED], z[trust < UNTRUSTED], trust[trust < UNTRUSTED]
+                if not has.size:
+                    continue
+                r = z[:, [5, 6, 6, 7]].reshape(-1, 2, 2) * trust[:, None, None]
+                gain = p[has][:, :, :2] @ inverses(p[has][:, :2, :2] + r)
                 x[has] += (gain @ (z[:, :2] - x[has][:, :2])[:, :, None])[:, :, 0]
                 p[has] -= gain @ p[has][:, :2, :]
             self.x[old], self.p[old] = x, p
         self.steps += 1
         self.updated[:] = t
+        shown = np.flatnonzero(self.steps > SHOW_AFTER).tolist()
+        self.members = [(self.ids[i], int(d[9]), int(d[10])) for i in shown for d in self.waiting[i] if len(d) > 10]
         self.waiting = [[] for _ in self.waiting]
         out = []
-        for i in np.flatnonzero(self.steps > SHOW_AFTER).tolist():
+        for i in shown:
             x, p = self.x[i], self.p[i]
             lost = p[0, 0] == 0 and p[0, 1] == 0
             c, d = ((1.0, 0.0, 1.0), (2.0, 0.0, 2.0)) if lost else ((p[0, 0], p[0, 1], p[1, 1]), (p[2, 2], p[2, 3], p[3, 3]))
             dx, dy = (x[2] * np.cos(x[3]), x[2] * np.sin(x[3])) if self.mode == 2 else x[2:4]
-            out.append((self.ids[i], x[0], x[1], *c, dx, dy, *d, int(counts[i])))
+            out.append((self.ids[i], x[0], x[1], *c, dx, dy, *d, int(counts[i]), *self.boxes[i], self.seen[i], int(self.steps[i])))
         return out
 
-    def run(self, rows: pd.DataFrame) -> Iterator[tuple]:
-        """Frames in order; rows without a batch only say that the frame is there."""
-        rows = rows.sort_values(["frame", "batch_ord", "det_ord"], kind="stable")
-        values = rows[["cx", "cy", "width", "length", "angle", "c00", "c01", "c11"]].to_numpy(float)
-        frame, batch, t = rows["frame"].to_numpy(), rows["batch_ord"].fillna(-1).to_numpy(float), rows["t"].to_numpy(float)
+    def run(self, rows: pd.DataFrame, members: bool = False) -> Iterator[tuple]:
+        """Whole frames in order, sorted by batch and number; rows without a batch only say that the frame is there. Rows of tracks, or of their members."""
+        values = rows[VALUES].to_numpy(float)
+        frame, batch, t = rows["frame"].to_numpy(), np.nan_to_num(values[:, 9], nan=-1), rows["t"].to_numpy(float)
         edges = np.flatnonzero(np.concatenate(([True], (frame[1:] != frame[:-1]) | (batch[1:] != batch[:-1])))).tolist() + [len(rows)]
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             part = values[a:b]
             self.observe(t[a], part[~np.isnan(part[:, 0])])
             if k + 2 == len(edges) or frame[edges[k + 1]] != frame[a]:
-                yield from ((frame[a], t[a], *row) for row in self.fuse(t[a]))
+                found = self.fuse(t[a])
+                yield from ((frame[a], *row) for row in self.members) if members else ((frame[a], t[a], *row) for row in found)
 
     def saved(self) -> bytes:
         return pickle.dumps(self.__dict__)
@@ -241,25 +284,97 @@ class Tracker:
         return found
 
 
-def table_of(run_id: int, tracker_id: int, rows: Iterator[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in TRACKS.split(", ")]
-    found = pd.DataFrame([(run_id, tracker_id, *r) for r in rows], columns=names)
-    return found.astype({"run_id": "int32", "tracker_id": "int64", "frame": "int32", "track_id": "int64", "n_meas": "int32"})
+ORDER = ["frame", "batch_ord", "det_ord"]
+_KINDS = {"int": "int32", "long": "int64", "double": "float64"}
+
+
+def table_of(schema: str, rows: list[tuple]) -> pd.DataFrame:
+    kinds = dict(c.split() for c in schema.split(", "))
+    return pd.DataFrame(rows, columns=list(kinds)).astype({c: _KINDS[k] for c, k in kinds.items()})
 
 
 def with_calendar(detections: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Detections of each tracker, and a row without a batch for each frame (run_id, tracker_id, frame, t) that has none: tracks move and expire there too."""
+    """Detections of each tracker, and a row without a batch for each frame (run_id, tracker_id, frame, t) that has none: tracks move and expire there too. Without a column trust all are trusted."""
+    if "trust" not in detections.columns:
+        detections = detections.withColumn("trust", F.lit(1.0))
     rows = calendar.join(detections.drop("t"), ["run_id", "tracker_id", "frame"], "left")
     return rows.select(*INPUT)
 
 
-def tracks(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1) -> DataFrame:
-    """Fused rows of mature tracks, one group of tasks for each (run, tracker)."""
+def _stepped(detections: DataFrame, schema: str, members: bool, cleanup: float, compat: bool, mode: int, distance: str) -> DataFrame:
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tracker, held = None, None, None
 
-    def track(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return table_of(*key, Tracker(int(key[1]), cleanup, compat, mode).run(rows))
+        def due(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal key, tracker
+            run, number = rows["run_id"].to_numpy(), rows["tracker_id"].to_numpy()
+            edges = [*np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (number[1:] != number[:-1])))).tolist(), len(rows)]
+            out: list[tuple] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if key != (run[a], number[a]):
+                    key, tracker = (run[a], number[a]), Tracker(int(number[a]), cleanup, compat, mode, distance)
+                out += [(*key, *r) for r in tracker.run(rows.iloc[a:b], members)]
+            return table_of(schema, out)
 
-    return detections.groupBy("run_id", "tracker_id").applyInPandas(track, TRACKS)
+        for rows in batches:
+            if held is not None and len(held):
+                rows = pd.concat((held, rows), ignore_index=True) if len(rows) else held
+            if not len(rows):
+                continue
+            here = rows[["run_id", "tracker_id", "frame"]].to_numpy()
+            last = int(np.flatnonzero((here != here[-1]).any(axis=1))[-1]) + 1 if (here != here[-1]).any() else 0
+            held = rows.iloc[last:]  # the last frame may go on in the next batch
+            if last:
+                yield due(rows.iloc[:last])
+        if held is not None and len(held):
+            yield due(held)
+
+    dealt = detections.select(*INPUT).repartition("run_id", "tracker_id")
+    return dealt.sortWithinPartitions("run_id", "tracker_id", *ORDER).mapInPandas(step, schema)
+
+
+def tracks(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1, distance: str = "iou") -> DataFrame:
+    """Fused rows of mature tracks. Trackers run in parallel; memory is bounded by a batch and a frame, whatever the length of a run.
+
+    distance: "iou" or "gated_euclidean". Measurements with a trust of UNTRUSTED or more are left out
+    of updates; the trust of others multiplies their covariance."""
+    return _stepped(detections, TRACKS, False, cleanup, compat, mode, distance)
+
+
+def members(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1, distance: str = "iou") -> DataFrame:
+    """The measurements (batch_ord, det_ord) that went into each mature track in each frame; arguments as for tracks."""
+    return _stepped(detections, MEMBERS, True, cleanup, compat, mode, distance)
+
+
+def consistency(found: DataFrame, joined: DataFrame, detections: DataFrame) -> DataFrame:
+    """For each track and frame, how its sensors agree with it: sensors (sensor_id, score) and trust (sensor_id, confidence), both in order of sensor_id, batch and number.
+
+    found: rows of tracks; joined: their members; detections: sensor_id and confidence besides the
+    tracker's input. The score is a measurement's distance from the fused place, over what its own
+    one-deviation ellipse reaches beyond the track's axes; null where that is nothing. A track
+    without correlation or variance has no axes."""
+    keys = ["run_id", "tracker_id", "frame"]
+    c = F.col
+    a, b, phi = G.ellipse(c("m00"), c("m01"), c("m11"), 1.0)
+    ex, ey = G.radius_at(a, b, phi, F.lit(0.0)), G.radius_at(a, b, phi, F.pi() / 2)
+    ga, gb, _ = G.ellipse(c("c00"), c("c01"), c("c11"), 1.0)
+    fused = F.when((c("c00") != 0) & (c("c01") != 0), F.sqrt(ga * ga + gb * gb)).otherwise(0.0)
+    seen = detections.select(*keys, "batch_ord", "det_ord", "sensor_id", "confidence", c("cx").alias("mx"), c("cy").alias("my"), c("c00").alias("m00"), c("c01").alias("m01"), c("c11").alias("m11"))
+    rows = joined.join(found.select(*keys, "track_id", "x", "y", "c00", "c01", "c11"), [*keys, "track_id"]).join(seen, [*keys, "batch_ord", "det_ord"])
+    off = F.sqrt((c("mx") - c("x")) * (c("mx") - c("x")) + (c("my") - c("y")) * (c("my") - c("y")))
+    rows = rows.withColumn("score", F.try_divide(off, F.sqrt(ex * ex + ey * ey) - fused))
+    order = F.array_sort(F.collect_list(F.struct("sensor_id", "batch_ord", "det_ord", "score", "confidence")))
+    rows = rows.groupBy(*keys, "track_id").agg(order.alias("of"))
+    return rows.select(*keys, "track_id", F.transform("of", lambda x: F.struct(x["sensor_id"], x["score"])).alias("sensors"), F.transform("of", lambda x: F.struct(x["sensor_id"], x["confidence"])).alias("trust"))
+
+
+def twins(found: DataFrame, reach: float = 12.0) -> DataFrame:
+    """Pairs of tracks of one tracker and frame (a_id below b_id) whose boxes nearly coincide, and the loser: that of scoring.duplicate_loser. `reach` bounds the distance of centres of boxes that can meet."""
+    keys = ["run_id", "tracker_id", "frame"]
+    names = {"x": "x", "y": "y", "w": "width", "l": "length", "angle": "angle", "id": "track_id", "last": "last_seen", "steps": "steps"}
+    a, b = (found.select(*keys, *(F.col(c).alias(f"{side}_{k}") for k, c in names.items())) for side in "ab")
+    pairs = scoring.with_iou(scoring.candidates(a, b, keys, reach).where("a_id < b_id"))
+    return scoring.duplicate_loser(pairs.withColumn("distance", G.iou_distance(F.col("iou")))).select(*keys, "a_id", "b_id", "distance", "loser")
 
 
 def lifetimes(found: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ def site_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.site_junctions(named, named.select("junction_id", "x", "y"))
 
 
-@query(sql("""SELECT s.kind, s.sensor_idx, s.sensor_type, s.max_range, round(s.fov, 6) + 0.0 AS fov, d.detector_type, CAST(len(d.radial) AS INTEGER) AS terms FROM sensors s JOIN detector_types d ON s.detector_type = d.detector_type
-    JOIN (SELECT DISTINCT kind FROM platforms) p ON p.kind = s.kind"""))
+@query(sql("""SELECT p.run_id, p.platform_frames, s.kind, s.sensor_idx, s.sensor_type, s.max_range, round(s.fov, 6) + 0.0 AS fov, d.detector_type, CAST(len(d.radial) AS INTEGER) AS terms FROM sensors s JOIN detector_types d ON s.detector_type = d.detector_type
+    JOIN (SELECT run_id, kind, count(*) AS platform_frames FROM platforms GROUP BY ALL) p ON p.kind = s.kind"""))
 def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = V.platforms(spark, sf_dir).select("kind").distinct()
+    kinds = V.platforms(spark, sf_dir).groupBy("run_id", "kind").agg(F.count("*").alias("platform_frames"))
     rows = V.sensor_table(spark).join(catalogs.detector_types(spark), "detector_type").join(kinds, "kind")
-    return clean(rows.withColumn("terms", F.array_size("radial")), "kind", "sensor_idx", "sensor_type", "max_range", "fov", "detector_type", "terms")
+    return clean(rows.withColumn("terms", F.array_size("radial")), "run_id", "kind", "sensor_idx", "sensor_type", "max_range", "fov", "detector_type", "terms", "platform_frames")
 
 
 _RUNS = "SELECT CAST(row_number() OVER (ORDER BY e, l) - 1 AS INTEGER) AS run_id, (['NONE', 'MALICIOUS_REMOVAL', 'MALICIOUS_ADDITION', 'MALICIOUS_CONVOY', 'LOCALIZATION'])[e + 1] AS error_type, CAST(30 * l AS INTEGER) AS error_level, CAST(30 * l AS DOUBLE) / 100 AS probability FROM range(5) a(e), range(1, 4) b(l)"
@@ -51,7 +51,7 @@ def _with_runs(rows: DataFrame, spark: SparkSession) -> DataFrame:
 @query(sql("SELECT r.run_id, r.error_type, r.error_level, CAST(count(*) AS BIGINT) AS n_rows FROM runs r JOIN raw a ON a.frame % 15 = r.run_id GROUP BY ALL", runs=_RUNS))
 def run_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = catalogs.sweep(spark, *_SWEEP)
-    return _with_runs(V.raw(spark, sf_dir), spark).join(F.broadcast(runs), "run_id").groupBy("run_id", "error_type", "error_level").agg(F.count("*").alias("n_rows"))
+    return _with_runs(V.raw(spark, sf_dir), spark).join(runs, "run_id").groupBy("run_id", "error_type", "error_level").agg(F.count("*").alias("n_rows"))
 
 
 @query(sql(f"SELECT run_id, frame, object_id, {r('cx')}, {r('cy')}, {r('angle')}, {r('vx')}, {r('vy')}, length, width FROM state"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waymesh.functions import kinematics as K
-from waymesh.operators import sensing, tracking
+from waymesh.operators import tracking
 
 from . import views as V
 from .perception import batches
@@ -16,17 +16,23 @@ SITES, EVERYWHERE = 1000, 9999
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = sensing.expected_covariance(F.col("distance_error"), F.col("radial_error"), F.col("bearing"))
-    rows = V.perturbed(spark, sf_dir).withColumns(dict(zip(("c00", "c01", "c11"), cov, strict=True)))
-    return rows.withColumn("det_ord", F.col("slot"))
+    """Detections as trackers take them, with the sensor that made them and the probability it had to."""
+    sensor = F.concat_ws("/", "platform_id", "sensor_idx")
+    return V.measured(spark, sf_dir).withColumns({"det_ord": F.col("slot"), "sensor_id": sensor, "confidence": F.least("probability", F.lit(1.0))})
+
+
+def _platform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir).withColumns({"tracker_id": _number(), "batch_ord": F.col("sensor_idx")})
+
+
+def _number() -> Column:
+    return K.integer_in(F.col("platform_id")) + F.when(F.col("kind") == "CIS", SITES).otherwise(0)
 
 
 def platform_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each platform's batches, one a sensor, and its frames without any."""
-    number = lambda c: K.integer_in(F.col(c)) + F.when(F.col("kind") == "CIS", SITES).otherwise(0)
-    rows = _measured(spark, sf_dir).withColumns({"tracker_id": number("platform_id"), "batch_ord": F.col("sensor_idx")})
-    calendar = V.platforms(spark, sf_dir).withColumn("tracker_id", number("platform_id")).select("run_id", "tracker_id", "frame", "t")
-    return tracking.with_calendar(rows, calendar)
+    calendar = V.platforms(spark, sf_dir).withColumn("tracker_id", _number()).select("run_id", "tracker_id", "frame", "t")
+    return tracking.with_calendar(_platform_rows(spark, sf_dir), calendar)
 
 
 def global_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,3 +60,16 @@ def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def track_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.lifetimes(tracking.tracks(platform_detections(spark, sf_dir)))
+
+
+@query()
+def track_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sensors of each platform's tracks agree with them, and with which confidence they measured."""
+    rows = platform_detections(spark, sf_dir)
+    return tracking.consistency(tracking.tracks(rows), tracking.members(rows), _platform_rows(spark, sf_dir))
+
+
+@query()
+def track_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of all platforms together that nearly coincide, and which of two is to go."""
+    return tracking.twins(tracking.tracks(global_detections(spark, sf_dir), cleanup=0.5))

@@ -11,7 +11,6 @@ from waymesh.operators import augment, scoring, sensing, truth
 from waymesh.sources import catalogs, telemetry
 
 SEED = 42
-RADIUS = 30.0
 #: Sensors of a platform's kind: index, types, extrinsics.
 SENSORS = [("CAV", 0, "CAMERA", "YOLO", 1.0, 0.5, 0.0), ("CAV", 1, "RADAR", "SSD", -1.0, 0.0, 3.0), ("CIS", 0, "OS1_128", "POINT_PILLARS", 0.0, 0.0, 0.0)]
 
@@ -67,7 +66,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensors = poses(spark, sf_dir).select("run_id", "frame", "platform_id", "kind", "sensor_idx", "detector_type", "x", "y", "yaw", "max_range", "fov", "center")
     objects = state(spark, sf_dir).select("run_id", "frame", "t", "slot", "object_id", "cx", "cy", "angle", "width", "length", "vx", "vy")
-    return sensing.visible(sensors, objects, RADIUS)
+    return sensing.visible(sensors, objects)
 
 
 def budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,12 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.perturbed(thinned(spark, sf_dir), SEED, *KEYS)
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with their expected covariances."""
+    cov = sensing.expected_covariance(F.col("distance_error"), F.col("radial_error"), F.col("bearing"))
+    return perturbed(spark, sf_dir).withColumns(dict(zip(("c00", "c01", "c11"), cov, strict=True)))
+
+
 def boxes(rows: DataFrame, side: str, *keep: str) -> DataFrame:
     """Box columns named for one side of a pair; boxes axis-parallel, as closed forms check them."""
     names = {"x": "cx", "y": "cy", "w": "width", "l": "length"}
@@ -164,7 +169,7 @@ VIEWS = {
         p.y + s.ex * sin(p.yaw) + s.ey * cos(p.yaw) AS y, p.yaw + s.eyaw AS yaw FROM platforms p JOIN sensors s ON p.kind = s.kind""",
     "visible": f"""SELECT * FROM (SELECT s.run_id, s.frame, o.t, s.platform_id, s.kind, s.sensor_idx, s.detector_type, s.max_range, s.fov, s.center, o.slot, o.object_id, o.cx, o.cy, o.angle, o.width, o.length, o.vx, o.vy,
         sqrt((o.cx - s.x) * (o.cx - s.x) + (o.cy - s.y) * (o.cy - s.y)) AS distance, {wrap("(atan2(o.cy - s.y, o.cx - s.x) - s.yaw)")} AS bearing FROM poses s JOIN state o ON s.run_id = o.run_id AND s.frame = o.frame)
-        WHERE distance <= {RADIUS} AND distance <= max_range AND distance > 0.001 AND object_id <> platform_id AND abs({wrap("(center - bearing)")}) <= fov""",
+        WHERE distance <= max_range AND distance > 0.001 AND object_id <> platform_id AND abs({wrap("(center - bearing)")}) <= fov""",
     "budgeted": f"""SELECT v.*, {_poly("d.radial", "v.distance")} AS radial_error, {_poly("d.distance", "v.distance")} AS distance_error, {_poly("d.bbox", "v.distance")} AS bbox_error, {_poly("d.prob", "v.distance")} AS probability
         FROM visible v JOIN detector_types d ON v.detector_type = d.detector_type""",
     "thinned": f"SELECT * FROM budgeted WHERE {u('detect', *KEYS)} <= probability",
@@ -174,6 +179,8 @@ VIEWS = {
     "perturbed": f"""SELECT * REPLACE (cx + ea * eb / sqrt(ea * ea * sin(phi) * sin(phi) + eb * eb * cos(phi) * cos(phi) + 1e-10) AS cx,
         cy + ea * eb / sqrt(ea * ea * sin(phi - pi() / 2) * sin(phi - pi() / 2) + eb * eb * cos(phi - pi() / 2) * cos(phi - pi() / 2) + 1e-10) AS cy),
         width + bbox_error * {normal("width", *KEYS)} AS box_width, length + bbox_error * {normal("length", *KEYS)} AS box_length FROM axes""",
+    "expected": """SELECT * REPLACE (distance_error * distance_error * cos(bearing) * cos(bearing) + radial_error * radial_error * sin(bearing) * sin(bearing) AS c00, (radial_error * radial_error - distance_error * distance_error) * sin(bearing) * cos(bearing) AS c01,
+        distance_error * distance_error * sin(bearing) * sin(bearing) + radial_error * radial_error * cos(bearing) * cos(bearing) AS c11) FROM perturbed""",
     "box_pairs": """SELECT *, round(common / (a_w * a_l + b_w * b_l - common), 9) AS iou FROM (SELECT d.run_id, d.frame, d.det_ord, s.slot AS gt_ord, d.width AS a_w, d.length AS a_l, s.width AS b_w, s.length AS b_l,
         greatest(0, least(d.cx + d.width / 2, s.cx + s.width / 2) - greatest(d.cx - d.width / 2, s.cx - s.width / 2)) * greatest(0, least(d.cy + d.length / 2, s.cy + s.length / 2) - greatest(d.cy - d.length / 2, s.cy - s.length / 2)) AS common
         FROM detections d JOIN state s ON d.run_id = s.run_id AND d.frame = s.frame)""",

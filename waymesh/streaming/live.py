@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,14 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from waymesh.operators import safety
-from waymesh.operators.tracking import INPUT, TRACKS, Tracker, table_of
+from waymesh.operators.tracking import INPUT, ORDER, TRACKS, Tracker, table_of
 from waymesh.sources.telemetry import FIRST_MS, FRAME_MS
 
 LATE = "1 second"
 
 
 class TrackingProcessor(StatefulProcessor):
-    """Holds back each tracker's rows until the watermark has passed their frame, then steps through the frames in order."""
+    """Holds back each tracker's rows by frame until the watermark has passed it, then steps through the frames in order; a timer reads and removes its own frame only."""
 
     def __init__(self, cleanup: float = 0.3, compat: bool = True) -> None:
         self.cleanup, self.compat = cleanup, compat
@@ -24,30 +25,27 @@ class TrackingProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tracker = handle.getValueState("tracker", "state binary")
-        self.held = handle.getListState("held", "frame int, t double, batch_ord int, det_ord int, cx double, cy double, width double, length double, angle double, c00 double, c01 double, c11 double")
+        self.held = handle.getMapState("held", "frame int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            part = part[INPUT[2:]].astype(object).where(part[INPUT[2:]].notna(), None)
-            self.held.appendList([tuple(r) for r in part.itertuples(index=False)])
-            for frame in sorted(set(part["frame"])):
-                self.handle.registerTimer(int(frame) * FRAME_MS + FIRST_MS)
-        yield pd.DataFrame(columns=[c.split()[0] for c in TRACKS.split(", ")])
+            for frame, more in part[INPUT[2:]].groupby("frame"):
+                name = (int(frame),)
+                if self.held.containsKey(name):
+                    more = pd.concat((pickle.loads(self.held.getValue(name)[0]), more))
+                else:
+                    self.handle.registerTimer(int(frame) * FRAME_MS + FIRST_MS)
+                self.held.updateValue(name, (pickle.dumps(more),))
+        yield table_of(TRACKS, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = (expiredTimerInfo.getExpiryTimeInMs() - FIRST_MS) // FRAME_MS
-        held = pd.DataFrame([tuple(r) for r in self.held.get()], columns=INPUT[2:])
-        due = held[held["frame"] <= upto]
-        if len(due):
-            state = self.tracker.get() if self.tracker.exists() else None
-            tracker = Tracker.restored(state[0]) if state else Tracker(int(key[1]), self.cleanup, self.compat)
-            found = table_of(int(key[0]), int(key[1]), tracker.run(due))
+        name = ((expiredTimerInfo.getExpiryTimeInMs() - FIRST_MS) // FRAME_MS,)
+        if self.held.containsKey(name):
+            due = pickle.loads(self.held.getValue(name)[0]).sort_values(ORDER, kind="stable", na_position="first")
+            self.held.removeKey(name)
+            tracker = Tracker.restored(self.tracker.get()[0]) if self.tracker.exists() else Tracker(int(key[1]), self.cleanup, self.compat)
+            found = table_of(TRACKS, [(int(key[0]), int(key[1]), *r) for r in tracker.run(due)])
             self.tracker.update((tracker.saved(),))
-            later = held[held["frame"] > upto]
-            later = later.astype(object).where(later.notna(), None)
-            self.held.clear()
-            if len(later):
-                self.held.put([tuple(r) for r in later.itertuples(index=False)])
             yield found
 
     def close(self) -> None:
