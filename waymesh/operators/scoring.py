@@ -13,11 +13,11 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> Dat
     """Pairs of boxes (columns a_ and b_: x, y, w, l, angle) of equal keys whose circles meet.
 
     `reach` bounds the distance of centres of boxes that can meet; the join is on keys and cells of
-    that size."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    spread = a.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumns({"_x": cell("a_x") + F.col("_i"), "_y": cell("a_y") + F.col("_j")}).drop("_i", "_j")
-    placed = b.withColumns({"_x": cell("b_x"), "_y": cell("b_y")})
+    four times that size, of which a box's reach touches two or so."""
+    cell = lambda c: F.floor(c / (4 * reach)).cast("int")
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    spread = a.withColumn("_x", touched("a_x")).withColumn("_y", touched("a_y"))
+    placed = b.withColumns({"_x": cell(F.col("b_x")), "_y": cell(F.col("b_y"))})
     pairs = spread.join(placed, [*keys, "_x", "_y"]).drop("_x", "_y")
     c = F.col
     return pairs.where(G.may_overlap(c("a_x") - c("b_x"), c("a_y") - c("b_y"), c("a_w"), c("a_l"), c("b_w"), c("b_l")))

@@ -115,6 +115,7 @@ class Tracker:
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0))
     updated: np.ndarray = field(default_factory=lambda: np.zeros(0))
     waiting: list[list[np.ndarray]] = field(default_factory=list)
+    gates: tuple[float, np.ndarray] | None = None
     #: Track, batch and number of each measurement of the last step that went into a mature track.
     members: list[tuple[int, int, int]] = field(default_factory=list)
 
@@ -124,20 +125,29 @@ class Tracker:
         self.p = np.zeros((0, n, n)) if self.p is None else self.p
 
     def _gates(self, t: float) -> np.ndarray:
-        """Predicted boxes (x, y, width, length, angle), larger by three deviations."""
-        x, p = self.x, self.p
-        if self.mode != 2 and len(x):
-            dt = t - self.updated
+        """Predicted boxes (x, y, width, length, angle), larger by three deviations. Those of earlier batches of the frame are kept; tracks born since are added."""
+        if self.gates is None or self.gates[0] != t:
+            self.gates = (t, np.zeros((0, 5)))
+        if (n := len(self.gates[1])) < len(self.ids):
+            self.gates = (t, np.concatenate((self.gates[1], self._predicted(t, n))))
+        return self.gates[1]
+
+    def _predicted(self, t: float, n: int) -> np.ndarray:
+        x, p, boxes = self.x[n:], self.p[n:], self.boxes[n:]
+        if self.mode != 2:
+            dt = t - self.updated[n:]
             later = dt >= 0
             f = transitions(np.where(later, dt, 0), self.mode)
             moved = (f @ x[:, :, None])[:, :, 0]
             grown = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode)
             x, p = np.where(later[:, None], moved, x), np.where(later[:, None, None], grown, p)
         a, b = deviations(p)
-        return np.column_stack((x[:, 0], x[:, 1], self.boxes[:, 0] + 3 * a, self.boxes[:, 1] + 3 * b, self.boxes[:, 2]))
+        return np.column_stack((x[:, 0], x[:, 1], boxes[:, 0] + 3 * a, boxes[:, 1] + 3 * b, boxes[:, 2]))
 
     def _distances(self, gates: np.ndarray, dets: np.ndarray) -> np.ndarray:
-        """One less the overlap of boxes, or for "gated_euclidean" a hundredth of the distance inside a detection's box; else one. Computed where circles meet."""
+        """One less the overlap of boxes, or for "gated_euclidean" a hundredth of the distance inside a detection's box; else one.
+
+        Overlaps are computed where circles meet and areas are near enough for a distance below the gate; only those below it matter."""
         out = np.ones((len(gates), len(dets)))
         reach = (np.hypot(gates[:, 2], gates[:, 3])[:, None] + np.hypot(dets[:, 2], dets[:, 3])) / 2
         apart = np.hypot(gates[:, None, 0] - dets[:, 0], gates[:, None, 1] - dets[:, 1])
@@ -145,6 +155,9 @@ class Tracker:
         if self.distance == "gated_euclidean":
             out[i, j] = gated_of(gates[i], dets[j])
         elif self.distance == "iou":
+            one, two = gates[i, 2] * gates[i, 3], dets[j, 2] * dets[j, 3]
+            can = np.minimum(one, two) > (1 - GATE) * (1 - 1e-9) * np.maximum(one, two)
+            i, j = i[can], j[can]
             overlap = iou_of(gates[i], dets[j, :5])
             out[i, j] = np.where(overlap <= 0, 1, 1 - overlap)
         else:
@@ -164,23 +177,23 @@ class Tracker:
             return pairs, used | set(np.unique(j).tolist())
         claims: list[list] = []  # detection, track or None, distance; the first claim of a detection counts
         first_claim: dict[int, int] = {}
-        for track in range(len(distances)):
-            first = True
-            near = np.flatnonzero(distances[track] < GATE)
-            for det in near[np.argsort(distances[track, near], kind="stable")].tolist():
-                d = distances[track, det]
-                if first:
-                    if det not in first_claim:
-                        first_claim[det] = len(claims)
-                        claims.append([det, track, d])
-                        first = False
-                    elif claims[first_claim[det]][2] > d:
-                        claims[first_claim[det]][1:] = [None, 1.0]
-                        claims.append([det, track, d])
-                        first = False
-                elif det not in first_claim:
+        i, j = np.nonzero(distances < GATE)
+        order = np.lexsort((j, distances[i, j], i))  # each track's detections by distance, then number
+        settled = -1  # the last track that has its detection
+        for track, det, d in zip(i[order].tolist(), j[order].tolist(), distances[i[order], j[order]].tolist(), strict=True):
+            claim = first_claim.get(det)
+            if track == settled:
+                if claim is None:
                     first_claim[det] = len(claims)
                     claims.append([det, None, 1.0])
+            elif claim is None:
+                first_claim[det] = len(claims)
+                claims.append([det, track, d])
+                settled = track
+            elif claims[claim][2] > d:
+                claims[claim][1:] = [None, 1.0]
+                claims.append([det, track, d])
+                settled = track
         return [(track, det) for det, track, _ in claims if track is not None], set(first_claim)
 
     def observe(self, t: float, dets: np.ndarray) -> None:
@@ -193,6 +206,7 @@ class Tracker:
             self._born(t, dets[[j for j in range(len(dets)) if j not in known]])
         keep = self.seen > t - self.cleanup
         if not keep.all():
+            self.gates = None
             self.waiting = [w for w, k in zip(self.waiting, keep, strict=True) if k]
             self.ids = [i for i, k in zip(self.ids, keep, strict=True) if k]
             for name in ("boxes", "x", "p", "steps", "seen", "updated"):
@@ -250,6 +264,7 @@ class Tracker:
             self.x[old], self.p[old] = x, p
         self.steps += 1
         self.updated[:] = t
+        self.gates = None
         shown = np.flatnonzero(self.steps > SHOW_AFTER).tolist()
         self.members = [(self.ids[i], int(d[9]), int(d[10])) for i in shown for d in self.waiting[i] if len(d) > 10]
         self.waiting = [[] for _ in self.waiting]

@@ -138,21 +138,17 @@ VIEWED = {
 }
 
 
-def _platform_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.visible(spark, sf_dir).select(*FRAME, F.col("platform_id").alias("ego_id"), *_COLUMNS).dropDuplicates([*EGO, "object_id"])
+def _truth_of(sightings: DataFrame, keys: list[str]) -> DataFrame:
+    return sightings.withColumns({"cx": F.col("true_x"), "cy": F.col("true_y")}).select(*keys, *_COLUMNS).dropDuplicates([*keys, "object_id"])
 
 
-def _platform_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.perturbed(spark, sf_dir).select(*FRAME, F.col("platform_id").alias("ego_id"), (F.col("sensor_idx") * 1000 + F.col("slot")).alias("det_ord"), *_COLUMNS)
+def _seen_by_each(sightings: DataFrame) -> DataFrame:
+    return sightings.where("seen").select(*EGO, (F.col("sensor_idx") * 1000 + F.col("slot")).alias("det_ord"), *_COLUMNS)
 
 
-def _all_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.visible(spark, sf_dir).select(*FRAME, *_COLUMNS).dropDuplicates([*FRAME, "object_id"])
-
-
-def _all_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _seen_by_all(sightings: DataFrame) -> DataFrame:
     """The detections of all platforms, those of one object made one by their covariances."""
-    rows = tracking.pooled(V.measured(spark, sf_dir), [*FRAME, "slot", "object_id", "vx", "vy", "width", "length"], information=True)
+    rows = tracking.pooled(sightings.where("seen"), [*FRAME, "slot", "object_id", "vx", "vy", "width", "length"], information=True)
     return rows.withColumn("det_ord", F.col("slot")).withColumnsRenamed({"x": "cx", "y": "cy"}).select(*FRAME, "det_ord", *_COLUMNS)
 
 
@@ -184,7 +180,8 @@ def _scores(seen: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(sql(f"SELECT run_id, frame, ego_id, truths, detections, matches, {r('f1')} FROM platform_truth_scores", **SCORES))
 def detection_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(_scores(_platform_seen(spark, sf_dir), _platform_truth(spark, sf_dir), EGO), *EGO, "truths", "detections", "matches", "f1")
+    sightings = V.sightings(spark, sf_dir)
+    return clean(_scores(_seen_by_each(sightings), _truth_of(sightings, EGO), EGO), *EGO, "truths", "detections", "matches", "f1")
 
 
 def _both_counts(name: str, truth: str, seen: str) -> dict[str, str]:
@@ -208,11 +205,11 @@ METRICS = {
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vehicle (CAV) and site (CIS) on what it can see and sees; for each vehicle on what all can and see (Global), and one more, without an ego, with the frame's score."""
-    envelopes, egos = catalogs.envelopes(spark), _as_egos(V.platforms(spark, sf_dir))
-    own_truth, own_seen = _platform_truth(spark, sf_dir), _platform_seen(spark, sf_dir)
+    envelopes, egos, sightings = catalogs.envelopes(spark), _as_egos(V.platforms(spark, sf_dir)), V.sightings(spark, sf_dir)
+    own_truth, own_seen = _truth_of(sightings, EGO), _seen_by_each(sightings)
     own = _confused(_counted(egos.select(*EGO), safety.ego_pairs(egos, own_truth, EGO), safety.ego_pairs(egos, own_seen, EGO), envelopes))
     own = own.join(egos.select(*EGO, F.col("kind").alias("source")), EGO).join(_scores(own_seen, own_truth, EGO).select(*EGO, "f1", "truths"), EGO, "left").na.fill(0, ["f1", "truths"])
-    return own.unionByName(_global_metrics(_egos(spark, sf_dir), _all_truth(spark, sf_dir), _all_seen(spark, sf_dir), envelopes).select(*own.columns))
+    return own.unionByName(_global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes).select(*own.columns))
 
 
 def _global_metrics(cavs: DataFrame, truths: DataFrame, seen: DataFrame, envelopes: DataFrame) -> DataFrame:
