@@ -95,3 +95,13 @@ def test_texts_without_a_feature_differ():
     assert all(D.likeness(found[i], found[j]) < 0.5 for i in bare for j in bare if i < j)
     x = raw[bare[0]]
     assert 0.5 < D.likeness(found[bare[0]], D.digests_of([x[:-1] + b"X"], rank)[0]) < 1
+
+
+def test_many_documents_without_an_id_are_split(spark):
+    rows = [(None, f"{'common head ' * (i % 2)}{i} " + "x" * (i % 50)) for i in range(600)] + [(i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts = Counter(r.part for r in D.with_next(df).where("NOT lead").select("part").collect())
+    assert len(parts) >= 8 and max(parts.values()) < 300 and sum(parts.values()) == 900
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = Counter(x[: len(x) - len(x) // 2] + n[: len(x) // 2] for (_, x), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(r.edited_sha256 for r in D.edited_likeness(df).collect()) == Counter({hashlib.sha256(e.encode()).hexdigest(): n for e, n in want.items()})

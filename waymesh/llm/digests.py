@@ -24,6 +24,10 @@ BITS, HASHES, FEATURES = 2048, 5, 160
 SMALL = 8
 _SCALE = 1 << 16
 PIECE = 1 << 18
+#: Ranges of documents at most, and the keys for each that are looked at to cut them.
+PARTS, PICKS = 1 << 16, 10
+#: Bytes of a text by which documents of one id are told apart when ranges are cut.
+PREFIX = 64
 
 _terms = np.concatenate(([0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))))
 #: What one more of a byte adds to the sum of n log n over a window that has n of it, as an integer.
@@ -200,29 +204,49 @@ def fingerprint(digest: np.ndarray) -> str:
 def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals the documents to ranges of ids, and to each range also the documents that follow its last one.
 
-    Columns part, key (the order to read a part in), id, text and lead (true for what is there only
-    to follow). Ranges are set by quantiles of the ids; only their ends reach the driver. The order
-    is by falling id, then text, nulls last; after the last comes the first."""
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    parts = 3 * max(1, rows.rdd.getNumPartitions())
-    cuts = np.unique(np.array(rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts), np.int64))
+    Columns part, lead (true for what is there only to follow), id and text. The order is by falling
+    id, nulls last, then by text; after the last comes the first. Ranges are of the id and the first
+    PREFIX bytes of the text, so many documents of one id, or none, are split too. They are cut by a
+    sample of about PARTS x PICKS keys at most, which decides on the ranges' sizes alone; a key a
+    range reaches the driver besides."""
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("head", F.substring(F.col("text").cast("binary"), 1, PREFIX))
+    parts = min(PARTS, 3 * max(1, rows.rdd.getNumPartitions()))
+    total = rows.count()
+    keys = rows.select("id", "head").where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, total // (parts * PICKS)))) == 0).limit(2 * PARTS * PICKS).toArrow()
+    sample = np.sort(_keys(*(c.combine_chunks() for c in keys.columns)))
+    cuts = np.unique(sample[np.arange(1, parts) * sample.size // parts]) if sample.size else sample
 
     @F.arrow_udf(T.IntegerType())
-    def part(ids: pa.Array) -> pa.Array:
-        place = cuts.size - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), cuts.size + 1, place).astype(np.int32))
+    def part(ids: pa.Array, heads: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, _keys(ids, heads), side="right").astype(np.int32))
 
-    dealt = rows.withColumn("part", part("id"))
-    tops = sorted((r.part, r.top) for r in dealt.groupBy("part").agg(F.max("id").alias("top")).collect())
+    dealt = rows.withColumn("part", part("id", "head"))
+    order = F.struct(F.col("id").isNull(), -F.col("id").cast("decimal(20)"), "head")
+    tops = sorted((r.part, r.top.id, r.top.head) for r in dealt.groupBy("part").agg(F.min_by(F.struct("id", "head"), order).alias("top")).collect())
     # The first document of each range also ends the range before, and that of the first range the last.
-    ends = documents.sparkSession.createDataFrame([(p, top, tops[i - 1][0]) for i, (p, top) in enumerate(tops)], "part int, top long, before int")
-    dealt = dealt.join(F.broadcast(ends), "part")  # a row for each range
+    ends = documents.sparkSession.createDataFrame([(p, i, h, tops[k - 1][0]) for k, (p, i, h) in enumerate(tops)], "part int, top_id long, top_head binary, before int")
+    dealt = dealt.join(F.broadcast(ends), "part")  # a row for each range, PARTS at most
     own = F.struct(F.col("part"), F.lit(False).alias("lead"))
     also = F.struct(F.col("before").alias("part"), F.lit(True).alias("lead"))
-    spread = dealt.select("id", "text", F.explode(F.when(F.col("id").eqNullSafe(F.col("top")), F.array(own, also)).otherwise(F.array(own))).alias("at"))
+    first = F.col("id").eqNullSafe(F.col("top_id")) & (F.col("head") == F.col("top_head"))
+    spread = dealt.select("id", "text", F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own))).alias("at"))
     return spread.select("at.part", "at.lead", "id", "text")
 
 
+def _keys(ids: pa.Array, heads: pa.Array) -> np.ndarray:
+    """Keys that sort as the documents: whether the id is null, the id falling, the head of the text; bytes of one length."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(ids), 9 + PREFIX), np.uint8)
+    out[:, 0] = null
+    falling = ~(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+    out[:, 1:9] = np.where(null, np.uint64(0), falling).astype(">u8").view(np.uint8).reshape(-1, 8)
+    data, starts = byte_view(heads)
+    size = np.diff(starts)
+    row = np.repeat(np.arange(size.size), size)
+    out[row, 9 + np.arange(data.size) - starts[:-1][row]] = data
+    return out.view(f"S{9 + PREFIX}")[:, 0]
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
