@@ -48,7 +48,7 @@ def test_taken_comes_near_the_target(spark):
 
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(M, "SHARD_TOKENS", 20_000)
-    monkeypatch.setattr(M, "LEAST_SEATS", 500)
+    monkeypatch.setattr(M, "SEATS", 500)
     rng = random.Random(5)
     docs = [(i, rng.choice("aaaaaaabcdefg"), "w " * rng.randint(1, 300)) for i in range(2000)]
     rows = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
@@ -62,3 +62,42 @@ def test_repeated_null_and_empty(spark):
     assert len(M.mix(df).collect()) == 4
     assert M.mix(df.where("false")).collect() == []
     assert {r.taken for r in M.mix(df.where("doc_id = 2")).collect()} == {0}
+
+
+def test_small_sources_and_repeated_rows(spark, monkeypatch):
+    """Sources of a thousandth of the corpus come near their targets too; a third of the rows are one row, without an id."""
+    monkeypatch.setattr(M, "SHARD_TOKENS", 5_000)
+    monkeypatch.setattr(M, "SEATS", 400)
+    rng = random.Random(6)
+    docs = [(i, "big", "w " * rng.randint(20, 90)) for i in range(3000)] + [(10_000 + i, f"tiny{i % 4}", "w " * rng.randint(20, 60)) for i in range(80)]
+    docs += [(None, "rep", "w " * 50)] * 1500
+    rows = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    want, got = checked(rows, docs)
+    for s in want:
+        assert abs(got[s] - want[s]) <= 0.03 * want[s] + 60, (s, got[s], want[s])
+    assert sum(r.doc_id is None for r in rows) == 1500
+
+
+def test_taken_equals_brute_force(spark):
+    """In one shard: seats by the highest quotients, then consecutive blocks on each source's ring from some block on."""
+    rng = random.Random(7)
+    docs = [(i, rng.choice("aabc"), "w " * rng.randint(1, 60)) for i in range(400)]
+    rows = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    sizes = defaultdict(int)
+    for _, s, t in docs:
+        sizes[s] += len(t) // 2
+    goal = brute_targets(sizes)
+    block = max(1, round(sum(goal.values()) / M.SEATS))
+    seats = dict.fromkeys(sizes, 0)
+    for _ in range(int(sum(goal.values()) / block + 0.5)):
+        seats[min(sizes, key=lambda s: (-goal[s] / (2 * seats[s] + 1), s))] += 1
+    taken = defaultdict(int)
+    for r in rows:
+        taken[docs[r.doc_id][1]] += r.taken
+    for s in sizes:
+        given = min(seats[s] * block, 2 * sizes[s])
+        assert taken[s] == given, (s, taken[s], given)
+        whole = given // sizes[s]
+        mine = [r for r in rows if docs[r.doc_id][1] == s]
+        assert all(whole * r.size <= r.taken <= (whole + 1) * r.size for r in mine)
+        assert sum(whole * r.size < r.taken < (whole + 1) * r.size for r in mine) <= 2  # only where the chosen blocks begin and end

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Documents are dealt by a seeded hash to shards of about equal size. In each shard, the tokens of
+Documents are dealt by a seeded hash to shards of about equal size; those of a small source to so few
+that it has some blocks in each. In each shard, the tokens of
 each source lie end to end in seeded order and are cut into blocks of equal size; the shard's seats
 (blocks it is to give) go to the sources by the highest quotients weight / (2 k + 1). A source whose
 seats exceed its tokens gives all of them as often as they go into the seats, and for the rest the
@@ -19,8 +20,8 @@ from .common import written
 
 WEIGHTS, GROWTH, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
 SHARD_TOKENS = 1_000_000
-#: Seats of a shard for each source in the corpus, and at least.
-SEATS_A_SOURCE, LEAST_SEATS = 64, 2048
+#: Seats (blocks to give) of a shard, and the blocks that a source has in each shard it is dealt to, at least.
+SEATS, LEAST_BLOCKS = 2048, 64
 
 
 def words(text: Column) -> Column:
@@ -54,22 +55,28 @@ def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights:
     """One row per document: doc_id, size, source_size, target (its source's) and taken (words the mix takes, repeats counted).
 
     Null texts have size 0 and give nothing; a null source is a source of its own, a null id an id
-    like any other. Repeated rows count as often as they stand, in an order set by id, source and
-    size, so that reruns agree. No document gives more than `most` times its size. An empty table
+    like any other; documents with one id are told apart by their texts. Rows that repeat as a whole
+    are counted first and dealt in lots of at most a shard's tokens, so they crowd no shard, and
+    come out as often as they stand. Reruns agree. No document gives more than `most` times its size. An empty table
     gives no rows; other columns are not read."""
     spark = documents.sparkSession
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a key too
-    rows = written(documents.select(F.col(id_col).alias("doc_id"), key.alias("key"), words(F.col("text")).alias("size")), "sizes")
-    sizes = {(r.key[1:] if r.key else None): r.n for r in rows.groupBy("key").agg(F.sum("size").alias("n")).collect()}
+    rows = documents.select(F.col(id_col).alias("doc_id"), key.alias("key"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    rows = written(rows.groupBy("doc_id", "key", "size", "hash").agg(F.count("*").alias("rows")), "sizes")
+    sizes = {(r.key[1:] if r.key else None): r.n for r in rows.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).alias("n")).collect()}
     goal = targets(sizes, weights, growth, most)
     total = sum(goal.values())
     shards = max(1, round(sum(sizes.values()) / SHARD_TOKENS))
-    seats = max(LEAST_SEATS, SEATS_A_SOURCE * len(sizes))
-    block = max(1, round(total / (shards * seats)))
-    of_source = spark.createDataFrame([("" if s is None else f"={s}", n, float(goal[s])) for s, n in sizes.items()], "key string, source_size long, target double")
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
-    here = dealt.groupBy("shard", "key").agg(F.sum("size").alias("tokens")).join(of_source, "key")
+    block = max(1, round(total / (shards * SEATS)))
+    spread = lambda s: max(1, min(shards, int(goal[s] // (LEAST_BLOCKS * block))))
+    of_source = spark.createDataFrame([("" if s is None else f"={s}", n, float(goal[s]), spread(s)) for s, n in sizes.items()], "key string, source_size long, target double, spread long")
+
+    lot = F.greatest(F.lit(1), F.lit(SHARD_TOKENS) / F.greatest("size", F.lit(1))).cast("long")  # rows in a lot
+    dealt = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / lot))))
+    dealt = dealt.withColumn("copies", F.least(lot, F.col("rows") - F.col("lot") * lot)).join(of_source.select("key", "spread"), "key")
+    first, one = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash", "lot"), F.col("spread"))
+    dealt = dealt.withColumn("shard", F.pmod(first + one * F.floor(F.lit(shards) / F.col("spread")), F.lit(shards)))
+    here = dealt.groupBy("shard", "key").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens")).join(of_source, "key")
     here = here.withColumn("weight", F.expr("if(source_size = 0, 0D, target * tokens / source_size)"))
     in_shard = Window.partitionBy("shard")
     here = here.withColumn("shard_seats", F.round(F.sum("weight").over(in_shard) / block).cast("long"))
@@ -82,9 +89,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights:
     quota = won.groupBy("shard", "key").agg(F.count("*").alias("seats"))
     shares = here.join(quota, ["shard", "key"], "left").select("shard", "key", "tokens", "source_size", "target", F.coalesce("seats", F.lit(0).cast("long")).alias("seats"))
 
-    place = Window.partitionBy("shard", "key").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    placed = dealt.withColumn("end", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    found = placed.join(shares, ["shard", "key"])
+    place = Window.partitionBy("shard", "key").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "hash", "lot"), "doc_id", "hash", "size", "lot")
+    placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    found = placed.join(shares, ["shard", "key"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    found = found.withColumn("end", F.col("end") - (F.col("copies") - F.col("copy")) * F.col("size"))
     found = found.withColumns({"begin": F.col("end") - F.col("size"), "at": _unit(F.lit(seed + 2), "shard", "key")})
     found = found.withColumn("given", F.least(F.col("seats") * block, F.floor(F.col("tokens") * F.lit(float(most))).cast("long")))
     found = found.withColumns({"rounds": F.expr("if(tokens = 0, 0, given div tokens)"), "rest": F.expr("if(tokens = 0, 0, given % tokens)"), "first": F.floor(F.col("at") * F.floor(F.col("tokens") / block)).cast("long") * block})
