@@ -171,9 +171,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprints")
     links = postings(distinct).repartition("list").sortWithinPartitions("list").mapInArrow(_links, "a long, b long")
     root = components(written(links, "links")).withColumnRenamed("node", "fp")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(rooted, "fp")
+    # Both sides of each join are written, so that adaptive execution splits a large group over tasks.
+    rooted = written(distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
+    return rows.join(written(rooted.join(named, "root").select("fp", "root", "component_id"), "groups"), "fp")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
