@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, a temporary one, if driver and executors are one process."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="waymesh-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
