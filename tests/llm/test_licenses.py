@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -37,3 +39,20 @@ def test_sql_gives_the_same(spark):
     con.execute("CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM (VALUES " + ", ".join("(?::BIGINT, ?::VARCHAR)" for _ in CASES).replace("?::BIGINT", "{}").replace("?::VARCHAR", "{}").format(*[("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'") for c in CASES for v in c[:2]]) + ") t(doc_id, text)")
     df = spark.createDataFrame([c[:2] for c in CASES], "doc_id long, text string")
     assert sorted(map(tuple, L.scan(df).collect()), key=str) == sorted(con.execute(L.SCAN_SQL).fetchall(), key=str)
+
+
+def test_a_table_with_licences(spark):
+    """Every known text, in capitals, wrapped, with a holder; and every text that this system has of those known by digest."""
+    rows = [(k, "Copyright (c) 2001 Some One\n" + t.upper().replace(" ", "\n  ")) for k, t in L.KNOWN]
+    folder = Path("/usr/share/common-licenses")
+    for name, k in {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items():
+        if (folder / name).exists():
+            text = (folder / name).read_text()
+            rows += [(k, text), (k, text.replace("http:", "https:").lower()), (None, text[:-200])]
+    assert len(L.DIGESTS) == len(set(L.DIGESTS)) < 200
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in L.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+    own = spark.createDataFrame([("mine", "A licence of my own."), ("none", "...")], "license_id string, text string")
+    asked = spark.createDataFrame([(1, "a LICENSE of my own"), (2, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in L.scan(asked, own).collect()} == {(1, "mine"), (2, None)}
