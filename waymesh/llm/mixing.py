@@ -69,7 +69,9 @@ def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights:
     shards = max(1, round(sum(sizes.values()) / SHARD_TOKENS))
     block = max(1, round(total / (shards * SEATS)))
     spread = lambda s: max(1, min(shards, int(goal[s] // (LEAST_BLOCKS * block))))
-    of_source = spark.createDataFrame([("" if s is None else f"={s}", n, float(goal[s]), spread(s)) for s, n in sizes.items()], "key string, source_size long, target double, spread long")
+    of_source = [("" if s is None else f"={s}", n, float(goal[s]), spread(s)) for s, n in sizes.items()]
+    # Written, so that Spark knows its size and broadcasts it if that is small.
+    of_source = written(spark.createDataFrame(of_source, "key string, source_size long, target double, spread long").coalesce(1), "sources")
 
     lot = F.greatest(F.lit(1), F.lit(SHARD_TOKENS) / F.greatest("size", F.lit(1))).cast("long")  # rows in a lot
     dealt = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / lot))))
