@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -80,3 +81,76 @@ def test_long_lists_are_walked_to_the_same_groups():
 
     every = [(a, b) for a, b in combinations(fp.tolist(), 2) if (a ^ b).bit_count() <= 4]
     assert groups(zip(*S._linked(lists, fp), strict=True)) == groups(every)
+
+
+def shingles(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def likeness(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def test_similar_groups_against_shingles(spark):
+    """Groups against the similarity of all pairs of texts: what is 0.87 alike is linked, what is never linked by pairs of 0.7 is not."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = []
+    for i in range(40):
+        t = list(rng.choice(words, int(rng.integers(60, 400))))
+        rows.append((i * 10, " ".join(t)))
+        for j in range(1, int(rng.integers(1, 7))):
+            for at in rng.integers(0, len(t), max(1, len(t) // 80)):
+                t[int(at)] = f"New{int(rng.integers(10**6))}"
+            rows.append((i * 10 + j, "\n".join(t)))
+    rows += [(9001, None), (9002, ""), (9003, " \t"), (9004, "One\x0btwo"), (9005, "one TWO"), (9005, "one TWO"), (None, "one two"), (9006, "one three"), (9007, "x " * 30000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as fp", "2 as component_id", "3 as list", "4 as bytes")
+    found = S.similar_groups(df).collect()
+    assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows)
+    of = {r.doc_id: r.component_id for r in found}
+    assert of[9001] == of[9002] == of[9003] == 9001 and of[9004] == of[9005] == of[None] == 9004 and of[9006] == 9006
+    parent = {k: k for k, _ in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    alike = missed = 0
+    sets = [(k, shingles(t)) for k, t in rows]
+    for (a, x), (b, y) in combinations(sets, 2):
+        if (j := likeness(x, y)) >= 0.7:
+            parent[find(a)] = find(b)
+        if j >= 0.87:
+            alike += 1
+            missed += of[a] != of[b]
+    assert alike > 40 and missed == 0
+    assert all(find(a) == find(b) for a, b in combinations(of, 2) if of[a] == of[b])
+    kept = [r.doc_id for r in S.representatives(df, similar=True).collect()]
+    assert sorted(kept) == sorted(set(of.values()))
+
+
+def test_pairs_of_similarity_meet_in_a_list():
+    """Recall of the lists and of the bits, on pairs of a known share of equal shingles."""
+    rng = np.random.default_rng(4)
+    linked = []
+    for _ in range(200):
+        w = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        v = list(w)
+        while (j := likeness(shingles(" ".join(w)), shingles(" ".join(v)))) > 0.86:
+            v[int(rng.integers(300))] = f"x{int(rng.integers(10**6))}"
+        a, b = (S.majority(S.shingle_hashes(" ".join(x).encode(), S.WIDE_WORDS), S.WIDE_LONGS) for x in (w, v))
+        meet = (a.view(np.uint8) == b.view(np.uint8))[S.WIDE_TRIPLES].all(axis=1).any()
+        linked.append(bool(meet and np.bitwise_count(a ^ b).sum() <= S.WIDE_BITS and j >= 0.8))
+    assert np.mean(linked) >= 0.9
+
+
+def test_majority_of_many_hashes():
+    h = np.random.default_rng(2).integers(0, 2**63, 9000, dtype=np.uint64)
+    assert int(S.majority(h)[0]) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > h.size)
+    assert S.majority(h, 4)[0] == S.majority(h)[0] and S.majority(h[:0], 3).tolist() == [0, 0, 0]
+
+
+def test_similar_groups_of_an_empty_table(spark):
+    assert S.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
