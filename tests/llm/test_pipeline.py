@@ -51,7 +51,7 @@ def test_each_stage_on_its_own_input(spark, corpus):
     n = docs.count()
     kept = P.quality_classifier(spark, docs, sf)
     assert kept.columns == P.COLUMNS and 0 < kept.count() <= n - 5
-    groups = {(r.fingerprint if r.component_id is None else r.component_id) for r in simhash.near_duplicate_groups(docs).collect()}
+    groups = {r.component_id for r in simhash.similar_groups(docs).collect()}
     assert P.simhash_near_duplicates(spark, docs, sf).count() == len(groups)
     cut = {(r.doc_id, r.n_removed > 0): r.kept for r in repeats.without_repeats(docs, length=P.REPEAT_BYTES, gram=P.REPEAT_GRAM).collect()}
     for r in P.suffix_array_dedup(spark, docs, sf).collect():
