@@ -56,3 +56,16 @@ def test_odd_rows(spark):
     none = Q.train(docs, labels.where("false"))
     assert np.allclose([r.score for r in Q.with_quality(docs, none).collect()], 0.5, atol=1e-6)
     assert Q.with_quality(docs.where("false"), none).collect() == []
+
+
+def test_training_sample_is_bounded(spark):
+    """Repeated ids give one text, and texts of very many lines none: the field is that of the rest."""
+    good, bad = "A plain line of words.\nAnd one more of them.", "!! $$ ##\n!! $$ ##"
+    few = [(i, good if i % 2 else bad) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = Q.train(make(few), labels, lines=2000)
+    got = Q.train(make(few * 3 + [(50, "x\n" * 5000), (51, "x\n" * 30)]), labels, lines=2000)
+    assert np.allclose(want.weights, got.weights) and np.allclose(want.transition, got.transition)
+    fewer = Q.train(make(few), labels, lines=10)
+    assert np.isfinite(fewer.weights).all()

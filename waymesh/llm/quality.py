@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import byte_view, prefix_hash, span_hash
 
 #: At most so many labelled documents train the field; the rest of the corpus is scored, never sampled.
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
 THRESHOLD = 0.3
 PIECE = 1 << 20
 
@@ -179,14 +179,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Field:
-    """The field from at most `limit` labelled documents (those of least hash of their id) outside the held-out fifth.
+def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
+    """The field from at most `limit` labelled documents (those of least hash of their id) outside the held-out fifth, and of these
+    from as many, in the same order, as have `lines` lines together; a document of more than a hundredth of these is left out of the sample.
 
-    Labels that are null are skipped; of repeated labels of an id the least counts. Without any
-    labelled document all scores are 0.5. Only the sample's line features reach the driver."""
+    Labels that are null are skipped; of repeated labels of an id the least counts, of repeated ids the text of least hash.
+    Without any labelled document all scores are 0.5. Only the sample's line features reach the driver."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("train_id"), F.col("quality").cast("int").alias("label"))
-    texts = documents.select(F.col("doc_id").alias("train_id"), "text").join(F.broadcast(sample), "train_id").select("train_id", "text", "label")
+    has = F.length(F.regexp_replace("text", "[^\n]", "")) + 1
+    texts = documents.select(F.col("doc_id").alias("train_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "train_id")
+    texts = texts.withColumn("lines", has.cast("long")).where(F.col("lines") <= max(1, lines // 100))
+    texts = texts.groupBy("train_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text", "lines")).alias("least")).select("train_id", "label", "least.text", "least.lines")
+    before = F.sum("lines").over(Window.orderBy(F.xxhash64("train_id"), "train_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    texts = texts.withColumn("before", before).where(F.col("before") <= lines).select("train_id", "text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
