@@ -187,10 +187,10 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, line
     Without any labelled document all scores are 0.5. Only the sample's line features reach the driver."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("train_id"), F.col("quality").cast("int").alias("label"))
-    has = F.length(F.regexp_replace("text", "[^\n]", "")) + 1
     texts = documents.select(F.col("doc_id").alias("train_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "train_id")
-    texts = texts.withColumn("lines", has.cast("long")).where(F.col("lines") <= max(1, lines // 100))
-    texts = texts.groupBy("train_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text", "lines")).alias("least")).select("train_id", "label", "least.text", "least.lines")
+    texts = texts.groupBy("train_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("train_id", "label", "least.text")
+    # Counted after the grouping, so that the filter is not pushed down to the texts of all documents.
+    texts = texts.withColumn("lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")).where(F.col("lines") <= max(1, lines // 100))
     before = F.sum("lines").over(Window.orderBy(F.xxhash64("train_id"), "train_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     texts = texts.withColumn("before", before).where(F.col("before") <= lines).select("train_id", "text", "label")
 
