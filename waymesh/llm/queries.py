@@ -11,6 +11,7 @@ from . import decontaminate as _decontaminate
 from . import digests as _digests
 from . import html_text as _html_text
 from . import licenses as _licenses
+from . import manifest as _manifest
 from . import mixing as _mixing
 from . import quality as _quality
 from . import repeats as _repeats
@@ -96,3 +97,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = _tokens
 @_query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = _manifest.PROOFS_SQL
