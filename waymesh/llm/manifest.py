@@ -273,7 +273,7 @@ def _sql(levels: int = 8) -> str:
     inside, last, folded = _sql_levels("nodes", "paths", levels)
     above, top, ends = _sql_levels("tops", "ways", levels)
     return f"""
-WITH leaves AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '-') AS t, sha256({row}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({changed}) ELSE sha256({row}) END AS changed FROM documents),
+WITH leaves AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '-') AS t, sha256({row}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN sha256({changed}) ELSE sha256({row}) END AS changed FROM documents),
 nodes AS MATERIALIZED (SELECT t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS d, doc_id, changed FROM leaves),
 paths AS MATERIALIZED (SELECT doc_id, d AS leaf, t, p, changed AS new, '' AS proof FROM nodes),{inside},
 tops AS MATERIALIZED (SELECT '' AS t, row_number() OVER (ORDER BY t) - 1 AS p, d, t AS name FROM {last}),
