@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as _decontaminate
 from . import digests as _digests
@@ -13,6 +13,7 @@ from . import html_text as _html_text
 from . import licenses as _licenses
 from . import manifest as _manifest
 from . import mixing as _mixing
+from . import negatives as _negatives
 from . import quality as _quality
 from . import repeats as _repeats
 from . import simhash as _simhash
@@ -105,3 +106,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_merkle_manifest"] = _manifest.PROOFS_SQL
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The negatives of embeddings whose labels are moved on by one where seven divides the id."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return _negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+ORACLES["op13_hard_negatives"] = _negatives.NEGATIVES_SQL
