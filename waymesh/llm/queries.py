@@ -14,6 +14,7 @@ from . import licenses as _licenses
 from . import manifest as _manifest
 from . import mixing as _mixing
 from . import negatives as _negatives
+from . import neighbours as _neighbours
 from . import quality as _quality
 from . import repeats as _repeats
 from . import simhash as _simhash
@@ -116,3 +117,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_hard_negatives"] = _negatives.NEGATIVES_SQL
+
+
+@_query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.nearest(table(spark, sf_dir, "embeddings"))
