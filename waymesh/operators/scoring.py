@@ -4,22 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from waymesh import scratch
 from waymesh.functions import geometry as G
 
 LEAST_IOU = 0.5
 
 
-def candidates(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Pairs of boxes (columns a_ and b_: x, y, w, l, angle) of equal keys whose circles meet.
+def _diagonal(side: str) -> Column:
+    w, l = F.col(f"{side}_w"), F.col(f"{side}_l")
+    return F.sqrt(w * w + l * l)
 
-    `reach` bounds the distance of centres of boxes that can meet; the join is on keys and cells of
-    four times that size, of which a box's reach touches two or so."""
-    cell = lambda c: F.floor(c / (4 * reach)).cast("int")
-    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
-    spread = a.withColumn("_x", touched("a_x")).withColumn("_y", touched("a_y"))
-    placed = b.withColumns({"_x": cell(F.col("b_x")), "_y": cell(F.col("b_y"))})
-    pairs = spread.join(placed, [*keys, "_x", "_y"]).drop("_x", "_y")
+
+def _level(side: str) -> Column:
+    """The power of two, as its exponent, that the box's diagonal does not exceed; from 2^-10 to 2^30."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(_diagonal(side), F.lit(1e-3)))), F.lit(-10)), F.lit(30)).cast("int")
+
+
+def _levels(boxes: DataFrame, side: str) -> DataFrame:
+    return boxes.agg(F.array_sort(F.collect_set(_level(side))).alias("_levels"))
+
+
+def _spread(boxes: DataFrame, side: str) -> DataFrame:
+    """Each box in the cells of its own level that the centre of a box of that level or a lower one can be in if it meets it: three by three at most."""
+    size, half = F.pow(F.lit(2.0), F.col("_level")), (_diagonal(side) + F.pow(F.lit(2.0), F.col("_level"))) / 2 + 1e-6
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / size), F.floor((F.col(c) + half) / size)))
+    return boxes.withColumn("_level", _level(side)).withColumn("_x", touched(f"{side}_x")).withColumn("_y", touched(f"{side}_y"))
+
+
+def _placed(boxes: DataFrame, side: str, levels: DataFrame, above: int) -> DataFrame:
+    """Each box in the cell of its centre, at each of the levels that is `above` its own or higher."""
+    own = _level(side) + above
+    rows = boxes.join(F.broadcast(levels)).withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= own))).drop("_levels")  # a row of at most 41 levels
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    return rows.withColumns({"_x": F.floor(F.col(f"{side}_x") / size), "_y": F.floor(F.col(f"{side}_y") / size)})
+
+
+def candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of boxes (columns a_ and b_: x, y, w, l, angle) of equal keys whose circles meet, whatever their sizes.
+
+    The grid is hierarchical: a box belongs to the level whose cells are as wide as its diagonal, or up to
+    twice. The larger box of a pair is spread over the cells about it at its level, the other stands in
+    one cell of that level, so a pair meets once, and joins are on keys, level and cell. Only levels that
+    the other side has are used: where all boxes are of one level the second join is empty."""
+    cells = [*keys, "_level", "_x", "_y"]
+    of_a, of_b = _levels(a, "a"), _levels(b, "b")
+    higher = b.join(F.broadcast(of_a)).where(_level("b") > F.array_min("_levels")).drop("_levels")  # a row
+    one = _spread(a, "a").join(_placed(b, "b", of_a, 0), cells)
+    two = _spread(higher, "b").join(_placed(a, "a", of_b, 1), cells)
     c = F.col
+    pairs = one.unionByName(two).drop("_level", "_x", "_y")
     return pairs.where(G.may_overlap(c("a_x") - c("b_x"), c("a_y") - c("b_y"), c("a_w"), c("a_l"), c("b_w"), c("b_l")))
 
 
@@ -28,19 +61,30 @@ def with_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", F.round(G.iou(*(F.col(f"{s}_{c}") for s in "ab" for c in ("x", "y", "w", "l", "angle"))), 9))
 
 
-def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """How many detections match: in order, each takes the first truth above the least overlap that is free.
+def first_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The matching that takes the pairs (det_ord, gt_ord) of each set of keys in order, each if neither side is taken.
 
-    pairs: det_ord, gt_ord and iou. Only pairs above the bound are gathered, per frame."""
-    good = pairs.where(F.col("iou") > LEAST_IOU).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det_ord", "gt_ord"))).alias("pairs"))
-    start = F.struct(F.array().cast("array<int>").alias("dets"), F.array().cast("array<int>").alias("gts"))
+    By rounds: a pair that is the first left for both its sides is taken, and the pairs of its sides
+    go. All that are taken in a round are independent, so this is the same matching. A round is
+    windows over one side of one set of keys, so nothing is gathered by set; most pairs are the only
+    ones of their sides and go in the first. There are as many rounds as the longest chain of pairs
+    that wait for each other; their tables are written."""
+    found, left = None, scratch.written(pairs.select(*keys, "det_ord", "gt_ord").distinct(), "pairs")
+    while True:
+        det, gt = Window.partitionBy(*keys, "det_ord"), Window.partitionBy(*keys, "gt_ord")
+        rows = left.withColumn("_gt", F.min("gt_ord").over(det)).withColumn("_taken", (F.min("det_ord").over(gt) == F.col("det_ord")) & (F.col("_gt") == F.col("gt_ord")))
+        rows = rows.withColumn("_gone", F.max("_taken").over(gt) | F.max("_taken").over(det))
+        rows = scratch.written(rows.drop("_gt"), "pairs")
+        taken = rows.where("_taken").select(*keys, "det_ord", "gt_ord")
+        found = taken if found is None else found.unionByName(taken)
+        left = rows.where("NOT _gone").select(*keys, "det_ord", "gt_ord")
+        if left.isEmpty():
+            return found
 
-    def step(state: Column, pair: Column) -> Column:
-        taken = F.array_contains(state["dets"], pair["det_ord"]) | F.array_contains(state["gts"], pair["gt_ord"])
-        more = F.struct(F.array_append(state["dets"], pair["det_ord"]).alias("dets"), F.array_append(state["gts"], pair["gt_ord"]).alias("gts"))
-        return F.when(taken, state).otherwise(more)
 
-    return good.select(*keys, F.array_size(F.aggregate("pairs", start, step)["gts"]).cast("long").alias("matches"))
+def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """How many detections match: in order, each takes the first truth above the least overlap (column iou) that is free."""
+    return first_pairs(pairs.where(F.col("iou") > LEAST_IOU), keys).groupBy(*keys).agg(F.count("*").alias("matches"))
 
 
 def f1(matches: Column, detections: Column, truths: Column) -> Column:

@@ -383,12 +383,12 @@ def consistency(found: DataFrame, joined: DataFrame, detections: DataFrame) -> D
     return rows.select(*keys, "track_id", F.transform("of", lambda x: F.struct(x["sensor_id"], x["score"])).alias("sensors"), F.transform("of", lambda x: F.struct(x["sensor_id"], x["confidence"])).alias("trust"))
 
 
-def twins(found: DataFrame, reach: float = 12.0) -> DataFrame:
-    """Pairs of tracks of one tracker and frame (a_id below b_id) whose boxes nearly coincide, and the loser: that of scoring.duplicate_loser. `reach` bounds the distance of centres of boxes that can meet."""
+def twins(found: DataFrame) -> DataFrame:
+    """Pairs of tracks of one tracker and frame (a_id below b_id) whose boxes nearly coincide, and the loser: that of scoring.duplicate_loser."""
     keys = ["run_id", "tracker_id", "frame"]
     names = {"x": "x", "y": "y", "w": "width", "l": "length", "angle": "angle", "id": "track_id", "last": "last_seen", "steps": "steps"}
     a, b = (found.select(*keys, *(F.col(c).alias(f"{side}_{k}") for k, c in names.items())) for side in "ab")
-    pairs = scoring.with_iou(scoring.candidates(a, b, keys, reach).where("a_id < b_id"))
+    pairs = scoring.with_iou(scoring.candidates(a, b, keys).where("a_id < b_id"))
     return scoring.duplicate_loser(pairs.withColumn("distance", G.iou_distance(F.col("iou")))).select(*keys, "a_id", "b_id", "distance", "loser")
 
 

@@ -39,10 +39,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safety.ego_pairs(_egos(spark, sf_dir), V.state(spark, sf_dir).select(*FRAME, "object_id", "cx", "cy", "vx", "vy"), FRAME)
 
 
-def _seen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return safety.ego_pairs(_egos(spark, sf_dir), V.detections(spark, sf_dir).select(*FRAME, F.col("truth_id").alias("object_id"), "cx", "cy", "vx", "vy"), FRAME)
-
-
 @query(sql(f"SELECT run_id, frame, ego_id, object_id, {r('dlong')}, {r('dlat')}, {r('vlong')}, {r('vlat')} FROM pairs", **PAIRS))
 def ego_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(_pairs(spark, sf_dir), *EGO, "object_id", "dlong", "dlat", "vlong", "vlat")
@@ -66,13 +62,13 @@ COUNTS = {**PAIRS, "truth_counts": _COUNT.format(pairs="pairs"), "seen_counts":
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(_egos(spark, sf_dir).select(*EGO), _pairs(spark, sf_dir), _seen_pairs(spark, sf_dir), catalogs.envelopes(spark))
+    seen = V.detections(spark, sf_dir).withColumn("object_id", F.col("truth_id"))
+    return _counted(_egos(spark, sf_dir), V.state(spark, sf_dir), seen, FRAME, catalogs.envelopes(spark))
 
 
-def _counted(calendar: DataFrame, truth_pairs: DataFrame, seen_pairs: DataFrame, envelopes: DataFrame) -> DataFrame:
-    category = envelopes.where("category = 'Aggressive'")
-    both = [safety.counts(p, calendar, EGO, category).withColumnsRenamed({"envelope": f"envelope_{n}", "ttc": f"ttc_{n}"}) for n, p in (("truth", truth_pairs), ("seen", seen_pairs))]
-    return both[0].join(both[1], EGO)
+def _counted(egos: DataFrame, truths: DataFrame, seen: DataFrame, keys: list[str], envelopes: DataFrame) -> DataFrame:
+    sides = [rows.select(*keys, F.lit(side).alias("side"), "object_id", "cx", "cy", "vx", "vy") for side, rows in (("truth", truths), ("seen", seen))]
+    return safety.violations(egos.drop("kind"), sides[0].unionByName(sides[1]), keys, envelopes.where("category = 'Aggressive'"))
 
 
 @query(sql("SELECT * FROM counts", **COUNTS))
@@ -173,7 +169,7 @@ SCORES = {**VIEWED, **_scores_sql("platform_seen", "platform_truth", "run_id, fr
 def _scores(seen: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
     """Of each set of keys with something to see: truths, detections, matches and f1."""
     a, b = V.boxes(seen, "a", *keys, "det_ord"), V.boxes(truths, "b", *keys, F.col("slot").alias("gt_ord"))
-    matches = scoring.greedy_matches(scoring.with_iou(scoring.candidates(a, b, keys, 6.0)), keys)
+    matches = scoring.greedy_matches(scoring.with_iou(scoring.candidates(a, b, keys)), keys)
     rows = truths.groupBy(*keys).agg(F.count("*").alias("truths")).join(seen.groupBy(*keys).agg(F.count("*").alias("detections")), keys, "left").join(matches, keys, "left")
     return rows.na.fill(0, ["detections", "matches"]).withColumn("f1", scoring.f1(F.col("matches"), F.col("detections"), F.col("truths")))
 
@@ -207,13 +203,13 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vehicle (CAV) and site (CIS) on what it can see and sees; for each vehicle on what all can and see (Global), and one more, without an ego, with the frame's score."""
     envelopes, egos, sightings = catalogs.envelopes(spark), _as_egos(V.platforms(spark, sf_dir)), V.sightings(spark, sf_dir)
     own_truth, own_seen = _truth_of(sightings, EGO), _seen_by_each(sightings)
-    own = _confused(_counted(egos.select(*EGO), safety.ego_pairs(egos, own_truth, EGO), safety.ego_pairs(egos, own_seen, EGO), envelopes))
+    own = _confused(_counted(egos, own_truth, own_seen, EGO, envelopes))
     own = own.join(egos.select(*EGO, F.col("kind").alias("source")), EGO).join(_scores(own_seen, own_truth, EGO).select(*EGO, "f1", "truths"), EGO, "left").na.fill(0, ["f1", "truths"])
     return own.unionByName(_global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes).select(*own.columns))
 
 
 def _global_metrics(cavs: DataFrame, truths: DataFrame, seen: DataFrame, envelopes: DataFrame) -> DataFrame:
-    rows = _confused(_counted(cavs.select(*EGO), safety.ego_pairs(cavs, truths, FRAME), safety.ego_pairs(cavs, seen, FRAME), envelopes)).withColumns({"f1": F.lit(0.0), "truths": F.lit(0).cast("long")})
+    rows = _confused(_counted(cavs, truths, seen, FRAME, envelopes)).withColumns({"f1": F.lit(0.0), "truths": F.lit(0).cast("long")})
     frames = _scores(seen, truths, FRAME).withColumns({"ego_id": F.lit(None).cast("string")} | {c: F.lit(0).cast("long") for c in report.COUNTERS})
     return rows.unionByName(frames.select(*rows.columns)).withColumn("source", F.lit("Global"))
 
@@ -310,7 +306,7 @@ def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of three truth boxes as tracks, half a metre larger, against the detections of their frame."""
     a = V.boxes(V.state(spark, sf_dir).where("slot % 3 <> 0").withColumns({"width": F.col("width") + 0.5, "length": F.col("length") + 0.5}), "a", *FRAME, F.col("slot").alias("gt_ord"))
     b = V.boxes(V.detections(spark, sf_dir), "b", *FRAME, "det_ord")
-    pairs = scoring.with_iou(scoring.candidates(a, b, FRAME, 6.0))
+    pairs = scoring.with_iou(scoring.candidates(a, b, FRAME))
     return pairs.select(*FRAME, "gt_ord", "det_ord", F.round(G.iou_distance(F.col("iou")), 9).alias("distance"))
 
 

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from waymesh import scratch
 from waymesh.functions import kinematics as K, seeded
 from waymesh.operators import augment, scoring, sensing, truth
 from waymesh.sources import catalogs, telemetry
@@ -87,11 +88,11 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every platform can see, at its true place (true_x, true_y) and where it would be detected, with the expected covariance; and whether it is (seen).
 
-    Reports take it apart in many ways, so it is kept; the caller may unpersist it."""
+    Reports take it apart in many ways, so it is written."""
     rows = budgeted(spark, sf_dir).withColumns({"true_x": F.col("cx"), "true_y": F.col("cy"), "seen": seeded.uniform(SEED, "detect", *KEYS) <= F.col("probability")})
     cov = sensing.expected_covariance(F.col("distance_error"), F.col("radial_error"), F.col("bearing"))
     rows = augment.perturbed(rows, SEED, *KEYS).withColumns(dict(zip(("c00", "c01", "c11"), cov, strict=True)))
-    return rows.select("run_id", "frame", F.col("platform_id").alias("ego_id"), "sensor_idx", "slot", "object_id", "true_x", "true_y", "cx", "cy", "vx", "vy", "width", "length", "c00", "c01", "c11", "seen").persist()
+    return scratch.written(rows.select("run_id", "frame", F.col("platform_id").alias("ego_id"), "sensor_idx", "slot", "object_id", "true_x", "true_y", "cx", "cy", "vx", "vy", "width", "length", "c00", "c01", "c11", "seen"), "sightings")
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections and truth of a frame whose boxes may overlap, with the overlap."""
     a = boxes(detections(spark, sf_dir), "a", "run_id", "frame", "det_ord")
     b = boxes(state(spark, sf_dir), "b", "run_id", "frame", F.col("slot").alias("gt_ord"))
-    return scoring.with_iou(scoring.candidates(a, b, ["run_id", "frame"], 6.0))
+    return scoring.with_iou(scoring.candidates(a, b, ["run_id", "frame"]))
 
 
 def clean(rows: DataFrame, *columns: str) -> DataFrame:
