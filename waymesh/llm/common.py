@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from waymesh.scratch import cleaned, fresh_dir, removed, shared_dir, written  # noqa: F401
+
 
 BATCH_BYTES = "8m"
 
@@ -25,33 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, a temporary one, if driver and executors are one process."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="waymesh-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage is cut and nothing is computed twice."""
-    path = path or fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that no later plan reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column end to end, and where each row starts (one more entry than rows); nulls are empty."""
     kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
