@@ -16,14 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_view, mixed, prefix_hash, span_hash
+from .common import byte_view, mixed
 
 WINDOW, AROUND, POINTS = 32, 32, 8
 BITS, HASHES, FEATURES = 2048, 5, 160
-#: Texts with fewer bytes than a window and a neighbourhood take all of their windows of this size; digests of other texts without a feature the different ones.
+#: Bytes of a small window.
 SMALL = 8
+#: Texts of at most so many bytes, or with fewer features than that, also have filters of their small windows, which are compared where both texts have them.
+SHORT, FEW = 256, 4
 _SCALE = 1 << 16
-PIECE = 1 << 18
+PIECE, ROWS = 1 << 18, 4096
 #: Ranges of documents at most, and the keys for each that are looked at to cut them.
 PARTS, PICKS = 1 << 16, 10
 #: Bytes of a text by which documents of one id are told apart when ranges are cut.
@@ -76,58 +78,41 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _small_windows(text: np.ndarray) -> np.ndarray:
-    text = np.concatenate((text, np.zeros(max(0, SMALL - text.size), np.uint8)))
+def small_windows(text: np.ndarray) -> np.ndarray:
+    """Hashes of the different windows of SMALL bytes that end in the text, in order of their first places; zeros stand before it."""
+    if not text.size:
+        return np.zeros(0, np.uint64)
+    text = np.concatenate((np.zeros(SMALL - 1, np.uint8), text))
     grams = np.lib.stride_tricks.sliding_window_view(text, SMALL).copy().view(np.uint64)[:, 0]
-    return mixed(grams ^ np.uint64(SMALL))
+    return mixed(grams[np.sort(np.unique(grams, return_index=True)[1])] ^ np.uint64(SMALL))
 
 
-def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The text and the hash of every feature, in order of place.
-
-    A text in which no window has enough points has a single one, of all its bytes; or, if small,
-    its different small windows, so that parts of it can be compared."""
-    found_text, found_hash = [], []
+def features(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of every feature, in order of place; texts shorter than a window and a neighbourhood have none."""
     levels = entropy_levels(data)
-    lengths = np.diff(starts)
-    if levels.size >= AROUND:
-        low = rank[levels] * np.int64(1 << 40) + np.arange(levels.size)
-        step = 1
-        while step < AROUND:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        ok = _inside(starts, low.size, WINDOW + AROUND - 1)
-        points = np.bincount(low[ok] & ((1 << 40) - 1), minlength=levels.size)
-        place = np.flatnonzero((points >= POINTS) & (levels > 0))
-        found_text.append(np.searchsorted(starts, place, side="right") - 1)
-        words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place].copy().view(np.uint64)
-        h = np.full(place.size, WINDOW, np.uint64)
-        for k in range(words.shape[1]):
-            h = mixed(h ^ words[:, k])
-        found_hash.append(h)
-    short = np.flatnonzero((lengths > 0) & (lengths < WINDOW + AROUND))
-    for i in short.tolist():
-        h = _small_windows(data[starts[i] : starts[i + 1]])
-        found_text.append(np.full(h.size, i))
-        found_hash.append(h)
-    if not found_text:
+    if levels.size < AROUND:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    text, h = np.concatenate(found_text), np.concatenate(found_hash)
-    bare = np.setdiff1d(np.flatnonzero(lengths > 0), text)
-    if bare.size and small:
-        grams = [_small_windows(data[starts[i] : starts[i + 1]]) for i in bare.tolist()]
-        grams = [g[np.sort(np.unique(g, return_index=True)[1])] for g in grams]
-        text, h = np.concatenate((text, np.repeat(bare, [g.size for g in grams]))), np.concatenate((h, *grams))
-    elif bare.size:
-        text, h = np.concatenate((text, bare)), np.concatenate((h, span_hash(prefix_hash(data), starts[bare], starts[bare + 1])))
-    order = np.argsort(text, kind="stable")
-    return text[order], h[order]
-
-
-def digests(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """Of each text, the chained filters as rows of BITS / 8 bytes; no rows for an empty text."""
-    text, h = features(data, starts, rank, small=True)
-    n = starts.size - 1
+    low = rank[levels] * np.int64(1 << 40) + np.arange(levels.size)
+    step = 1
+    while step < AROUND:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    ok = _inside(starts, low.size, WINDOW + AROUND - 1)
+    points = np.bincount(low[ok] & ((1 << 40) - 1), minlength=levels.size)
+    place = np.flatnonzero((points >= POINTS) & (levels > 0))
+    words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place].copy().view(np.uint64)
+    h = np.full(place.size, WINDOW, np.uint64)
+    for k in range(words.shape[1]):
+        h = mixed(h ^ words[:, k])
+    return np.searchsorted(starts, place, side="right") - 1, h
+
+
+#: The chained filters of a text's features and those of its small windows, each as rows of BITS / 8 bytes.
+Digest = tuple[np.ndarray, np.ndarray]
+
+
+def _filters(text: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of each of n texts, the chained filters of its hashes; rows are in order of text."""
     count = np.bincount(text, minlength=n)
     first = np.cumsum(count) - count
     place = np.arange(text.size) - np.repeat(first, count)
@@ -141,25 +126,41 @@ def digests(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[np.n
     return [packed[a : a + k] for a, k in zip(base.tolist(), filters.tolist(), strict=True)]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: over the filters of the shorter digest, the mean of the best overlap with a filter of the other.
-
-    An overlap is what two filters share beyond chance, over the most they can. Two empty texts are
-    alike, an empty and another are not."""
+def digests(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> list[Digest]:
+    """A digest of each text; that of an empty text has no rows. Short texts and those with few features have both kinds of filters, others features alone."""
+    n = starts.size - 1
+    text, h = features(data, starts, rank)
+    lengths = np.diff(starts)
+    both = np.flatnonzero((lengths > 0) & ((lengths <= SHORT) | (np.bincount(text, minlength=n) < FEW)))
+    grams = [small_windows(data[starts[i] : starts[i + 1]]) for i in both.tolist()]
+    small = _filters(np.repeat(both, [g.size for g in grams]), np.concatenate([np.zeros(0, np.uint64), *grams]), n)
+    return list(zip(_filters(text, h, n), small, strict=True))
+
+
+def likeness(a: Digest, b: Digest) -> float:
+    """0 to 1, by the filters of small windows if both texts have them, else by those of features.
+
+    Over the filters of the shorter digest, the mean of the best overlap with a filter of the other,
+    weighted by their bits. An overlap is what two filters share beyond chance, over the most they can,
+    or over half the bits of the first where the second has fewer. Two empty texts are alike, an empty
+    and another are not."""
+    if not (any(map(len, a)) and any(map(len, b))):
+        return float(any(map(len, a)) == any(map(len, b)))
+    a, b = (a[1], b[1]) if len(a[1]) and len(b[1]) else (a[0], b[0])
     if not len(a) or not len(b):
-        return float(len(a) == len(b))
+        return 0.0
     if len(a) > len(b):
         a, b = b, a
     if a.shape == b.shape and np.array_equal(a, b):
         return 1.0
     set_a, set_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
     out = []
-    for x, n in zip(a.view(np.uint64), set_a.tolist(), strict=True):
-        shared = np.bitwise_count(b.view(np.uint64) & x).sum(axis=1, dtype=np.int64)
+    for x, n in zip(np.ascontiguousarray(a).view(np.uint64), set_a.tolist(), strict=True):
+        shared = np.bitwise_count(np.ascontiguousarray(b).view(np.uint64) & x).sum(axis=1, dtype=np.int64)
         chance = n * set_b / BITS
-        most = np.minimum(n, set_b)
+        most = np.maximum(np.minimum(n, set_b), n / 2)
         out.append(float(np.max(np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1))))
-    return float(np.mean(out))
+    return float(np.average(out, weights=set_a))
 
 
 def corpus_ranks(documents: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -192,13 +193,14 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
-def digests_of(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
+def digests_of(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
     data, starts = _joined(texts)
     return [d for a, b in _pieces(starts) for d in digests(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], rank)]
 
 
-def fingerprint(digest: np.ndarray) -> str:
-    return digest.tobytes().hex()
+def fingerprint(digest: Digest) -> str:
+    """Hexadecimal, the filters of small windows, if any, after a point."""
+    return ".".join(x.tobytes().hex() for x in (digest if len(digest[1]) else digest[:1]))
 
 
 def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,20 +268,21 @@ def _compared(rank: np.ndarray):
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
-        part, ended = None, False
+        part, ended, size = None, False, 0
         for batch in batches:
             for p, lead, i, text in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "id", "text")), strict=True):
                 if p != part:
-                    held, part, ended = [], p, False
+                    held, part, ended, size = [], p, False, 0
                 if lead:
                     if held and not ended:
                         yield rows(held, text)
                     held, ended = [], True
                     continue
                 held.append((i, text))
-                if len(held) > 1 and sum(len(t) for _, t in held) > PIECE:
+                size += len(text)
+                if len(held) > 1 and (size > PIECE or len(held) > ROWS):
                     yield rows(held[:-1], held[-1][1])
-                    held = held[-1:]
+                    held, size = held[-1:], len(text)
 
     return compared
 
