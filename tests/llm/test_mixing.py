@@ -78,6 +78,26 @@ def test_small_sources_and_repeated_rows(spark, monkeypatch):
     assert sum(r.doc_id is None for r in rows) == 1500
 
 
+def test_sources_of_less_than_a_block(spark):
+    rng = random.Random(8)
+    docs = [(i, "big", "w " * 2000) for i in range(500)] + [(1000 + i, "ten", "w") for i in range(10)] + [(2000 + i, "some", "w " * rng.randint(1, 30)) for i in range(100)]
+    docs += [(10_000 + i, f"s{i // 2}", "w " * 10) for i in range(6000)] + [(9000, "none", ""), (9001, None, "w w")]
+    rows = M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    want, got = checked(rows, docs)
+    for s in want:
+        assert abs(got[s] - want[s]) <= max(0.05 * want[s], 10), (s, got[s], want[s])
+    off = [abs(got[s] - want[s]) / want[s] for s in want if want[s]]
+    assert sum(off) / len(off) < 0.03
+
+
+def test_places_of_sources():
+    goal = {"a": 1e6, "b": 20.0, "c": 3000.0, "d": 0.0}
+    found = M.places(goal, 3, 700)
+    assert found["a"] == (700, 0, 3, 3)
+    assert all(found[s][0] <= max(1, goal[s] / 64) and found[s][1] >= 3 and found[s][3] == 1 for s in "bcd")
+    assert M.places(goal, 1, 1)["b"] == (1, 0, 1, 1)
+
+
 def test_taken_equals_brute_force(spark):
     """In one shard: seats by the highest quotients, then consecutive blocks on each source's ring from some block on."""
     rng = random.Random(7)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Documents are dealt by a seeded hash to shards of about equal size; those of a small source to so few
-that it has some blocks in each. In each shard, the tokens of
+that it has some blocks in each, and sources of less than that to shards of small sources with smaller blocks. In each shard, the tokens of
 each source lie end to end in seeded order and are cut into blocks of equal size; the shard's seats
 (blocks it is to give) go to the sources by the highest quotients weight / (2 k + 1). A source whose
 seats exceed its tokens gives all of them as often as they go into the seats, and for the rest the
@@ -46,6 +46,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return found
 
 
+def places(goal: dict[str | None, float], shards: int, block: int) -> dict[str | None, tuple[int, int, int, int]]:
+    """For each source the tokens of its blocks, the first and the number of the shards that it may be dealt to, and of how many of them it is.
+
+    A source with a target of LEAST_BLOCKS blocks or more is in as many of the common shards as have that
+    many blocks each. Smaller ones are apportioned among those of about their size, whole, in shards of
+    their own and by smaller blocks: of a power of two, so that a target has LEAST_BLOCKS of them, or by words."""
+    found, tiers = {}, {}
+    for s, g in goal.items():
+        if block == 1 or g >= LEAST_BLOCKS * block:
+            found[s] = (block, 0, shards, max(1, min(shards, int(g // (LEAST_BLOCKS * block)))))
+        else:
+            tiers.setdefault(1 << max(0, int(g // LEAST_BLOCKS).bit_length() - 1), []).append(s)
+    base = shards
+    for own, sources in sorted(tiers.items()):
+        width = max(1, round(max(sum(goal[s] for s in sources) / own, len(sources)) / SEATS))
+        found |= {s: (own, base, width, 1) for s in sources}
+        base += width
+    return found
+
+
 def _unit(*keys: Column | str) -> Column:
     """A uniform number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
@@ -68,20 +88,19 @@ def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights:
     total = sum(goal.values())
     shards = max(1, round(sum(sizes.values()) / SHARD_TOKENS))
     block = max(1, round(total / (shards * SEATS)))
-    spread = lambda s: max(1, min(shards, int(goal[s] // (LEAST_BLOCKS * block))))
-    of_source = [("" if s is None else f"={s}", n, float(goal[s]), spread(s)) for s, n in sizes.items()]
+    of_source = [("" if s is None else f"={s}", sizes[s], float(goal[s]), *at) for s, at in places(goal, shards, block).items()]
     # Written, so that Spark knows its size and broadcasts it if that is small.
-    of_source = written(spark.createDataFrame(of_source, "key string, source_size long, target double, spread long").coalesce(1), "sources")
+    of_source = written(spark.createDataFrame(of_source, "key string, source_size long, target double, block long, base long, width long, spread long").coalesce(1), "sources")
 
     lot = F.greatest(F.lit(1), F.lit(SHARD_TOKENS) / F.greatest("size", F.lit(1))).cast("long")  # rows in a lot
     dealt = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / lot))))
-    dealt = dealt.withColumn("copies", F.least(lot, F.col("rows") - F.col("lot") * lot)).join(of_source.select("key", "spread"), "key")
-    first, one = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash", "lot"), F.col("spread"))
-    dealt = dealt.withColumn("shard", F.pmod(first + one * F.floor(F.lit(shards) / F.col("spread")), F.lit(shards)))
+    dealt = dealt.withColumn("copies", F.least(lot, F.col("rows") - F.col("lot") * lot)).join(of_source.select("key", "base", "width", "spread"), "key")
+    first, one = F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("width")), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash", "lot"), F.col("spread"))
+    dealt = dealt.withColumn("shard", F.col("base") + F.pmod(first + one * F.floor(F.col("width") / F.col("spread")), F.col("width"))).drop("base", "width", "spread")
     here = dealt.groupBy("shard", "key").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens")).join(of_source, "key")
     here = here.withColumn("weight", F.expr("if(source_size = 0, 0D, target * tokens / source_size)"))
     in_shard = Window.partitionBy("shard")
-    here = here.withColumn("shard_seats", F.round(F.sum("weight").over(in_shard) / block).cast("long"))
+    here = here.withColumn("shard_seats", F.round(F.sum("weight").over(in_shard) / F.col("block")).cast("long"))
     #: Sainte-Laguë gives a source less than twice its fair share of the seats, and one.
     fair = F.try_divide(F.col("shard_seats") * F.col("weight"), F.sum("weight").over(in_shard))
     asked = here.withColumn("asked", F.least("shard_seats", F.ceil(2 * fair).cast("long") + 1)).where("weight > 0 AND asked > 0")
@@ -89,15 +108,15 @@ def mix(documents: DataFrame, id_col: str = "doc_id", seed: int = SEED, weights:
     highest = Window.partitionBy("shard").orderBy(F.desc(F.col("weight") / (2 * F.col("k") + 1)), "key")
     won = quotients.withColumn("place", F.row_number().over(highest)).where("place <= shard_seats")
     quota = won.groupBy("shard", "key").agg(F.count("*").alias("seats"))
-    shares = here.join(quota, ["shard", "key"], "left").select("shard", "key", "tokens", "source_size", "target", F.coalesce("seats", F.lit(0).cast("long")).alias("seats"))
+    shares = here.join(quota, ["shard", "key"], "left").select("shard", "key", "tokens", "source_size", "target", "block", F.coalesce("seats", F.lit(0).cast("long")).alias("seats"))
 
     place = Window.partitionBy("shard", "key").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "hash", "lot"), "doc_id", "hash", "size", "lot")
     placed = dealt.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
     found = placed.join(shares, ["shard", "key"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     found = found.withColumn("end", F.col("end") - (F.col("copies") - F.col("copy")) * F.col("size"))
     found = found.withColumns({"begin": F.col("end") - F.col("size"), "at": _unit(F.lit(seed + 2), "shard", "key")})
-    found = found.withColumn("given", F.least(F.col("seats") * block, F.floor(F.col("tokens") * F.lit(float(most))).cast("long")))
-    found = found.withColumns({"rounds": F.expr("if(tokens = 0, 0, given div tokens)"), "rest": F.expr("if(tokens = 0, 0, given % tokens)"), "first": F.floor(F.col("at") * F.floor(F.col("tokens") / block)).cast("long") * block})
+    found = found.withColumn("given", F.least(F.col("seats") * F.col("block"), F.floor(F.col("tokens") * F.lit(float(most))).cast("long")))
+    found = found.withColumns({"rounds": F.expr("if(tokens = 0, 0, given div tokens)"), "rest": F.expr("if(tokens = 0, 0, given % tokens)"), "first": F.floor(F.col("at") * F.floor(F.col("tokens") / F.col("block"))).cast("long") * F.col("block")})
     found = found.withColumn("last", F.col("first") + F.col("rest"))
     overlap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least("end", b) - F.greatest("begin", a))
     taken = F.col("rounds") * F.col("size") + overlap(F.col("first"), F.col("last")) + overlap(F.col("first") - F.col("tokens"), F.col("last") - F.col("tokens"))
