@@ -148,3 +148,14 @@ def test_passages_by_words(spark, monkeypatch, hot):
     assert sorted(((r.doc_id, bytes(r.kept)) for r in got), key=str) == sorted(want, key=str)
     removed = {r.doc_id: r.n_bytes - len(r.kept) for r in got}
     assert len(short.encode()) < 300 and removed[0] == removed[100] == len(short.encode()) and removed[1] == 0
+
+
+def test_a_row_that_stands_very_often(spark):
+    """Copies of one row, id and all, are cut once, and go like other repeats."""
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.range(3000).selectExpr("7 as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(8, "x" + text), (9, "other")], "doc_id int, text string"))
+    rows = R.without_repeats(df).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    n = len(text)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r["count"]) for r in rows} == {(7, n, n, 3000), (8, n + 1, n, 1), (9, 5, 0, 1)}
+    path = R._repeated_ranges(R._rows(df, "doc_id", "text", ["doc_id"]), 400, 128, 0)
+    assert path.count() == 2

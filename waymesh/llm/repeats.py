@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import byte_view, fresh_dir, prefix_hash, removed, span_hash, written
 from .induced import common_prefixes, suffix_array
@@ -374,7 +374,9 @@ def _repeated_ranges(rows: DataFrame, length: int, gram: int, words: int) -> Dat
     different = different.join(hot, "anchor", "left") if some_hot else different.withColumn("hot", F.lit(None).cast("boolean"))
     asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.size").alias("size"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     # All columns stay, so that the rows are dealt as they are for the last join, and Spark deals them once.
-    cut = rows.join(asked, ["id", "tag"]).mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
+    # A row that stands many times is cut once: its copies are in `often`.
+    copy = F.row_number().over(Window.partitionBy("id", "tag").orderBy("tag"))
+    cut = rows.join(asked, ["id", "tag"]).withColumn("copy", copy).where("copy = 1").drop("copy").mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
     if some_hot:
         cut = written(cut, "cut")
     size = held.agg(F.sum("size")).first()[0] or 0
