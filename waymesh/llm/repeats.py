@@ -354,6 +354,18 @@ def _kept(as_text: bool):
     return kept
 
 
+def _once(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows that are asked for a stretch, one of those that stand many times as a whole; what copies they have is counted already."""
+    keys = ["id", "tag"]
+    copied = written(rows.groupBy(*keys).count().where("count > 1").select(*keys), "copied")
+    if copied.isEmpty():
+        return rows.join(asked, keys)
+    asked = written(asked, "asked")
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("tag"))
+    one = rows.join(asked.join(copied, keys, "left_semi"), keys).withColumn("copy", copy).where("copy = 1").drop("copy")
+    return rows.join(asked.join(copied, keys, "left_anti"), keys).unionByName(one)
+
+
 def _repeated_ranges(rows: DataFrame, length: int, gram: int, words: int) -> DataFrame:
     """(id, tag, ranges) of the texts with bytes that a repeated string of `length` bytes covers, or one of `words` whole words, if given; ranges may overlap."""
     least = min(length, 2 * words - 1) if words else length
@@ -374,9 +386,7 @@ def _repeated_ranges(rows: DataFrame, length: int, gram: int, words: int) -> Dat
     different = different.join(hot, "anchor", "left") if some_hot else different.withColumn("hot", F.lit(None).cast("boolean"))
     asked = different.groupBy("one.id", "one.tag").agg(F.collect_list(F.struct("anchor", "content", F.col("one.low").alias("low"), F.col("one.size").alias("size"), "often", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     # All columns stay, so that the rows are dealt as they are for the last join, and Spark deals them once.
-    # A row that stands many times is cut once: its copies are in `often`.
-    copy = F.row_number().over(Window.partitionBy("id", "tag").orderBy("tag"))
-    cut = rows.join(asked, ["id", "tag"]).withColumn("copy", copy).where("copy = 1").drop("copy").mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
+    cut = _once(rows, asked).mapInArrow(_cut(), "anchor long, content long, often long, hot boolean, bytes binary")
     if some_hot:
         cut = written(cut, "cut")
     size = held.agg(F.sum("size")).first()[0] or 0
