@@ -175,3 +175,12 @@ def test_pooled(spark):
     assert (round(got[1].x, 9), got[1].c00, got[2].x) == (round(0.75 * 7.75, 9), 0.75, 1.0)
     got = {r.k: r for r in tracking.pooled(rows, ["k"], information=True).collect()}
     assert abs(got[1].x - 64 / 6) < 1e-9 and abs(got[1].c00 - 1 / 6) < 1e-9
+
+
+def test_running_totals_in_two_levels(spark):
+    rng = random.Random(3)
+    rows = [(run, "a" if f % 3 else "b", f, rng.choice([None, rng.randrange(9)])) for run in (1, 2) for f in range(0, 7000, run * 7)] + [(3, "a", 12_300, 5)]
+    df = spark.createDataFrame(rows, "run_id int, source string, frame int, n long")
+    got = {(r.run_id, r.source, r.frame): r.n for r in report.running(df, ["n"], keys=("run_id", "source")).collect()}
+    want = {(k, s, f): sum(m or 0 for kk, ss, ff, m in rows if (kk, ss) == (k, s) and ff <= f) for k, s, f, _ in rows if f % 100 == 0}
+    assert got == want

@@ -152,7 +152,8 @@ def test_batches_do_not_matter(spark, detections):
 
 def test_members_and_consistency(detections):
     rows = detections.withColumns({"sensor_id": F.concat(F.lit("s"), F.col("batch_ord").cast("string")), "confidence": F.lit(0.5)})
-    found, joined = T.tracks(detections, 0.5), T.members(detections, 0.5)
+    found, joined = T.with_members(detections, 0.5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, T.tracks(detections, 0.5).collect()))
     count = {(r.frame, r.track_id): r.n_meas for r in found.collect() if r.n_meas}
     of = defaultdict(list)
     for r in joined.collect():
@@ -201,3 +202,93 @@ def test_tracks_are_written(spark, detections, tmp_path):
 
     telemetry.write_tracks(T.tracks(detections, 0.5), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == T.tracks(detections, 0.5).count() and (tmp_path / "t" / "run_id=0").is_dir()
+
+
+def arc(rng, n=200):
+    """Places of an object that turns at a changing rate, as measured."""
+    x, y, v, phi = 30.0, -20.0, 9.0, 0.4
+    out = []
+    for k in range(n):
+        phi += 0.1 * 0.3 * math.sin(k / 40)
+        x, y = x + 0.1 * v * math.cos(phi), y + 0.1 * v * math.sin(phi)
+        out.append([x + rng.normal(0, 0.2), y + rng.normal(0, 0.2), 1.8, 4.5, 0.3, 0.05 + 0.01 * (k % 3), 0.01, 0.06])
+    return out
+
+
+def plain_online_step(x, p):
+    """The online filter's motion and covariance a tenth of a second later, element by element."""
+    v, phi, w, dt = x[2], x[3], x[4], 0.1
+    after = phi + dt * w
+    vx = vy = px = py = wx = wy = 999.9
+    if phi != 0:
+        vx, vy = (math.sin(after) - math.sin(phi)) / w, (math.cos(phi) - math.cos(after)) / w
+        px, py = v / w * (math.cos(after) - math.cos(phi)), v / w * (math.sin(after) - math.sin(phi))
+    if w != 0:
+        wx = v * dt / w * math.cos(after) - v / w**2 * (math.sin(after) - math.sin(phi))
+        wy = v * dt / w * math.sin(after) - v / w**2 * (math.cos(phi) - math.cos(after))
+    f = np.array([[1, 0, vx, px, wx], [0, 1, vy, py, wy], [0, 0, 1, 0, 0], [0, 0, 0, 1, dt], [0, 0, 0, 0, 1]])
+    a, b, c = 0.9 * 0.7**4 / 4, 0.9 * 0.7**3 / 2, 0.9 * 0.7**2
+    q = np.array([[a, 0, b, 0, 0], [0, a, 0, b, 0], [b, b, c, 0, 0], [0, 0, 0, c, 0], [0, 0, 0, 0, c]])
+    return f @ x, f @ p @ f.T + q
+
+
+def plain_step(x, p):
+    """The extended filter: along an arc, with a derivative taken by differences."""
+
+    def go(s):
+        v, phi, w = s[2:]
+        if abs(w) < 1e-9:
+            return np.array([s[0] + v * 0.1 * math.cos(phi), s[1] + v * 0.1 * math.sin(phi), v, phi + 0.1 * w, w])
+        return np.array([s[0] + v / w * (math.sin(phi + 0.1 * w) - math.sin(phi)), s[1] + v / w * (math.cos(phi) - math.cos(phi + 0.1 * w)), v, phi + 0.1 * w, w])
+
+    f = np.column_stack([(go(x + e) - go(x - e)) / 2e-5 for e in np.eye(5) * 1e-5])
+    return go(x), f @ p @ f.T + np.diag([0.9 * 0.7**4 / 4] * 2 + [0.9 * 0.7**2] * 2 + [0.9 * 0.7])
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_turning_tracks_equal_plain_loops(compat):
+    rng = np.random.default_rng(2)
+    tracker, measured = T.Tracker(3, 1e9, compat, 2), [np.array(m) for m in arc(rng)]
+    tracker.observe(0.0, measured[0][None])
+    x = p = None
+    errors, scale = [], 1.0
+    for k, z in enumerate(measured):
+        tracker.waiting = [[z]] if k % 7 != 3 else [[]]  # now and then unseen
+        row = tracker.fuse(k / 10)
+        if k == 0:
+            x, p = np.zeros(5), np.zeros((5, 5))
+            x[:2], p[:2, :2] = z[:2], [[z[5], z[6]], [z[6], z[7]]]
+        else:
+            x, p = (plain_online_step if compat else plain_step)(x, p)
+            scale = max(1.0, np.abs(p).max())  # what the update takes from
+            if k % 7 != 3:
+                gain = p[:, :2] @ np.linalg.pinv(p[:2, :2] + np.array([[z[5], z[6]], [z[6], z[7]]]))
+                x, p = x + gain @ (z[:2] - x[:2]), p - gain @ p[:2]
+        assert np.allclose(tracker.x[0], x, rtol=1e-4, atol=1e-4) and np.allclose(tracker.p[0], p, rtol=1e-3, atol=1e-8 * scale), k
+        tracker.x[0], tracker.p[0] = x, p  # each step alone: the online filter makes much of small differences
+        if row:
+            assert np.allclose(row[0][6:8], (x[2] * math.cos(x[3]), x[2] * math.sin(x[3])), rtol=1e-3, atol=1e-3)
+            errors.append(math.hypot(*(x[:2] - z[:2])))
+    assert compat or np.median(errors[20:]) < 0.4
+
+
+def test_turning_gates_are_predicted():
+    tracker = T.Tracker(1, 1.0, False, 2)
+    tracker.observe(0.0, np.array([[0.0, 0, 2, 4, 0, 0.1, 0, 0.1]]))
+    tracker.fuse(0.0)
+    tracker.x[0] = [5, 5, 10, math.pi / 2, 0.5]
+    tracker.gates = None
+    gate = tracker._gates(0.1)[0]
+    assert gate[:2] == pytest.approx([5 + 20 * (math.sin(math.pi / 2 + 0.05) - 1), 5 + 20 * (0 - math.cos(math.pi / 2 + 0.05))])
+    assert T.Tracker(1, 1.0, True, 2).compat
+
+
+def test_written_runs_replace_only_themselves(spark, detections, tmp_path):
+    from waymesh.sources import telemetry
+
+    rows = T.tracks(detections, 0.5)
+    telemetry.write_tracks(rows.withColumn("run_id", F.lit(7)), str(tmp_path / "t"))
+    telemetry.write_tracks(rows, str(tmp_path / "t"))
+    telemetry.write_tracks(rows, str(tmp_path / "t"))
+    n = rows.count()
+    assert {(r.run_id, r["count"]) for r in spark.read.parquet(str(tmp_path / "t")).groupBy("run_id").count().collect()} == {(0, n), (7, n)}

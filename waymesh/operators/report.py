@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 COUNTERS = ["envelope_truth", "ttc_truth", "envelope_seen", "ttc_seen", "envelope_tp", "envelope_fp", "envelope_fn", "ttc_tp", "ttc_fp", "ttc_fn"]
 
 
+#: Frames of a block of running totals.
+BLOCK = 1000
+
+
 def run_totals(metrics: DataFrame) -> DataFrame:
     """Sums of the counters for each run and source, with the platform frames (rows with an ego_id) and the distinct frames."""
     return metrics.groupBy("run_id", "source").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.sum("f1").alias("f1_sum"), F.count("ego_id").alias("platform_frames"), F.count_distinct("frame").alias("steps"))
@@ -26,9 +30,17 @@ def mean_score(metrics: DataFrame, keys: list[str], score: str = "f1", truths: s
 
 
 def running(frames: DataFrame, columns: list[str], every: int = 100, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Totals so far of each run, at every hundredth frame."""
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.select(*keys, "frame", *(F.sum(c).over(w).alias(c) for c in columns)).where(F.col("frame") % every == 0)
+    """Totals so far of each run, at every hundredth frame.
+
+    In two levels, so that no task has a whole run: totals of blocks of BLOCK frames, of which what
+    went before a block is summed up, and sums inside each block."""
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    rows = frames.withColumn("_block", F.floor(F.col("frame") / BLOCK))
+    blocks = rows.groupBy(*keys, "_block").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
+    blocks = blocks.select(*keys, "_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    sums = rows.select(*keys, "_block", "frame", *(F.sum(c).over(inside).alias(c) for c in columns)).where(F.col("frame") % every == 0)
+    return sums.join(blocks, [*keys, "_block"]).select(*keys, "frame", *((F.coalesce(c, F.lit(0)) + F.col(f"_{c}")).alias(c) for c in columns))
 
 
 def long_totals(totals: DataFrame, runs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from waymesh import scratch
 from waymesh.functions import geometry as G
 from waymesh.functions.geometry import gated_of, iou_of
 from waymesh.operators import scoring
@@ -26,6 +27,9 @@ MEMBERS = "run_id int, tracker_id long, frame int, track_id long, batch_ord int,
 INPUT = ["run_id", "tracker_id", "frame", "t", "batch_ord", "det_ord", "cx", "cy", "width", "length", "angle", "c00", "c01", "c11", "trust"]
 VALUES = [*INPUT[6:], "batch_ord", "det_ord"]
 SIZE = {0: 4, 1: 6, 2: 5}
+#: Both, with batch_ord and det_ord below zero in rows of tracks; and a member's values of a track's.
+BOTH = f"{TRACKS}, batch_ord int, det_ord int"
+BLANK = (*[np.nan] * 10, 0, *[np.nan] * 4, 0)
 
 
 def transition(dt: float, mode: int = 1) -> np.ndarray:
@@ -60,27 +64,52 @@ def inverses(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def turning(x: np.ndarray, dt: float) -> np.ndarray:
-    """The linearised motion of a turning track (x, y, speed, heading, turn rate); straight where it does not turn."""
-    v, phi, rate = x[2], x[3], x[4]
-    f = np.eye(5)
-    f[3, 4] = dt
-    if abs(rate) < 1e-9:
-        f[0, 2], f[1, 2] = dt * np.cos(phi), dt * np.sin(phi)
-        return f
-    s0, c0, s1, c1 = np.sin(phi), np.cos(phi), np.sin(phi + dt * rate), np.cos(phi + dt * rate)
-    f[0, 2], f[1, 2] = (s1 - s0) / rate, (c0 - c1) / rate
-    f[0, 3], f[1, 3] = v / rate * (c1 - c0), v / rate * (s1 - s0)
-    f[0, 4] = v * dt / rate * c1 - v / rate**2 * (s1 - s0)
-    f[1, 4] = v * dt / rate * s1 - v / rate**2 * (c0 - c1)
+#: What stands for the motion of a track whose heading, or turn rate, is exactly zero in the online filter; a fixed value.
+UNKNOWN = 999.9
+
+
+def _arcs(x: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of turning tracks (rows of x, y, speed, heading, turn rate) that turn, the rate, and sine and cosine of the heading before and after."""
+    turns = np.abs(x[:, 4]) >= 1e-9
+    rate = np.where(turns, x[:, 4], 1.0)
+    after = x[:, 3] + dt * x[:, 4]
+    return turns, rate, np.sin(x[:, 3]), np.cos(x[:, 3]), np.sin(after), np.cos(after)
+
+
+def turned(x: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    """Turning tracks some time later, along arcs; straight where they do not turn."""
+    turns, rate, s0, c0, s1, c1 = _arcs(x, dt)
+    out, v = x.copy(), x[:, 2]
+    out[:, 0] += np.where(turns, v / rate * (s1 - s0), v * dt * c0)
+    out[:, 1] += np.where(turns, v / rate * (c0 - c1), v * dt * s0)
+    out[:, 3] += dt * x[:, 4]
+    return out
+
+
+def turnings(x: np.ndarray, dt: np.ndarray, online: bool = False) -> np.ndarray:
+    """The derivative of turned() by the state, of each track. The online filter takes it for the motion itself, with UNKNOWN for what it cannot say."""
+    turns, rate, s0, c0, s1, c1 = _arcs(x, dt)
+    v, f = x[:, 2], np.repeat(np.eye(5)[None], len(x), axis=0)
+    f[:, 3, 4] = dt
+    f[:, 0, 2], f[:, 1, 2] = np.where(turns, (s1 - s0) / rate, dt * c0), np.where(turns, (c0 - c1) / rate, dt * s0)
+    f[:, 0, 3], f[:, 1, 3] = np.where(turns, v / rate * (c1 - c0), -v * dt * s0), np.where(turns, v / rate * (s1 - s0), v * dt * c0)
+    f[:, 0, 4] = np.where(turns, v * dt / rate * c1 - v / rate**2 * (s1 - s0), -v * dt**2 / 2 * s0)
+    f[:, 1, 4] = np.where(turns, v * dt / rate * s1 - v / rate**2 * (c0 - c1), v * dt**2 / 2 * c0)
+    if online:
+        f[x[:, 3] == 0, :2, 2:4] = UNKNOWN
+        f[x[:, 4] == 0, :2, 4] = UNKNOWN
     return f
 
 
-def process_noise(mode: int = 1) -> np.ndarray:
+def process_noise(mode: int = 1, online: bool = False) -> np.ndarray:
+    """Of the turning model a diagonal one, or that of the online filter, which couples places with speed and heading."""
     q, n = PROCESS, NOISE
     if mode == 0:
         three, two = q * n**3 / 3, q * n**2 / 2
         return np.array([[three, 0, two, 0], [0, three, 0, two], [two, 0, q, 0], [0, two, 0, q]])
+    if mode == 2 and online:
+        four, three, two = q * n**4 / 4, q * n**3 / 2, q * n**2
+        return np.array([[four, 0, three, 0, 0], [0, four, 0, three, 0], [three, three, two, 0, 0], [0, 0, 0, two, 0], [0, 0, 0, 0, two]])
     if mode == 2:
         return np.diag([q * n**4 / 4, q * n**4 / 4, q * n**2, q * n**2, q * n])
     five, four, three, two = q * n**5 / 8, q * n**4 / 4, q * n**3 / 2, q * n**2
@@ -134,11 +163,11 @@ class Tracker:
 
     def _predicted(self, t: float, n: int) -> np.ndarray:
         x, p, boxes = self.x[n:], self.p[n:], self.boxes[n:]
-        if self.mode != 2:
+        if self.mode != 2 or not self.compat:  # the online filter gates turning tracks where they were last
             dt = t - self.updated[n:]
             later = dt >= 0
-            f = transitions(np.where(later, dt, 0), self.mode)
-            moved = (f @ x[:, :, None])[:, :, 0]
+            f = turnings(x, np.where(later, dt, 0)) if self.mode == 2 else transitions(np.where(later, dt, 0), self.mode)
+            moved = turned(x, np.where(later, dt, 0)) if self.mode == 2 else (f @ x[:, :, None])[:, :, 0]
             grown = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode)
             x, p = np.where(later[:, None], moved, x), np.where(later[:, None, None], grown, p)
         a, b = deviations(p)
@@ -248,8 +277,10 @@ class Tracker:
             self.x[i, :2], self.p[i, :2, :2] = self._first(self.waiting[i])
         old = np.flatnonzero(~fresh)
         if old.size:
-            f = np.stack([turning(x, STEP) for x in self.x[old]]) if self.mode == 2 else transition(STEP, self.mode)[None]
-            x, p = (f @ self.x[old][:, :, None])[:, :, 0], f @ self.p[old] @ f.transpose(0, 2, 1) + process_noise(self.mode)
+            dt = np.full(old.size, STEP)
+            f = turnings(self.x[old], dt, self.compat) if self.mode == 2 else transition(STEP, self.mode)[None]
+            x = turned(self.x[old], dt) if self.mode == 2 and not self.compat else (f @ self.x[old][:, :, None])[:, :, 0]
+            p = f @ self.p[old] @ f.transpose(0, 2, 1) + process_noise(self.mode, self.compat)
             for k in range(int(counts[old].max(initial=0))):
                 has = np.flatnonzero(counts[old] > k)
                 z = np.array([self.waiting[old[i]][k] for i in has])
@@ -278,7 +309,7 @@ class Tracker:
         return out
 
     def run(self, rows: pd.DataFrame, members: bool = False) -> Iterator[tuple]:
-        """Whole frames in order, sorted by batch and number; rows without a batch only say that the frame is there. Rows of tracks, or of their members."""
+        """Whole frames in order, sorted by batch and number; rows without a batch only say that the frame is there. Rows of tracks; with members also a row for each of them, of the track's id and otherwise nothing but its batch and number."""
         values = rows[VALUES].to_numpy(float)
         frame, batch, t = rows["frame"].to_numpy(), np.nan_to_num(values[:, 9], nan=-1), rows["t"].to_numpy(float)
         edges = np.flatnonzero(np.concatenate(([True], (frame[1:] != frame[:-1]) | (batch[1:] != batch[:-1])))).tolist() + [len(rows)]
@@ -287,7 +318,9 @@ class Tracker:
             self.observe(t[a], part[~np.isnan(part[:, 0])])
             if k + 2 == len(edges) or frame[edges[k + 1]] != frame[a]:
                 found = self.fuse(t[a])
-                yield from ((frame[a], *row) for row in self.members) if members else ((frame[a], t[a], *row) for row in found)
+                yield from ((frame[a], t[a], *row, *((-1, -1) if members else ())) for row in found)
+                if members:
+                    yield from ((frame[a], t[a], i, *BLANK, *at) for i, *at in self.members)
 
     def saved(self) -> bytes:
         return pickle.dumps(self.__dict__)
@@ -300,7 +333,7 @@ class Tracker:
 
 
 ORDER = ["frame", "batch_ord", "det_ord"]
-_KINDS = {"int": "int32", "long": "int64", "double": "float64"}
+_KINDS = {"int": "int32", "long": "int64", "double": "float64", "string": "object", "boolean": "bool"}
 
 
 def table_of(schema: str, rows: list[tuple]) -> pd.DataFrame:
@@ -356,9 +389,11 @@ def tracks(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mod
     return _stepped(detections, TRACKS, False, cleanup, compat, mode, distance)
 
 
-def members(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1, distance: str = "iou") -> DataFrame:
-    """The measurements (batch_ord, det_ord) that went into each mature track in each frame; arguments as for tracks."""
-    return _stepped(detections, MEMBERS, True, cleanup, compat, mode, distance)
+def with_members(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1, distance: str = "iou") -> tuple[DataFrame, DataFrame]:
+    """tracks(), and the measurements (batch_ord, det_ord) that went into each of them in each frame, from one pass that is written."""
+    both = scratch.written(_stepped(detections, BOTH, True, cleanup, compat, mode, distance), "tracks")
+    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    return both.where("batch_ord < 0").select(*names(TRACKS)), both.where("batch_ord >= 0").select(*names(MEMBERS))
 
 
 def consistency(found: DataFrame, joined: DataFrame, detections: DataFrame) -> DataFrame:

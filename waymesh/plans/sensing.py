@@ -146,12 +146,15 @@ def ellipse_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(_covariances(spark, sf_dir).withColumns({"reach_x": x, "reach_y": y}), *KEYS, "reach_x", "reach_y")
 
 
-@query(sql(f"""SELECT a.run_id, a.frame, a.platform_id, a.object_id, {r('a.c00 + b.c00', 'sum00')}, {r('a.c01 + b.c01', 'sum01')}, {r('a.c11 + b.c11', 'sum11')}, {r('a.c00 - b.c00', 'dif00')}, {r('a.c11 - b.c11', 'dif11')}
-    FROM cov a JOIN cov b ON a.run_id = b.run_id AND a.frame = b.frame AND a.object_id = b.object_id AND a.platform_id = b.platform_id AND a.sensor_idx = 0 AND b.sensor_idx = 1""", cov=_COV))
+_TWO = ", ".join(f"max(c{k}) FILTER (sensor_idx = {i}) AS c{k}_{i}" for i in (0, 1) for k in ("00", "01", "11"))
+
+
+@query(sql(f"""SELECT run_id, frame, platform_id, object_id, {r('c00_0 + c00_1', 'sum00')}, {r('c01_0 + c01_1', 'sum01')}, {r('c11_0 + c11_1', 'sum11')}, {r('c00_0 - c00_1', 'dif00')}, {r('c11_0 - c11_1', 'dif11')}
+    FROM (SELECT run_id, frame, platform_id, object_id, {_TWO} FROM cov GROUP BY ALL) WHERE c00_0 IS NOT NULL AND c00_1 IS NOT NULL""", cov=_COV))
 def cov_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, keys = _covariances(spark, sf_dir), ["run_id", "frame", "platform_id", "object_id"]
-    two = [rows.where(F.col("sensor_idx") == i).select(*keys, *(F.col(c).alias(f"{c}_{i}") for c in ("c00", "c01", "c11"))) for i in (0, 1)]
-    both = two[0].join(two[1], keys)
+    keys = ["run_id", "frame", "platform_id", "object_id"]
+    of = lambda c, i: F.max(F.when(F.col("sensor_idx") == i, F.col(c))).alias(f"{c}_{i}")
+    both = _covariances(spark, sf_dir).groupBy(*keys).agg(*(of(c, i) for i in (0, 1) for c in ("c00", "c01", "c11"))).where("c00_0 IS NOT NULL AND c00_1 IS NOT NULL")
     sums = {f"sum{k}": F.col(f"c{k}_0") + F.col(f"c{k}_1") for k in ("00", "01", "11")} | {f"dif{k}": F.col(f"c{k}_0") - F.col(f"c{k}_1") for k in ("00", "11")}
     return clean(both.withColumns(sums), *keys, *sums)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from waymesh import scratch
 from waymesh.functions import kinematics as K
 from waymesh.operators import tracking
 
@@ -29,10 +30,13 @@ def _number() -> Column:
     return K.integer_in(F.col("platform_id")) + F.when(F.col("kind") == "CIS", SITES).otherwise(0)
 
 
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.platforms(spark, sf_dir).withColumn("tracker_id", _number()).select("run_id", "tracker_id", "frame", "t")
+
+
 def platform_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each platform's batches, one a sensor, and its frames without any."""
-    calendar = V.platforms(spark, sf_dir).withColumn("tracker_id", _number()).select("run_id", "tracker_id", "frame", "t")
-    return tracking.with_calendar(_platform_rows(spark, sf_dir), calendar)
+    return tracking.with_calendar(_platform_rows(spark, sf_dir), _calendar(spark, sf_dir))
 
 
 def global_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +69,8 @@ def track_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def track_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sensors of each platform's tracks agree with them, and with which confidence they measured."""
-    rows = platform_detections(spark, sf_dir)
-    return tracking.consistency(tracking.tracks(rows), tracking.members(rows), _platform_rows(spark, sf_dir))
+    rows = scratch.written(_platform_rows(spark, sf_dir), "measured")
+    return tracking.consistency(*tracking.with_members(tracking.with_calendar(rows, _calendar(spark, sf_dir))), rows)
 
 
 @query()

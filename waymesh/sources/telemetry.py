@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 TELEMETRY = "run_id int, frame int, t double, object_id string, object_type string, front_x double, front_y double, speed double, angle_deg double, length double, width double"
 FRAMES_A_RUN, SLOTS = 200, 20
@@ -69,7 +72,22 @@ def write_totals(totals: DataFrame, path: str) -> None:
 
 
 def write_tracks(tracks: DataFrame, path: str) -> None:
-    tracks.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """Tracks by run; the runs that are written replace theirs, other runs stay."""
+    tracks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def stream_tracks(tracks: DataFrame, path: str, checkpoint: str, done: Callable[[int], None] | None = None, **trigger: object) -> StreamingQuery:
+    """A stream of tracks into a table by micro-batch and run, each row once.
+
+    A micro-batch that is run again after a failure has the same rows and replaces its own
+    partitions, so that nothing is lost and nothing doubles. done is called after a batch is written."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "run_id").parquet(path)
+        if done is not None:
+            done(batch)
+
+    return tracks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def alive(events_telemetry: DataFrame) -> Column:
