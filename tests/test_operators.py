@@ -184,3 +184,30 @@ def test_running_totals_in_two_levels(spark):
     got = {(r.run_id, r.source, r.frame): r.n for r in report.running(df, ["n"], keys=("run_id", "source")).collect()}
     want = {(k, s, f): sum(m or 0 for kk, ss, ff, m in rows if (kk, ss) == (k, s) and ff <= f) for k, s, f, _ in rows if f % 100 == 0}
     assert got == want
+
+
+def test_faults_of_poses_and_sensors_by_run(spark):
+    from waymesh.operators import augment
+    from waymesh.plans import views
+
+    kinds = ["NONE", "LOCALIZATION", "SINGLE_SENSOR_EXTRINSICS", "MULTI_SENSOR_EXTRINSICS", "MALICIOUS_REMOVAL"]
+    runs = catalogs.sweep(spark, kinds, [50])
+    rows = [(run, f, f / 10, f"veh{p}", "CAV", 1.0 * p, 2.0, 0.3) for run in range(5) for p in range(40) for f in range(3)]
+    platforms = spark.createDataFrame(rows, "run_id int, frame int, t double, platform_id string, kind string, x double, y double, yaw double")
+    poses, sensors = augment.dispatched_poses(platforms, views.sensor_table(spark), runs, 7)
+    moved = {k: [] for k in range(5)}
+    for r in poses.collect():
+        moved[r.run_id].append((r.x - float(r.platform_id[3:]), r.y - 2, r.yaw - 0.3))
+    assert all(not any(map(any, moved[k])) for k in (0, 2, 3, 4)) and len(moved[1]) == 120
+    off = [m for m in moved[1] if any(m)]
+    assert 35 < len(off) < 85 and all(abs(x) <= 0.5 and abs(y) <= 0.5 and abs(a) <= 0.085 for x, y, a in off)
+    of = {}
+    for r in sensors.collect():
+        of.setdefault((r.run_id, r.platform_id), []).append((r.dx, r.dy, r.dyaw))
+    assert len(of) == 200 and all(len(v) == 2 for v in of.values())
+    assert not any(any(d) for (run, _), v in of.items() if run in (0, 1, 4) for d in v)
+    single, multi = ([v for (run, _), v in of.items() if run == k and any(map(any, v))] for k in (2, 3))
+    assert 10 < len(single) < 30 and all(sum(map(any, v)) == 1 for v in single)
+    assert 10 < len(multi) < 30 and all(v[0] == v[1] and abs(v[0][0]) <= 1 for v in multi)
+    placed = {(r.run_id, r.frame, r.platform_id, r.sensor_idx): r.yaw for r in sensing.sensor_poses(poses, sensors).collect()}
+    assert len(placed) == 5 * 40 * 3 * 2

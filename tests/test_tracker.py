@@ -292,3 +292,35 @@ def test_written_runs_replace_only_themselves(spark, detections, tmp_path):
     telemetry.write_tracks(rows, str(tmp_path / "t"))
     n = rows.count()
     assert {(r.run_id, r["count"]) for r in spark.read.parquet(str(tmp_path / "t")).groupBy("run_id").count().collect()} == {(0, n), (7, n)}
+
+
+def test_metrics_of_fused_tracks(spark):
+    """Counts and scores of all platforms' tracks against what all can see, in plain loops."""
+    from waymesh.plans import perception, views
+
+    found = {(r.run_id, r.frame, r.ego_id): r for r in plans.global_track_metrics(spark, SF).collect()}
+    tracks = T.tracks(plans.global_detections(spark, SF), cleanup=0.5).collect()
+    truths = perception._truth_of(views.sightings(spark, SF), ["run_id", "frame"]).collect()
+    by_frame = defaultdict(lambda: ([], []))
+    for side, rows in enumerate((truths, tracks)):
+        for r in rows:
+            by_frame[r.run_id, r.frame][side].append(r)
+    box = lambda x, y, r: np.array([[x, y, r.width, r.length, 0.0]])
+    for (run, frame), (seen, fused) in by_frame.items():
+        taken, hits = set(), 0
+        for t in sorted(fused, key=lambda r: r.track_id % T.IDS):
+            for o in sorted(seen, key=lambda r: r.slot):
+                if o.slot not in taken and round(float(iou_of(box(t.x, t.y, t), box(o.cx, o.cy, o))[0]), 9) > 0.5:
+                    taken.add(o.slot)
+                    hits += 1
+                    break
+        f1 = 2 * hits / (len(fused) + len(seen)) if hits else 0.0
+        if seen:
+            assert found[run, frame, None].f1 == pytest.approx(f1, abs=1e-6)
+    for e in perception._egos(spark, SF).where("frame % 9 = 6").collect():
+        n, c, s = 0, math.cos(e.yaw), math.sin(e.yaw)
+        for t in by_frame[e.run_id, e.frame][1]:
+            dx, dy, dvx, dvy = t.x - e.x, t.y - e.y, t.dx - e.evx, t.dy - e.evy
+            brake = 4.6 * 0.25 / 2
+            n += dx * c + dy * s < math.hypot(e.evx, e.evy) * 0.5 + brake + 0.5 * (dvx * c + dvy * s) or -dx * s + dy * c < brake + 0.5 * (-dvx * s + dvy * c)
+        assert found[e.run_id, e.frame, e.ego_id].envelope_seen == n

@@ -97,8 +97,19 @@ def fake_rows(frames: DataFrame, seed: int, region: tuple[float, float] | None =
     )
 
 
+def dispatched_poses(platforms: DataFrame, sensors: DataFrame, runs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The platforms' poses and their own sensors under each run's fault: poses of localization runs, one or all sensors of a platform of extrinsics runs, others as they are."""
+    of = lambda *kinds: F.when(F.col("error_type").isin(*kinds), F.col("_level")).otherwise(0.0)
+    rows = platforms.join(runs.select("run_id", "error_type", F.col("probability").alias("_level")), "run_id")
+    poses = localization_fault(rows.withColumn("probability", of("LOCALIZATION")), seed).drop("error_type", "_level", "probability")
+    own = rows.select("run_id", "platform_id", "kind", "error_type", "_level").distinct().join(F.broadcast(sensors), "kind")  # a row for each sensor of a kind
+    own = extrinsics_fault(own.withColumn("probability", of("SINGLE_SENSOR_EXTRINSICS")), seed, single=True)
+    own = extrinsics_fault(own.withColumn("probability", of("MULTI_SENSOR_EXTRINSICS")), seed, single=False)
+    return poses, own.drop("error_type", "_level", "probability")
+
+
 def dispatched(detections: DataFrame, runs: DataFrame, seed: int) -> DataFrame:
-    """Each run's own fault on its detections: removal, addition anywhere or in the region, or none."""
+    """Each run's own fault on its detections: removal, addition anywhere or in the region, or none. Faults of poses and sensors are in the detections already; see dispatched_poses."""
     rows = detections.join(runs, "run_id")
     kind = F.col("error_type")
     kept = removal_fault(rows.where(kind == "MALICIOUS_REMOVAL"), seed).unionByName(rows.where(kind != "MALICIOUS_REMOVAL"))

@@ -15,8 +15,9 @@ def localized(platforms: DataFrame, lateral: list[float], longitudinal: list[flo
 
 
 def sensor_poses(platforms: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Each sensor of a platform's kind at its place: extrinsics and their error in the platform's frame."""
-    rows = platforms.join(F.broadcast(sensors), "kind")  # a row for each sensor of a kind
+    """Each sensor of a platform's kind at its place: extrinsics and their error in the platform's frame. Sensors with a platform_id (and run_id) are that platform's own."""
+    own = "platform_id" in sensors.columns
+    rows = platforms.join(sensors, ["run_id", "platform_id", "kind"]) if own else platforms.join(F.broadcast(sensors), "kind")  # a row for each sensor of a kind
     x, y = K.moved(F.col("x"), F.col("y"), F.col("yaw"), F.col("ex") + F.col("dx"), F.col("ey") + F.col("dy"))
     return rows.withColumns({"x": x, "y": y, "yaw": F.col("yaw") + F.col("eyaw") + F.col("dyaw")})
 

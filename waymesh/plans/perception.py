@@ -208,6 +208,13 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(_global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes).select(*own.columns))
 
 
+def global_metrics(spark: SparkSession, sf_dir: str, seen: DataFrame) -> DataFrame:
+    """The Global rows on what all platforms can see, against the given objects (run_id, frame, det_ord, object_id, cx, cy, vx, vy, width, length)."""
+    truths = _truth_of(V.sightings(spark, sf_dir), FRAME)
+    rows = _global_metrics(_egos(spark, sf_dir), truths, seen, catalogs.envelopes(spark))
+    return clean(rows, "run_id", "source", "ego_id", "frame", *report.COUNTERS, "f1")
+
+
 def _global_metrics(cavs: DataFrame, truths: DataFrame, seen: DataFrame, envelopes: DataFrame) -> DataFrame:
     rows = _confused(_counted(cavs, truths, seen, FRAME, envelopes)).withColumns({"f1": F.lit(0.0), "truths": F.lit(0).cast("long")})
     frames = _scores(seen, truths, FRAME).withColumns({"ego_id": F.lit(None).cast("string")} | {c: F.lit(0).cast("long") for c in report.COUNTERS})

@@ -266,12 +266,39 @@ def fault_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(augment.fake_rows(frames, SEED, (20.0, 40.0)), *_FAKE_COLUMNS)
 
 
+_FAULTS = (["NONE", "MALICIOUS_REMOVAL", "MALICIOUS_ADDITION", "MALICIOUS_CONVOY", "LOCALIZATION", "SINGLE_SENSOR_EXTRINSICS", "MULTI_SENSOR_EXTRINSICS"], [30, 60, 90])
+_FAULT_RUNS = f"SELECT CAST(row_number() OVER (ORDER BY e, l) - 1 AS INTEGER) AS run_id, ({_FAULTS[0]})[e + 1] AS error_type, CAST(30 * l AS DOUBLE) / 100 AS probability FROM range(7) a(e), range(1, 4) b(l)"
+
+
+def _drawn(hit: str, name: str, most: str, *keys: str, scale: str = "1") -> str:
+    return f"CASE WHEN {hit} THEN (-{most} + 2 * CAST({most} AS DOUBLE) * {u(name, *keys)}) * {scale} ELSE 0 END"
+
+
+_OWN = ("run_id", "platform_id")
+_LOST = f"error_type = 'LOCALIZATION' AND {u('fault', *_OWN, 'frame')} < probability"
+_OFF = {c: f"{_drawn('single', f'one.{c}', m, *_OWN)} + {_drawn('multi', f'all.{c}', m, *_OWN)}" for c, m in (("x", "1.0"), ("y", "1.0"), ("yaw", "0.17"))}
+#: Views of all runs of faults: telemetry under their numbers, platforms and sensors with the faults of their run.
+_DISPATCHED = {
+    "raw": V.VIEWS["raw"].replace("event_id // 4000", "(event_id // 20) % 21"),
+    "platforms": f"SELECT * EXCLUDE (error_type, probability) REPLACE ({', '.join(f'{c} + {_drawn(_LOST, f"pose.{c}", m, *_OWN, "frame", scale="probability")} AS {c}' for c, m in (('x', '1.0'), ('y', '1.0'), ('yaw', '0.17')))}) FROM (SELECT p.*, r.error_type, r.probability FROM ({V.VIEWS['platforms']}) p JOIN ({_FAULT_RUNS}) r ON p.run_id = r.run_id)",
+    "poses": f"""SELECT p.run_id, p.frame, p.t, p.platform_id, p.kind, s.sensor_idx, s.sensor_type, s.detector_type, s.max_range, s.fov, s.center, p.x + (s.ex + s.dx) * cos(p.yaw) - (s.ey + s.dy) * sin(p.yaw) AS x, p.y + (s.ex + s.dx) * sin(p.yaw) + (s.ey + s.dy) * cos(p.yaw) AS y, p.yaw + s.eyaw + s.dyaw AS yaw
+        FROM platforms p JOIN (SELECT *, {', '.join(f'{e} AS d{c}' for c, e in _OFF.items())} FROM (SELECT *, hit AND error_type = 'SINGLE_SENSOR_EXTRINSICS' AND pick = 1 AS single, hit AND error_type = 'MULTI_SENSOR_EXTRINSICS' AS multi FROM
+        (SELECT *, {u('fault', *_OWN)} < probability AS hit, row_number() OVER (PARTITION BY run_id, platform_id ORDER BY {u('pick', *_OWN, 'sensor_idx')}, sensor_idx) AS pick FROM (SELECT q.run_id, q.platform_id, r.error_type, r.probability, s.* FROM (SELECT DISTINCT run_id, platform_id, kind FROM platforms) q JOIN ({_FAULT_RUNS}) r ON q.run_id = r.run_id JOIN sensors s ON q.kind = s.kind)))) s ON p.run_id = s.run_id AND p.platform_id = s.platform_id""",
+    "seen": "SELECT run_id, frame, platform_id, sensor_idx, slot AS det_ord, object_id AS truth_id FROM thinned",
+    "runs": _FAULT_RUNS,
+}
+
+
 @query(sql(f"""SELECT run_id, error_type, frame, platform_id, sensor_idx, truth_id, NULL AS detection_id FROM (SELECT *, {_STRUCK} AS struck, {_VICTIM} AS n FROM (SELECT s.*, r.error_type, r.probability FROM seen s JOIN runs r ON s.run_id = r.run_id))
     WHERE NOT (error_type = 'MALICIOUS_REMOVAL' AND struck AND n = 1)
     UNION ALL SELECT run_id, error_type, frame, platform_id, sensor_idx, NULL, detection_id FROM (SELECT *, {_fake(0.0, 1.0).split(' AS detection_id')[0]} AS detection_id FROM
-    (SELECT DISTINCT s.run_id, s.frame, s.platform_id, s.sensor_idx, r.error_type, r.probability FROM seen s JOIN runs r ON s.run_id = r.run_id WHERE r.error_type IN ('MALICIOUS_ADDITION', 'MALICIOUS_CONVOY'))) WHERE {_STRUCK}""", seen=_SEEN, runs=_RUNS))
+    (SELECT DISTINCT s.run_id, s.frame, s.platform_id, s.sensor_idx, r.error_type, r.probability FROM seen s JOIN runs r ON s.run_id = r.run_id WHERE r.error_type IN ('MALICIOUS_ADDITION', 'MALICIOUS_CONVOY'))) WHERE {_STRUCK}""", **_DISPATCHED))
 def fault_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = augment.dispatched(_seen(spark, sf_dir), catalogs.sweep(spark, *_SWEEP), SEED)
-    return rows.select("run_id", "error_type", "frame", "platform_id", "sensor_idx", "truth_id", "detection_id")
-
-
+    """What each run detects under its own fault: of poses and of sensors, which change what is seen, or of detections."""
+    runs = catalogs.sweep(spark, *_FAULTS)
+    placed = lambda rows: rows.withColumn("run_id", F.col("frame") % 21)
+    poses, sensors = augment.dispatched_poses(placed(V.platforms(spark, sf_dir)), V.sensor_table(spark), runs, SEED)
+    visible = V.seen_from(sensing.sensor_poses(poses, sensors), placed(V.state(spark, sf_dir)))
+    rows = augment.thinned(sensing.budget(visible, catalogs.detector_types(spark)), SEED, *KEYS)
+    rows = rows.select(*_FRAME_KEYS, F.col("slot").alias("det_ord"), F.col("object_id").alias("truth_id"), "cx", "cy")
+    return augment.dispatched(rows, runs, SEED).select("run_id", "error_type", "frame", "platform_id", "sensor_idx", "truth_id", "detection_id")

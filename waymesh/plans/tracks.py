@@ -9,6 +9,7 @@ from waymesh.functions import kinematics as K
 from waymesh.operators import tracking
 
 from . import views as V
+from . import perception
 from .perception import batches
 from .registry import query
 
@@ -55,6 +56,14 @@ def global_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.tracks(global_detections(spark, sf_dir), cleanup=0.5)
 
 
+@query()
+def global_track_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Global rows of frame_metrics with the fused tracks of all platforms as what is seen; tracks stand for objects of their own, so that an ego's own track counts."""
+    tracks = tracking.tracks(global_detections(spark, sf_dir), cleanup=0.5)
+    seen = tracks.select("run_id", "frame", F.col("track_id").cast("string").alias("object_id"), (F.col("track_id") % tracking.IDS).cast("int").alias("det_ord"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("dx").alias("vx"), F.col("dy").alias("vy"), "width", "length")
+    return perception.global_metrics(spark, sf_dir, scratch.written(seen, "seen"))
+
+
 @query()
 def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Platform tracks that start at their detections and pair one to one."""

@@ -65,8 +65,12 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sensors = poses(spark, sf_dir).select("run_id", "frame", "platform_id", "kind", "sensor_idx", "detector_type", "x", "y", "yaw", "max_range", "fov", "center")
-    objects = state(spark, sf_dir).select("run_id", "frame", "t", "slot", "object_id", "cx", "cy", "angle", "width", "length", "vx", "vy")
+    return seen_from(poses(spark, sf_dir), state(spark, sf_dir))
+
+
+def seen_from(poses: DataFrame, state: DataFrame) -> DataFrame:
+    sensors = poses.select("run_id", "frame", "platform_id", "kind", "sensor_idx", "detector_type", "x", "y", "yaw", "max_range", "fov", "center")
+    objects = state.select("run_id", "frame", "t", "slot", "object_id", "cx", "cy", "angle", "width", "length", "vx", "vy")
     return sensing.visible(sensors, objects)
 
 
