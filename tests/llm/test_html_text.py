@@ -30,6 +30,9 @@ CASES = [
     (f"<div class=content><div>Short one.</div><div><p>{LONG}</p></div></div>", f"Short one. {LONG}"),
     (f'<p>{LONG}</p><a title="open > and <p>never closed', f"{LONG} and never closed"),
     (f"<p title=it's>one</p><p data-x='a > b' y>{LONG}</p>", f"one {LONG}"),
+    (f'<article><p>{LONG}</p><div class="related-work"><p>Others did {LONG}</p></div><section id="notice-of-termination"><p>Given on {LONG}</p></section><div class="comment-on-law"><p>Law {LONG}</p></div></article>', f"{LONG} Others did {LONG} Given on {LONG} Law {LONG}"),
+    (f'<div id="comment-on-law"><p>{LONG}</p><p>{LONG}</p></div><div class="comment-body"><p>Reader: {LONG}</p></div>', f"{LONG} {LONG}"),
+    (f'<article><p>{LONG}</p><div class="related-posts"><p>{LONG} you may like</p></div><div class="cookie_notice-text"><p>{LONG}</p></div><div id="comments-section"><p>{LONG}</p></div><div class="AdBanner2"><p>{LONG}</p></div><div class="share-the-law"><a href=/>{LONG}</a></div><div class="newsletter-of-law"><p>{LONG}</p><input></div></article>', LONG),
     (f"</body></p><p>{LONG}</p></section><!-- open", LONG),
 ]
 

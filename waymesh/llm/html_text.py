@@ -35,7 +35,12 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search fo
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments commentlist respond replies disqus sidebar aside footer header masthead nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget pagination pager toolbar skip search form".split()
 )
-#: Of these words, those that articles use as well: what bears them is kept if it holds running text and no controls.
+#: Words that only say what part of a page's layout something is. A name of these and of words outside an article decides by itself;
+#: one with other words as well (related-work, notice-of-termination) may be the article's own, and what it holds decides.
+STRUCTURAL = frozenset(
+    "area author avatar bar block body bottom box bubble button buttons card cards center close col column container content count date fixed float footer group grid header heading icon icons id image img info inline inner input item items js label layout left line link links list main menu message messages meta middle modal more msg name number outer page pages panel parent placeholder post posts reply right row section sections side site slot sticky stories story text time title top unit user wrap wrapper wrapping zone article articles latest popular reader trending also like may more you your".split()
+)
+#: Of the words outside, those that articles use as well: what bears them is kept if it holds running text and no controls.
 UNSURE_WORDS = frozenset("alert form overlay promotion search sharing skip social widget".split())
 CONTROLS = frozenset("button form input option select textarea".split())
 INSIDE = frozenset("article content main post story entry text body".split())
@@ -51,12 +56,12 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class _Node:
-    __slots__ = ("all", "controls", "hinted", "holds", "links", "n_links", "out", "parent", "path", "running", "semantic", "tag")
+    __slots__ = ("all", "controls", "hinted", "holds", "links", "n_links", "out", "parent", "path", "running", "semantic", "strong", "tag")
 
     def __init__(self, tag: str, parent: int, path: int, out: bool, semantic: bool) -> None:
         self.tag, self.parent, self.path, self.out, self.semantic = tag, parent, path, out, semantic
         self.all = self.running = self.links = self.n_links = 0
-        self.holds, self.hinted, self.controls = False, frozenset(), tag in CONTROLS
+        self.holds, self.hinted, self.strong, self.controls = False, False, False, tag in CONTROLS
 
 
 @lru_cache(4096)
@@ -69,6 +74,16 @@ def _words(*names: str) -> frozenset[str]:
     return frozenset(w.lower() for x in names for w in WORD.findall(x))
 
 
+@lru_cache(4096)
+def _strong(*names: str) -> bool:
+    """Whether one of the names is of words outside an article, and of none that says what it is about."""
+    for name in " ".join(names).split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if words & (OUTSIDE_WORDS - UNSURE_WORDS) and words <= OUTSIDE_WORDS | STRUCTURAL:
+            return True
+    return False
+
+
 class Page:
     """The elements of a page, and its text pieces in order, each with its element; None marks a block's edge.
 
@@ -170,7 +185,8 @@ class Page:
             self._steps.append(step)
         self.nodes.append(_Node(name, parent, path, out, semantic))
         if name not in ("html", "body", "article", "main"):
-            self.nodes[-1].hinted = words & OUTSIDE_WORDS
+            self.nodes[-1].hinted = bool(words & OUTSIDE_WORDS)
+            self.nodes[-1].strong = bool(words) and _strong(attributes.get("class", ""), attributes.get("id", ""))
         if name in ("article", "main", "h1"):
             i = parent
             while i >= 0 and not self.nodes[i].holds:
@@ -243,7 +259,7 @@ class Page:
         self._summed()
         for i, n in enumerate(nodes[1:], 1):
             if n.hinted and not n.holds:
-                n.out = n.out or not (n.hinted <= UNSURE_WORDS and n.running and not n.controls and n.links < LINKED * n.all)
+                n.out = n.out or n.strong or not (n.running and not n.controls and n.links < LINKED * n.all)
             menu = n.tag in ("ul", "ol") and n.n_links >= 3 and n.all > 0 and n.links >= 0.9 * n.all  # a list of nothing but links
             n.out = n.out or menu or nodes[n.parent].out
         for n, own_running in zip(nodes, own, strict=True):
