@@ -52,3 +52,29 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 0), (2, 0), (3, 2), (3, 2), (None, 3), (4, 100_000), (5, 1)], key=str)
     assert K.with_token_counts(df.where("false"), counter).collect() == []
     assert K.Counter([]).count("ab") == 2 + 3
+
+
+@pytest.mark.parametrize("part", [1, 2, 7])
+def test_words_that_are_read_in_parts(monkeypatch, part):
+    rng = random.Random(part)
+    pieces = {"".join(rng.choices("abcé", k=rng.randint(1, 6))): -float(rng.randint(1, 4)) for _ in range(80)} | {K.SPACE: -2.0}
+    t = exact(list(pieces.items()), False)
+    monkeypatch.setattr(K, "PART", part)
+    counter = K.Counter(list(pieces.items()), bytes=False)
+    for _ in range(200):
+        text = "".join(rng.choices("abcéZ", k=rng.randint(1, 60)))
+        assert counter.count(text) == len(t.encode(text, add_special_tokens=False).ids), text
+
+
+def test_memory_of_a_long_word():
+    import tracemalloc
+
+    rng = random.Random(1)
+    word = "".join(rng.choices("abcdefgh", k=400_000))
+    counter = K.Counter([("".join(rng.choices("abcdefgh", k=rng.randint(1, 5))), -float(rng.randint(2, 6))) for _ in range(400)] + [(c, -6.0) for c in "abcdefgh"])
+    counter.best("a")
+    tracemalloc.start()
+    counter.best(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15_000_000

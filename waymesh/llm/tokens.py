@@ -12,6 +12,7 @@ Words repeat, so each task keeps the counts of words it has met, up to a fixed n
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from math import log
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 KEPT_WORDS = 1 << 20
+#: Characters of a long word that the automaton reads at a time.
+PART = 1 << 15
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
@@ -52,26 +55,46 @@ class Counter:
     def _unknown(self) -> float:
         return min((score for _, score in self.pieces), default=0.0) - UNKNOWN_PENALTY
 
+    @cached_property
+    def _reach(self) -> int:
+        return max((len(piece) for piece, _ in self.pieces), default=1) + 1
+
+    def _ending(self, word: str) -> Iterator[tuple[str, list[tuple[int, float]]]]:
+        """Each character of the word with the pieces (length, score) that end at it, longest first; the automaton goes on from one part of the word to the next."""
+        found = None
+        for at in range(0, len(word), PART):
+            part = word[at : at + PART]
+            ending: list[list[tuple[int, float]]] = [[] for _ in part]
+            if len(self._automaton):
+                if found is None:
+                    found = self._automaton.iter(part)
+                else:
+                    found.set(part)
+                for last, piece in found:
+                    ending[last - at].append(piece)
+            for pieces in ending:
+                pieces.sort(reverse=True)
+            yield from zip(part, ending, strict=True)
+
     def best(self, word: str) -> tuple[float, int]:
-        """Score and number of pieces of the best segmentation."""
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
-        if len(self._automaton):
-            for last, piece in self._automaton.iter(word):
-                ending[last + 1].append(piece)
-        score, count, open_run = [0.0] * (len(word) + 1), [0] * (len(word) + 1), [False] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
+        """Score and number of pieces of the best segmentation. What is kept is as long as the longest piece, not as the word."""
+        n = self._reach
+        score, count, open_run = [0.0] * n, [0] * n, [False] * n
+        end = 0
+        for end, (char, ending) in enumerate(self._ending(word), 1):
+            here, before = end % n, (end - 1) % n
             top, start, single = None, -1, False
-            for length, gain in sorted(ending[end], reverse=True):
+            for length, gain in ending:
                 single = single or length == 1
-                if top is None or gain + score[end - length] > top:
-                    top, start = gain + score[end - length], end - length
-            if not single and (top is None or self._unknown + score[end - 1] > top):
-                score[end] = self._unknown + score[end - 1]
-                more = len(word[end - 1].encode()) if self.bytes else not open_run[end - 1]
-                count[end], open_run[end] = count[end - 1] + more, True
+                if top is None or gain + score[(end - length) % n] > top:
+                    start = (end - length) % n
+                    top = gain + score[start]
+            if not single and (top is None or self._unknown + score[before] > top):
+                more = len(char.encode()) if self.bytes else not open_run[before]
+                score[here], count[here], open_run[here] = self._unknown + score[before], count[before] + more, True
             else:
-                score[end], count[end] = top, count[start] + 1
-        return score[-1], count[-1]
+                score[here], count[here], open_run[here] = top, count[start] + 1, False
+        return score[end % n], count[end % n]
 
     def count(self, text: str) -> int:
         """Pieces of a text whose spaces are the piece mark, with one put before it, each word by itself."""
