@@ -1,7 +1,9 @@
+import time
 import zlib
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymesh.llm import quality as Q
@@ -69,3 +71,24 @@ def test_training_sample_is_bounded(spark):
     assert np.allclose(want.weights, got.weights) and np.allclose(want.transition, got.transition)
     fewer = Q.train(make(few), labels, lines=10)
     assert np.isfinite(fewer.weights).all()
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 512])
+def test_segments_give_the_same_marginals(monkeypatch, segment):
+    rng = np.random.default_rng(segment)
+    doc = np.repeat(np.arange(7), [1, 40, 3, 14, 7, 1, 22])
+    x = rng.normal(size=(doc.size, Q.FEATURES)) * 3
+    field = Q.Field(rng.normal(size=Q.FEATURES), rng.normal(size=(2, 2)) * 2)
+    monkeypatch.setattr(Q, "SEGMENT", segment)
+    assert np.allclose(Q.line_marginals(field, x, doc), Q.marginals(field, x, doc)[0], atol=1e-9)
+
+
+def test_a_text_of_very_many_lines():
+    field = Q.Field(np.linspace(-1, 1, Q.FEATURES), np.array([[0.5, -0.2], [0.1, 0.3]]))
+    data, starts = joined(["short line\n!!\n" * 250_000, "one", "a\nb"])
+    begin = time.perf_counter()
+    found = Q.document_scores(field, data, starts)
+    assert time.perf_counter() - begin < 15
+    x, doc, size = Q.line_features(*joined(["short line\n!!\n" * 2000]))
+    few = Q.document_scores(field, *joined(["short line\n!!\n" * 2000]))[0]
+    assert abs(found[0] - few) < 0.01 and np.isclose(found[1], Q.document_scores(field, *joined(["one"]))[0])

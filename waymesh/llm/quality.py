@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .common import byte_view, prefix_hash, span_hash
 
 #: At most so many labelled documents train the field; the rest of the corpus is scored, never sampled.
-TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
+TRAIN_DOCS, TRAIN_LINES, TRAIN_BYTES = 4000, 200_000, 1 << 26
 THRESHOLD = 0.3
 PIECE = 1 << 20
+#: Lines of a long text that are summed one after the other.
+SEGMENT = 512
 
 _SPACE, _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _LEAD = range(7)
 _CLASS = np.full(256, _LOWER, np.uint8)
@@ -128,6 +130,44 @@ def marginals(field: Field, x: np.ndarray, doc: np.ndarray, at: list[np.ndarray]
     return np.exp(ahead[:, 1] + behind[:, 1] - z), pairs, float(total.sum())
 
 
+def line_marginals(field: Field, x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """P(good) of each line, as marginals(), in as many steps as SEGMENT and the segments of the longest text, not as its lines.
+
+    Texts are cut into segments of SEGMENT lines. Forwards and backwards sums over a segment are a
+    2 x 2 matrix, the product of those of its lines; products of a text's segments give what stands
+    before and after each, from where the lines inside are summed for all segments at once."""
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    begin = np.flatnonzero(first)
+    place = np.arange(doc.size) - np.repeat(begin, np.diff(np.append(begin, doc.size)))
+    heads = np.flatnonzero(place % SEGMENT == 0)
+    if heads.size == begin.size:
+        return marginals(field, x, doc)[0]
+    of = np.repeat(np.arange(heads.size), np.diff(np.append(heads, doc.size)))
+    at, steps = _positions(of), _positions(doc[heads])
+    score = np.stack((np.zeros(doc.size), x @ field.weights), axis=1)
+    enters = np.where(first[heads][:, None, None], 0.0, field.transition)  # from the line before, if there is one
+    product = np.empty((heads.size, 2, 2))
+    order = of[at[0]]
+    moved = enters[order] + score[at[0]][:, None, :]
+    for now in at[1:]:
+        moved[: now.size] = np.logaddexp.reduce(moved[: now.size, :, :, None] + (field.transition + score[now][:, None, :])[:, None], axis=2)
+    product[order] = moved
+    before, after = np.zeros((heads.size, 2)), np.zeros((heads.size, 2))
+    before[first[heads], 1] = -np.inf
+    for earlier, later in zip(steps, steps[1:], strict=False):
+        before[later] = np.logaddexp.reduce(before[earlier[: later.size], :, None] + product[earlier[: later.size]], axis=1)
+    for earlier, later in zip(steps[-2::-1], steps[:0:-1], strict=True):
+        after[earlier[: later.size]] = np.logaddexp.reduce(product[later] + after[later][:, None, :], axis=2)
+    ahead, behind = np.zeros_like(score), after[of]
+    ahead[at[0]] = np.logaddexp.reduce(before[order][:, :, None] + enters[order], axis=1) + score[at[0]]
+    for earlier, now in zip(at, at[1:], strict=False):
+        ahead[now] = np.logaddexp.reduce(ahead[earlier[: now.size], :, None] + field.transition, axis=1) + score[now]
+    for now, later in zip(at[-2::-1], at[:0:-1], strict=True):
+        behind[now[: later.size]] = np.logaddexp.reduce(field.transition + (score[later] + behind[later])[:, None, :], axis=2)
+    both = ahead + behind
+    return np.exp(both[:, 1] - np.logaddexp.reduce(both, axis=1))
+
+
 def fitted(x: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Maximum conditional likelihood with a quadratic penalty, by full-batch gradient steps of adapted size; label is given per line."""
     if not doc.size:
@@ -158,7 +198,7 @@ def document_scores(field: Field, data: np.ndarray, starts: np.ndarray) -> np.nd
     out = np.zeros(starts.size - 1)
     for a, b in _pieces(starts):
         x, doc, size = line_features(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-        p, _, _ = marginals(field, x, doc)
+        p = line_marginals(field, x, doc)
         weight = size + 1e-6
         out[a:b] = np.bincount(doc, p * weight) / np.bincount(doc, weight)
     return np.clip(out, 0, 1)
@@ -179,9 +219,9 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Field:
+def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: int = TRAIN_LINES, size: int = TRAIN_BYTES) -> Field:
     """The field from at most `limit` labelled documents (those of least hash of their id) outside the held-out fifth, and of these
-    from as many, in the same order, as have `lines` lines together; a document of more than a hundredth of these is left out of the sample.
+    from as many, in the same order, as have `lines` lines and `size` bytes together; a document of more than a hundredth of either is left out of the sample.
 
     Labels that are null are skipped; of repeated labels of an id the least counts, of repeated ids the text of least hash.
     Without any labelled document all scores are 0.5. Only the sample's line features reach the driver."""
@@ -190,9 +230,10 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, line
     texts = documents.select(F.col("doc_id").alias("train_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "train_id")
     texts = texts.groupBy("train_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("train_id", "label", "least.text")
     # Counted after the grouping, so that the filter is not pushed down to the texts of all documents.
-    texts = texts.withColumn("lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")).where(F.col("lines") <= max(1, lines // 100))
-    before = F.sum("lines").over(Window.orderBy(F.xxhash64("train_id"), "train_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    texts = texts.withColumn("before", before).where(F.col("before") <= lines).select("train_id", "text", "label")
+    texts = texts.withColumn("lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")).withColumn("bytes", F.octet_length("text").cast("long"))
+    texts = texts.where((F.col("lines") <= max(1, lines // 100)) & (F.col("bytes") <= max(1, size // 100)))
+    upto = Window.orderBy(F.xxhash64("train_id"), "train_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    texts = texts.withColumns({"_lines": F.sum("lines").over(upto), "_bytes": F.sum("bytes").over(upto)}).where((F.col("_lines") <= lines) & (F.col("_bytes") <= size)).select("train_id", "text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
