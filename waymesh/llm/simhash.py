@@ -26,9 +26,12 @@ from .common import byte_view, mixed, written
 
 WORDS, SEED, BITS, LEAST_EQUAL = 4, 42, 4, 4
 LONG_LIST = 48
-#: Of the wide fingerprint: shingles of five words, 16 longs, the bits that differ at a similarity of 0.79 (cosine 0.883,
-#: an angle of 0.156 half turns; two texts of 0.8 differ in 155 bits, give or take 11), and lists, of which two such texts share four on average.
-WIDE_WORDS, WIDE_LONGS, WIDE_BITS, WIDE_LISTS = 5, 16, 160, 192
+#: Of the wide fingerprint: shingles of five words, 16 longs, and lists, of which two texts of the least similarity share four on average.
+WIDE_WORDS, WIDE_LONGS, WIDE_LISTS, SIMILAR = 5, 16, 192, 0.8
+#: Two texts of that similarity differ in 155 bits, give or take 11. Those within SURE_BITS link, those within WIDE_BITS are compared by
+#: their sets of shingles. Long lists are walked at each of WALKS, so that texts that are near are linked by links that hold.
+SURE_BITS, WIDE_BITS = 104, 190
+WALKS = (SURE_BITS, 160, WIDE_BITS)
 #: Shingles whose bits are unpacked at a time; a byte counts to 255, so their bits are summed in eight bytes at once.
 CHUNK, LANES = 4080, 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -215,22 +218,22 @@ def _wide_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), WIDE_LISTS))], ["list", "fp"])
 
 
-def _wide_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two tables of fingerprints share three positional bytes and differ in WIDE_BITS at most."""
+def _wide_near(a: np.ndarray, b: np.ndarray, bits: int = WIDE_BITS) -> np.ndarray:
+    """Which rows of two tables of fingerprints share three positional bytes and differ in so many bits at most."""
     differ = a ^ b
-    near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= WIDE_BITS
+    near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= bits
     near[near] = (differ[near].view(np.uint8) == 0).sum(axis=1) >= 3
     return near
 
 
-def _wide_walked(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _wide_walked(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of links that join exactly those members of a list which are reachable from each other."""
     left, right, rest = [], [], np.arange(len(fp))
     while rest.size:
         reached, rest = [int(rest[0])], rest[1:]
         while reached and rest.size:
             x = reached.pop()
-            near = _wide_near(fp[rest], fp[x])
+            near = _wide_near(fp[rest], fp[x], bits)
             if near.any():
                 left.append(np.full(int(near.sum()), x))
                 right.append(rest[near])
@@ -240,22 +243,22 @@ def _wide_walked(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside whole lists; rows (list, name, bytes) come sorted by list, and the list that a batch ends in waits for the next."""
+    """Links inside whole lists, and whether they are sure; rows (list, name, bytes) come sorted by list, and the list that a batch ends in waits for the next."""
     lists, names, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_LONGS), np.uint64)
 
     def out(upto: int) -> pa.RecordBatch:
         bound = np.flatnonzero(np.concatenate(([True], lists[1:upto] != lists[: upto - 1], [True])))
-        a, b = [names[:0]], [names[:0]]
         pairs = bound[:-1][np.diff(bound) == 2]
         near = pairs[_wide_near(prints[pairs], prints[pairs + 1])]
-        a.append(names[near])
-        b.append(names[near + 1])
+        a, b = [near], [near + 1]
         for i in np.flatnonzero(np.diff(bound) > 2).tolist():
-            at = slice(bound[i], bound[i + 1])
-            x, y = _wide_walked(prints[at])
-            a.append(names[at][x])
-            b.append(names[at][y])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            for bits in WALKS:
+                x, y = _wide_walked(prints[bound[i] : bound[i + 1]], bits)
+                a.append(bound[i] + x)
+                b.append(bound[i] + y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        sure = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= SURE_BITS
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b])), pa.array(sure)], ["a", "b", "sure"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -286,6 +289,28 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _named(rows, distinct, postings(distinct).repartition("list").sortWithinPartitions("list").mapInArrow(_links, "a long, b long"))
 
 
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates with their texts those whose sets of shingles are similar."""
+    for batch in batches:
+        columns = [byte_view(batch.column(c)) for c in ("a_text", "b_text")]
+        keep = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            a, b = (np.unique(shingle_hashes(data[starts[i] : starts[i + 1]].tobytes(), WIDE_WORDS)) for data, starts in columns)
+            both = np.intersect1d(a, b, assume_unique=True).size
+            keep[i] = both >= SIMILAR * (a.size + b.size - both)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+
+def _alike(links: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between fingerprints of texts of SIMILAR or more; a text of each end is looked up by its hash."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    hashes = rows.join(ends, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    texts = texts.join(hashes, "text_hash").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
+    a, b = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    return links.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_jaccard, "a long, b long")
+
+
 def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The same columns by wide fingerprints; fp is a fingerprint's 64-bit hash."""
     rows = written(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), wide_simhash(F.col(text_col)).alias("bytes")).withColumn("fp", F.xxhash64("bytes")), "simhash")
@@ -295,7 +320,9 @@ def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_list = Window.partitionBy("list").orderBy("fp")
     met = posted.select("list", "fp", (F.lag("fp").over(by_list).isNotNull() | F.lead("fp").over(by_list).isNotNull()).alias("met")).where("met").drop("met")
     met = written(met, "postings").join(distinct.select("fp", "bytes"), "fp").select("list", "fp", "bytes")
-    links = met.repartition("list").sortWithinPartitions("list").mapInArrow(_wide_links, "a long, b long").distinct()
+    links = met.repartition("list").sortWithinPartitions("list").mapInArrow(_wide_links, "a long, b long, sure boolean").distinct()
+    links = written(links, "candidates")
+    links = links.where("sure").drop("sure").unionByName(_alike(links.where("NOT sure"), rows, df.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))))
     return _named(rows.drop("bytes"), distinct.drop("bytes"), links)
 
 
@@ -311,9 +338,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and component_id, the smallest id reachable over links of similarity 0.8 and more in shingles of five words.
 
-    Fingerprints have 1024 bits; two link if they differ in WIDE_BITS or fewer, which estimates the similarity
-    to 0.02, and meet in one of WIDE_LISTS lists of three positional bytes, as nearly all such pairs do (no
-    minimum is guaranteed where so many bits may differ). Texts of fewer than five words link if they have the same words;
+    Fingerprints have 1024 bits; candidates differ in WIDE_BITS or fewer and meet in one of WIDE_LISTS lists of
+    three positional bytes, as nearly all such pairs do (no minimum is guaranteed where so many bits may
+    differ). They link if their sets of shingles are that similar, which the bits alone say where they are SURE_BITS or fewer. Texts of fewer than five words link if they have the same words;
     null and empty texts link with each other. Null ids, repeated rows, empty tables: as near_duplicate_groups."""
     return _similar(df, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
 
