@@ -333,7 +333,7 @@ class Tracker:
 
 
 ORDER = ["frame", "batch_ord", "det_ord"]
-_KINDS = {"int": "int32", "long": "int64", "double": "float64", "string": "object", "boolean": "bool"}
+_KINDS = {"int": "int32", "long": "int64", "double": "float64", "string": "object", "boolean": "bool", "binary": "object"}
 
 
 def table_of(schema: str, rows: list[tuple]) -> pd.DataFrame:
