@@ -354,3 +354,14 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = asked.join(best, "node").select("query_id", F.explode("ids").alias("id"), "score").where(F.col("id") != F.col("query_id"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+
+#: Exact search, to which nearest() is equal where it finds all there is to find; sums go dimension by dimension, as in cosine().
+NEAREST_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS MATERIALIZED (SELECT *, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(e, lambda x: x * x)), lambda a, x: a + x)) AS length FROM v),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])), lambda x, y: x + y) / (a.length * b.length) AS score FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""

@@ -122,3 +122,6 @@ ORACLES["op13_hard_negatives"] = _negatives.NEGATIVES_SQL
 @_query
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_nearest_neighbours"] = _neighbours.NEAREST_SQL
