@@ -14,10 +14,10 @@ SF = "/root/testdata/sf0.001"
 SCHEMA = "run_id int, tracker_id long, frame int, t double, batch_ord int, det_ord int, cx double, cy double, width double, length double, angle double, c00 double, c01 double, c11 double, trust double"
 
 
-def scene(seed, groups, size, frames, away=1000.0):
+def scene(seed, groups, size, frames, away=1000.0, wide=900):
     """Groups of objects that drive about near each other, far from other groups now and then; with misses and empty frames."""
     rng = np.random.default_rng(seed)
-    place = rng.uniform(0, 900, (groups, 1, 2)) + rng.uniform(-40, 40, (groups, size, 2)) + away
+    place = rng.uniform(0, wide, (groups, 1, 2)) + rng.uniform(-40, 40, (groups, size, 2)) + away
     speed = rng.uniform(-18, 18, (groups, 1, 2)) + rng.normal(0, 1, (groups, size, 2))
     rows = []
     for f in range(frames):
@@ -81,10 +81,10 @@ if __name__ == "__main__":  # seconds of one task and of components
     from pyspark.sql import SparkSession
 
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    frame = session.createDataFrame(scene(1, 40, 60, 300, 5000.0), SCHEMA).repartition(8).cache()
+    frame = session.createDataFrame(scene(1, 16, 50, 120, 5000.0, 4000), SCHEMA).repartition(8).cache()
     print(frame.count(), "rows")
-    for name, run in (("one task", lambda: T.tracks(frame, 0.5, False)), ("components", lambda: tiles.tracks(frame, 0.5, False, block=100))):
-        for _ in range(2):
-            begin = time.perf_counter()
-            n = run().count()
-            print(name, n, round(time.perf_counter() - begin, 1))
+    T.tracks(frame.limit(9), 0.5).count()
+    for name, run in (("one task", lambda: T.tracks(frame, 0.5, False)), ("components", lambda: tiles.tracks(frame, 0.5, False, block=60))):
+        begin = time.perf_counter()
+        n = run().count()
+        print(name, n, "rows in", round(time.perf_counter() - begin, 1), "s", flush=True)

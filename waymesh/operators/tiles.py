@@ -60,7 +60,8 @@ def _components(rows: pd.DataFrame) -> pd.DataFrame:
 class _Component:
     """A tracker over a component's frames of one block, which notes what a whole tracker would not."""
 
-    def __init__(self, key: tuple, options: tuple, states: pd.DataFrame) -> None:
+    def __init__(self, key: tuple, options: tuple, states: pd.DataFrame, cells: set[tuple[int, int]]) -> None:
+        self.cells = cells
         self.key, self.tracker, self.birth, self.last, self.rows = key, Tracker(int(key[1]), *options), {}, {}, []
         states = states.sort_values(list(BIRTH), kind="stable")
         kept = [pickle.loads(s) for s in states["state"]]
@@ -73,8 +74,9 @@ class _Component:
             self.last = dict(enumerate(states[list(LAST)].itertuples(index=False, name=None)))
 
     def near(self, frame: int, t: float) -> None:
-        places = {(math.floor(x / CELL), math.floor(y / CELL)) for x, y in self.tracker._gates(t)[:, :2].tolist()} if self.tracker.ids else set()
-        for place in places:
+        """Notes where gates are outside the component's own cells, which no other component has."""
+        places = set(map(tuple, np.floor(self.tracker._gates(t)[:, :2] / CELL).astype(np.int64).tolist())) if self.tracker.ids else set()
+        for place in places - self.cells:
             self.rows.append((*self.key[:2], GATE, self.key[2], frame, 0, 0, 0, 0, 0, *BLANK, *place, b""))
 
     def observe(self, frame: int, t: float, dets: np.ndarray) -> None:
@@ -110,7 +112,9 @@ def _followed(*options):
     def followed(key: tuple, dets: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         """dets of a component; states: one row with the block's frames, and the live tracks."""
         heads = states[states["frames"].notna()]
-        component = _Component(key, options, states[states["state"].notna()])
+        spans = set(dets[["x0", "x1", "y0", "y1"]].itertuples(index=False, name=None))
+        cells = {(x, y) for x0, x1, y0, y1 in spans for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)}
+        component = _Component(key, options, states[states["state"].notna()], cells)
         dets = dets.sort_values(ORDER, kind="stable")
         frames, values = dets["frame"].to_numpy(), dets[VALUES].to_numpy(float)
         for f in heads["frames"].iloc[0]:
