@@ -29,9 +29,9 @@ LONG_LIST = 48
 #: Of the wide fingerprint: shingles of five words, 16 longs, and lists, of which two texts of the least similarity share four on average.
 WIDE_WORDS, WIDE_LONGS, WIDE_LISTS, SIMILAR = 5, 16, 192, 0.8
 #: Two texts of that similarity differ in 155 bits, give or take 11. Those within SURE_BITS link, those within WIDE_BITS are compared by
-#: their sets of shingles. Long lists are walked at each of WALKS, so that texts that are near are linked by links that hold.
+#: their sets of shingles. Long lists are walked by sure links, and then at each of WALKS for what these leave apart.
 SURE_BITS, WIDE_BITS = 104, 190
-WALKS = (SURE_BITS, 160, WIDE_BITS)
+WALKS = (160, WIDE_BITS)
 #: Shingles whose bits are unpacked at a time; a byte counts to 255, so their bits are summed in eight bytes at once.
 CHUNK, LANES = 4080, 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -226,20 +226,21 @@ def _wide_near(a: np.ndarray, b: np.ndarray, bits: int = WIDE_BITS) -> np.ndarra
     return near
 
 
-def _wide_walked(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of links that join exactly those members of a list which are reachable from each other."""
-    left, right, rest = [], [], np.arange(len(fp))
+def _wide_walked(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of links that join exactly those members of a list which are reachable from each other, and of each row the first that it is reachable from."""
+    left, right, rest, first = [], [], np.arange(len(fp)), np.arange(len(fp))
     while rest.size:
-        reached, rest = [int(rest[0])], rest[1:]
+        begin, reached, rest = int(rest[0]), [int(rest[0])], rest[1:]
         while reached and rest.size:
             x = reached.pop()
             near = _wide_near(fp[rest], fp[x], bits)
             if near.any():
                 left.append(np.full(int(near.sum()), x))
                 right.append(rest[near])
+                first[rest[near]] = begin
                 reached.extend(rest[near].tolist())
                 rest = rest[~near]
-    return (np.concatenate(left), np.concatenate(right)) if left else (rest[:0], rest[:0])
+    return np.concatenate([rest[:0], *left]), np.concatenate([rest[:0], *right]), first
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,10 +253,14 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = pairs[_wide_near(prints[pairs], prints[pairs + 1])]
         a, b = [near], [near + 1]
         for i in np.flatnonzero(np.diff(bound) > 2).tolist():
-            for bits in WALKS:
-                x, y = _wide_walked(prints[bound[i] : bound[i + 1]], bits)
-                a.append(bound[i] + x)
-                b.append(bound[i] + y)
+            x, y, surely = _wide_walked(prints[bound[i] : bound[i + 1]], SURE_BITS)
+            a.append(bound[i] + x)
+            b.append(bound[i] + y)
+            for bits in WALKS:  # only between what is not together already
+                x, y, _ = _wide_walked(prints[bound[i] : bound[i + 1]], bits) if (surely != surely[0]).any() else (x[:0], y[:0], None)
+                apart = surely[x] != surely[y]
+                a.append(bound[i] + x[apart])
+                b.append(bound[i] + y[apart])
         a, b = np.concatenate(a), np.concatenate(b)
         sure = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= SURE_BITS
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b])), pa.array(sure)], ["a", "b", "sure"])
