@@ -325,7 +325,8 @@ def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_list = Window.partitionBy("list").orderBy("fp")
     met = posted.select("list", "fp", (F.lag("fp").over(by_list).isNotNull() | F.lead("fp").over(by_list).isNotNull()).alias("met")).where("met").drop("met")
     met = written(met, "postings").join(distinct.select("fp", "bytes"), "fp").select("list", "fp", "bytes")
-    links = met.repartition("list").sortWithinPartitions("list").mapInArrow(_wide_links, "a long, b long, sure boolean").distinct()
+    # In order of name, so that the walks of most lists begin at the same members and give the same links.
+    links = met.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_wide_links, "a long, b long, sure boolean").distinct()
     links = written(links, "candidates")
     links = links.where("sure").drop("sure").unionByName(_alike(links.where("NOT sure"), rows, df.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))))
     return _named(rows.drop("bytes"), distinct.drop("bytes"), links)
