@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymesh.functions.geometry import iou_of
-from waymesh.operators import tracking as T
+from waymesh.functions.geometry import iou_of, least_overlap
+from waymesh.operators import fleet, tracking as T
 from waymesh.plans import tracks as plans
 
 SF = "/root/testdata/sf0.001"
@@ -324,3 +324,27 @@ def test_metrics_of_fused_tracks(spark):
             brake = 4.6 * 0.25 / 2
             n += dx * c + dy * s < math.hypot(e.evx, e.evy) * 0.5 + brake + 0.5 * (dvx * c + dvy * s) or -dx * s + dy * c < brake + 0.5 * (-dvx * s + dvy * c)
         assert found[e.run_id, e.frame, e.ego_id].envelope_seen == n
+
+
+@pytest.mark.parametrize("compat, mode, distance", [(True, 1, "iou"), (False, 1, "iou"), (True, 2, "iou"), (False, 0, "gated_euclidean")])
+def test_trackers_in_step_equal_one_after_the_other(spark, monkeypatch, compat, mode, distance):
+    rows = plans.platform_detections(spark, SF).where("run_id = 0 AND (frame < 20 OR tracker_id <> 1000 AND frame < 26)").cache()
+    tables = [g.sort_values(T.ORDER) for _, g in rows.toPandas().groupby(["run_id", "tracker_id"])]
+    columns = [c.split()[0] for c in T.TRACKS.split(", ")][2:]
+    want = sorted((0, int(g["tracker_id"].iloc[0]), *r) for g in tables for r in T.Tracker(int(g["tracker_id"].iloc[0]), 0.3, compat, mode, distance).run(g))
+    assert len(tables) > 4 and want and len(columns) + 2 == len(want[0])
+    for held in (fleet.HELD, 300):  # all side by side, and a tracker taken up where it was left
+        monkeypatch.setattr(fleet, "HELD", held)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        try:
+            got = sorted(map(tuple, T.tracks(rows, 0.3, compat, mode, distance).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose(np.array(got, float), np.array(want, float), rtol=1e-6, equal_nan=True)
+
+
+def test_pairs_that_are_left_out_have_little_in_common():
+    draw = np.random.default_rng(3)
+    a, b = (np.column_stack((draw.normal(0, 1, (4000, 2)), draw.uniform(1, 5, (4000, 2)), draw.uniform(0, 7, 4000))) for _ in "ab")
+    can = least_overlap(a, b, 0.5)
+    assert (iou_of(a[~can], b[~can]) <= 0.5).all() and (iou_of(a[can], b[can]) > 0.5).any() and (~can).sum() > 1000

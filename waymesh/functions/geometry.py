@@ -62,6 +62,13 @@ def _box(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, angle: np.n
     return np.stack((x[:, None] + px * c - py * s, y[:, None] + px * s + py * c), axis=2)
 
 
+def _following(values: np.ndarray, count: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """What comes after each of the first `count` of nine points, the first after the last."""
+    out = np.roll(values, -1, axis=1)
+    out[row, np.maximum(count, 1) - 1] = values[:, 0]
+    return out
+
+
 def overlap_area(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common area of n pairs of boxes, rows of (x, y, width, length, angle): each box of a is cut by the four sides of its partner."""
     n = len(a)
@@ -71,24 +78,26 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     points[:, :4] = _box(np.zeros(n), np.zeros(n), a[:, 2], a[:, 3], a[:, 4])
     clip = _box(b[:, 0] - a[:, 0], b[:, 1] - a[:, 1], b[:, 2], b[:, 3], b[:, 4])
     count = np.full(n, 4)
-    slot = np.arange(9)
+    slot, row = np.arange(9), np.arange(n)
     for k in range(4):
         start, side = clip[:, k], clip[:, (k + 1) % 4] - clip[:, k]
         used = slot < count[:, None]
-        after = np.where(slot + 1 < count[:, None], slot + 1, 0)
         height = side[:, None, 0] * (points[:, :, 1] - start[:, None, 1]) - side[:, None, 1] * (points[:, :, 0] - start[:, None, 0])
-        next_height = np.take_along_axis(height, after, axis=1)
-        next_point = np.take_along_axis(points, after[:, :, None], axis=1)
+        next_height, next_point = _following(height, count, row), _following(points, count, row)
         inside, crosses = used & (height >= 0), used & ((height >= 0) != (next_height >= 0))
-        share = np.divide(height, height - next_height, out=np.zeros_like(height), where=crosses)
-        between = points + share[:, :, None] * (next_point - points)
-        both = np.stack((points, between), axis=2).reshape(n, 18, 2)
-        keep = np.stack((inside, crosses), axis=2).reshape(n, 18)
-        order = np.argsort(~keep, axis=1, kind="stable")[:, :9]
-        points, count = np.take_along_axis(both, order[:, :, None], axis=1), keep.sum(axis=1)
+        r, c = np.nonzero(crosses)
+        share = height[r, c] / (height[r, c] - next_height[r, c])
+        both, keep = np.zeros((n, 9, 2, 2)), np.stack((inside, crosses), axis=2).reshape(n, 18)
+        both[:, :, 0] = points
+        both[r, c, 1] = points[r, c] + share[:, None] * (next_point[r, c] - points[r, c])
+        count = keep.sum(axis=1)
+        r, c = np.nonzero(keep)
+        at = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        r, c, at = r[at < 9], c[at < 9], at[at < 9]
+        points = np.zeros((n, 9, 2))
+        points[r, at] = both.reshape(n, 18, 2)[r, c]
     used = slot < count[:, None]
-    after = np.where(slot + 1 < count[:, None], slot + 1, 0)
-    follow = np.take_along_axis(points, after[:, :, None], axis=1)
+    follow = _following(points, count, row)
     cross = points[:, :, 0] * follow[:, :, 1] - points[:, :, 1] * follow[:, :, 0]
     return np.maximum(np.where(used, cross, 0).sum(axis=1) / 2, 0)
 
@@ -99,6 +108,24 @@ def iou_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
 
 
+def least_overlap(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the overlap of n pairs of boxes can exceed the least: what they have in common is inside the one, and inside the other's bounds along its axes. Boxes that are left out do not reach it."""
+    areas = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3]
+    needed = areas * least / (1 + least) * (1 - 1e-9)
+    turn = b[:, 4] - a[:, 4]
+    c, s = np.abs(np.cos(turn)), np.abs(np.sin(turn))
+    dx, dy = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
+    can = np.ones(len(a), bool)
+    for one, two in ((a, b), (b, a)):
+        u, v = np.cos(one[:, 4]), np.sin(one[:, 4])
+        along, across = np.abs(dx * u + dy * v), np.abs(dy * u - dx * v)
+        w, h = (two[:, 2] * c + two[:, 3] * s) / 2, (two[:, 2] * s + two[:, 3] * c) / 2
+        p, q = one[:, 2] / 2, one[:, 3] / 2
+        p, q = np.minimum(p, along + w) - np.maximum(-p, along - w), np.minimum(q, across + h) - np.maximum(-q, across - h)
+        can &= ~(np.maximum(p, 0) * np.maximum(q, 0) <= needed)
+    return can
+
+
 def iou(*box_columns: Column) -> Column:
     """Intersection over union of two boxes, each as x, y, width, length and angle; zero where the union is."""
 

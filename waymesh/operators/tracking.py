@@ -7,11 +7,12 @@ no history. The same step drives the batch job and the stream."""
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from waymesh import scratch
@@ -26,6 +27,9 @@ TRACKS = "run_id int, tracker_id long, frame int, t double, track_id long, x dou
 MEMBERS = "run_id int, tracker_id long, frame int, track_id long, batch_ord int, det_ord int"
 INPUT = ["run_id", "tracker_id", "frame", "t", "batch_ord", "det_ord", "cx", "cy", "width", "length", "angle", "c00", "c01", "c11", "trust"]
 VALUES = [*INPUT[6:], "batch_ord", "det_ord"]
+PLACES = [INPUT.index(c) for c in VALUES]
+#: Rows of tracks that are handed on at a time.
+OUT = 1 << 15
 SIZE = {0: 4, 1: 6, 2: 5}
 #: Both, with batch_ord and det_ord below zero in rows of tracks; and a member's values of a track's.
 BOTH = f"{TRACKS}, batch_ord int, det_ord int"
@@ -126,6 +130,41 @@ def deviations(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(axes)
 
 
+def one_to_one(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of track i and detection j at distance d, nearest first, each if neither side is taken."""
+    taken, used, pairs = set(), set(), []
+    order = np.lexsort((j, i, d))
+    for track, det in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if track not in taken and det not in used:
+            taken.add(track)
+            used.add(det)
+            pairs.append((track, det))
+    return pairs
+
+
+def claimed(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs as the online tracker finds them: tracks in order, each with its detections by distance, then number."""
+    claims: list[list] = []  # detection, track or None, distance; the first claim of a detection counts
+    first_claim: dict[int, int] = {}
+    order = np.lexsort((j, d, i))
+    settled = -1  # the last track that has its detection
+    for track, det, far in zip(i[order].tolist(), j[order].tolist(), d[order].tolist(), strict=True):
+        claim = first_claim.get(det)
+        if track == settled:
+            if claim is None:
+                first_claim[det] = len(claims)
+                claims.append([det, None, 1.0])
+        elif claim is None:
+            first_claim[det] = len(claims)
+            claims.append([det, track, far])
+            settled = track
+        elif claims[claim][2] > far:
+            claims[claim][1:] = [None, 1.0]
+            claims.append([det, track, far])
+            settled = track
+    return [(track, det) for det, track, _ in claims if track is not None]
+
+
 @dataclass
 class Tracker:
     """compat: as the online tracker does it, where a track stands at the origin until its first fusion, several tracks can claim a detection that was taken over, and a first fusion of several measurements multiplies by the sum of their covariances. Otherwise tracks start at their detection, pairs are one to one, and the first fusion is the information mean."""
@@ -162,13 +201,18 @@ class Tracker:
         return self.gates[1]
 
     def _predicted(self, t: float, n: int) -> np.ndarray:
-        x, p, boxes = self.x[n:], self.p[n:], self.boxes[n:]
+        return self.predicted(t - self.updated[n:], self.x[n:], self.p[n:], self.boxes[n:])
+
+    def predicted(self, dt: np.ndarray, x: np.ndarray, p: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """Boxes of the given tracks some time after their last update, larger by three deviations."""
         if self.mode != 2 or not self.compat:  # the online filter gates turning tracks where they were last
-            dt = t - self.updated[n:]
             later = dt >= 0
-            f = turnings(x, np.where(later, dt, 0)) if self.mode == 2 else transitions(np.where(later, dt, 0), self.mode)
-            moved = turned(x, np.where(later, dt, 0)) if self.mode == 2 else (f @ x[:, :, None])[:, :, 0]
-            grown = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode)
+            if self.mode != 2 and not dt.any():  # nothing has moved, as of tracks just born
+                moved, grown = x, p + process_noise(self.mode)
+            else:
+                f = turnings(x, np.where(later, dt, 0)) if self.mode == 2 else transitions(np.where(later, dt, 0), self.mode)
+                moved = turned(x, np.where(later, dt, 0)) if self.mode == 2 else (f @ x[:, :, None])[:, :, 0]
+                grown = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode)
             x, p = np.where(later[:, None], moved, x), np.where(later[:, None, None], grown, p)
         a, b = deviations(p)
         return np.column_stack((x[:, 0], x[:, 1], boxes[:, 0] + 3 * a, boxes[:, 1] + 3 * b, boxes[:, 2]))
@@ -195,35 +239,8 @@ class Tracker:
 
     def _matches(self, distances: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Pairs of track and detection, and the detections that start no track."""
-        if not self.compat:
-            i, j = np.nonzero(distances < GATE)
-            free, used, pairs = set(range(len(distances))), set(), []
-            for k in np.lexsort((j, i, distances[i, j])).tolist():
-                if i[k] in free and j[k] not in used:
-                    free.discard(i[k])
-                    used.add(j[k])
-                    pairs.append((int(i[k]), int(j[k])))
-            return pairs, used | set(np.unique(j).tolist())
-        claims: list[list] = []  # detection, track or None, distance; the first claim of a detection counts
-        first_claim: dict[int, int] = {}
         i, j = np.nonzero(distances < GATE)
-        order = np.lexsort((j, distances[i, j], i))  # each track's detections by distance, then number
-        settled = -1  # the last track that has its detection
-        for track, det, d in zip(i[order].tolist(), j[order].tolist(), distances[i[order], j[order]].tolist(), strict=True):
-            claim = first_claim.get(det)
-            if track == settled:
-                if claim is None:
-                    first_claim[det] = len(claims)
-                    claims.append([det, None, 1.0])
-            elif claim is None:
-                first_claim[det] = len(claims)
-                claims.append([det, track, d])
-                settled = track
-            elif claims[claim][2] > d:
-                claims[claim][1:] = [None, 1.0]
-                claims.append([det, track, d])
-                settled = track
-        return [(track, det) for det, track, _ in claims if track is not None], set(first_claim)
+        return (claimed if self.compat else one_to_one)(i, j, distances[i, j]), set(np.unique(j).tolist())
 
     def observe(self, t: float, dets: np.ndarray) -> None:
         """A batch: rows of cx, cy, width, length, angle, c00, c01, c11 in order, and as far as they are given trust, batch_ord and det_ord. An empty one only expires tracks."""
@@ -269,6 +286,23 @@ class Tracker:
         total = np.linalg.pinv(sum(inverse))
         return total @ sum(c @ d[:2] for c, d in zip(inverse, group, strict=True)), total
 
+    def updated_by(self, x: np.ndarray, p: np.ndarray, measured: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tracks a step later, updated by the first measurement of those that have one, then by the second, and so on: (places among the tracks, measurements)."""
+        dt = np.full(len(x), STEP)
+        f = turnings(x, dt, self.compat) if self.mode == 2 else transition(STEP, self.mode)[None]
+        p = f @ p @ f.transpose(0, 2, 1) + process_noise(self.mode, self.compat)
+        x = turned(x, dt) if self.mode == 2 and not self.compat else (f @ x[:, :, None])[:, :, 0]
+        for has, z in measured:
+            trust = z[:, 8] if z.shape[1] > 8 else np.ones(len(z))
+            has, z, trust = has[trust < UNTRUSTED], z[trust < UNTRUSTED], trust[trust < UNTRUSTED]
+            if not has.size:
+                continue
+            r = z[:, [5, 6, 6, 7]].reshape(-1, 2, 2) * trust[:, None, None]
+            gain = p[has][:, :, :2] @ inverses(p[has][:, :2, :2] + r)
+            x[has] += (gain @ (z[:, :2] - x[has][:, :2])[:, :, None])[:, :, 0]
+            p[has] -= gain @ p[has][:, :2, :]
+        return x, p
+
     def fuse(self, t: float) -> list[tuple]:
         """One step of every track; rows of the mature ones."""
         fresh, counts = self.steps == 0, np.array([len(w) for w in self.waiting], int)
@@ -277,22 +311,8 @@ class Tracker:
             self.x[i, :2], self.p[i, :2, :2] = self._first(self.waiting[i])
         old = np.flatnonzero(~fresh)
         if old.size:
-            dt = np.full(old.size, STEP)
-            f = turnings(self.x[old], dt, self.compat) if self.mode == 2 else transition(STEP, self.mode)[None]
-            x = turned(self.x[old], dt) if self.mode == 2 and not self.compat else (f @ self.x[old][:, :, None])[:, :, 0]
-            p = f @ self.p[old] @ f.transpose(0, 2, 1) + process_noise(self.mode, self.compat)
-            for k in range(int(counts[old].max(initial=0))):
-                has = np.flatnonzero(counts[old] > k)
-                z = np.array([self.waiting[old[i]][k] for i in has])
-                trust = z[:, 8] if z.shape[1] > 8 else np.ones(len(z))
-                has, z, trust = has[trust < UNTRUSTED], z[trust < UNTRUSTED], trust[trust < UNTRUSTED]
-                if not has.size:
-                    continue
-                r = z[:, [5, 6, 6, 7]].reshape(-1, 2, 2) * trust[:, None, None]
-                gain = p[has][:, :, :2] @ inverses(p[has][:, :2, :2] + r)
-                x[has] += (gain @ (z[:, :2] - x[has][:, :2])[:, :, None])[:, :, 0]
-                p[has] -= gain @ p[has][:, :2, :]
-            self.x[old], self.p[old] = x, p
+            measured = ((has, np.array([self.waiting[old[i]][k] for i in has])) for k in range(int(counts[old].max(initial=0))) for has in (np.flatnonzero(counts[old] > k),))
+            self.x[old], self.p[old] = self.updated_by(self.x[old], self.p[old], measured)
         self.steps += 1
         self.updated[:] = t
         self.gates = None
@@ -350,35 +370,47 @@ def with_calendar(detections: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def _stepped(detections: DataFrame, schema: str, members: bool, cleanup: float, compat: bool, mode: int, distance: str) -> DataFrame:
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tracker, held = None, None, None
-
-        def due(rows: pd.DataFrame) -> pd.DataFrame:
-            nonlocal key, tracker
-            run, number = rows["run_id"].to_numpy(), rows["tracker_id"].to_numpy()
-            edges = [*np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (number[1:] != number[:-1])))).tolist(), len(rows)]
-            out: list[tuple] = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if key != (run[a], number[a]):
-                    key, tracker = (run[a], number[a]), Tracker(int(number[a]), cleanup, compat, mode, distance)
-                out += [(*key, *r) for r in tracker.run(rows.iloc[a:b], members)]
-            return table_of(schema, out)
-
-        for rows in batches:
-            if held is not None and len(held):
-                rows = pd.concat((held, rows), ignore_index=True) if len(rows) else held
-            if not len(rows):
+    from waymesh.operators import fleet  # which is made of this module's steps
+
+    kinds, most = [c.split()[1] for c in schema.split(", ")], fleet.HELD
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trackers, held = fleet.Fleet(cleanup, compat, mode, distance), np.zeros((0, len(INPUT)))
+        waiting, count = [], 0
+
+        def due(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            parts, n = [], 0
+            for part in trackers.run(rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64), rows[:, 3], rows[:, PLACES], members):
+                parts.append(part)
+                n += len(part[0])
+                if n >= OUT:
+                    yield table(parts)
+                    parts, n = [], 0
+            if parts:
+                yield table(parts)
+
+        def table(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            columns = (np.concatenate(c).astype(_KINDS[k]) for c, k in zip(zip(*parts, strict=True), kinds, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for batch in batches:
+            waiting.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+            count += batch.num_rows
+            if count < most:
                 continue
-            here = rows[["run_id", "tracker_id", "frame"]].to_numpy()
-            last = int(np.flatnonzero((here != here[-1]).any(axis=1))[-1]) + 1 if (here != here[-1]).any() else 0
-            held = rows.iloc[last:]  # the last frame may go on in the next batch
+            held = np.concatenate((held, *waiting))
+            differs = np.flatnonzero((held[:, :3] != held[-1, :3]).any(axis=1))
+            last = int(differs[-1]) + 1 if differs.size else 0  # the last frame may go on in the next batch
             if last:
-                yield due(rows.iloc[:last])
-        if held is not None and len(held):
-            yield due(held)
+                yield from due(held[:last])
+            held, waiting, count = held[last:], [], 0
+        held = np.concatenate((held, *waiting))
+        if len(held):
+            yield from due(held)
 
     dealt = detections.select(*INPUT).repartition("run_id", "tracker_id")
-    return dealt.sortWithinPartitions("run_id", "tracker_id", *ORDER).mapInPandas(step, schema)
+    return dealt.sortWithinPartitions("run_id", "tracker_id", *ORDER).mapInArrow(step, schema)
 
 
 def tracks(detections: DataFrame, cleanup: float = 0.3, compat: bool = True, mode: int = 1, distance: str = "iou") -> DataFrame:
