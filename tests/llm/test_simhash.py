@@ -3,7 +3,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from waymesh.llm import simhash as S
 
@@ -174,3 +176,51 @@ def test_majority_of_many_hashes():
 
 def test_similar_groups_of_an_empty_table(spark):
     assert S.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_candidates_that_a_walk_leaves_out_are_compared(spark, monkeypatch):
+    """One candidate in four is taken for alike, whatever its texts: what candidates of all lists link is linked, though walks reach members by others."""
+    like = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
+    monkeypatch.setattr(S, "_alike", lambda links, rows, texts: links.select("a", "b").where(like))
+    rng, w = np.random.default_rng(8), [f"w{k}" for k in np.random.default_rng(9).integers(0, 5000, 60)]
+    texts = []
+    for _ in range(60):
+        v = list(w)
+        for at in rng.integers(0, 60, 2):
+            v[int(at)] = f"x{int(rng.integers(10**6))}"
+        texts.append(" ".join(v))
+    prints = np.array([S.majority(S.shingle_hashes(t.encode(), S.WIDE_WORDS), S.WIDE_LONGS) for t in texts])
+    name = [xxhash.xxh64(p.tobytes(), seed=42).intdigest() for p in prints]
+    name = [n - (n >> 63 << 64) for n in name]
+    byte, place = prints.view(np.uint8).reshape(len(texts), -1)[:, S.WIDE_TRIPLES], {n: i for i, n in enumerate(name)}
+    pairs = []
+    for a, b in combinations(range(len(texts)), 2):
+        bits = int(np.bitwise_count(prints[a] ^ prints[b]).sum())
+        if bits <= S.WIDE_BITS and (byte[a] == byte[b]).all(axis=1).any():
+            pairs.append((min(name[a], name[b]), max(name[a], name[b]), bits <= S.SURE_BITS))
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in spark.createDataFrame(pairs, "a long, b long, sure boolean").where(F.col("sure") | like).collect():
+        parent[find(place[r.a])] = find(place[r.b])
+    of = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(of.values())) < len(texts) - 10
+    assert all((of[a] == of[b]) == (find(a) == find(b)) for a, b in combinations(of, 2))
+
+
+def test_a_list_gives_all_pairs_of_what_is_apart():
+    """Three members of a list that are near each other: a walk from the first leaves out the pair of the others, which may be the one that is alike."""
+    prints = np.zeros((3, S.WIDE_LONGS), np.uint64)
+    prints[1, :3], prints[2, 3:6] = 0x7FFF_FFFF_FFFF_FFF, 0x7FFF_FFFF_FFFF_FFF  # 177 bits each would be too far from each other
+    prints[1, 1:3], prints[2, 4:6] = 0x1FFF, 0x1FFF
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 5, 5]), pa.array([10, 11, 12]), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([10, 11, 12])], ["list", "fp", "bytes", "root"])
+    assert 104 < int(np.bitwise_count(prints[1] ^ prints[2]).sum()) <= S.WIDE_BITS
+    found = lambda f, r: {p for b in f([r]) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert (11, 12) not in found(S._wide_links, rows.select(["list", "fp", "bytes"]))
+    assert found(S._wide_apart, rows) == {(10, 11), (10, 12), (11, 12)}
+    together = rows.set_column(3, "root", pa.array([10, 11, 11]))
+    assert found(S._wide_apart, together) == {(10, 11), (10, 12)}

@@ -32,6 +32,8 @@ WIDE_WORDS, WIDE_LONGS, WIDE_LISTS, SIMILAR = 5, 16, 192, 0.8
 #: their sets of shingles. Long lists are walked by sure links, and then at each of WALKS for what these leave apart.
 SURE_BITS, WIDE_BITS = 104, 190
 WALKS = (160, WIDE_BITS)
+#: Pairs that are handed on at a time.
+APART = 1 << 16
 #: Shingles whose bits are unpacked at a time; a byte counts to 255, so their bits are summed in eight bytes at once.
 CHUNK, LANES = 4080, 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -278,6 +280,41 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lists.size)
 
 
+def _wide_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a list that differ in WIDE_BITS or fewer and have different roots; rows (list, name, bytes, root) come sorted by list, and of the list that a batch ends in all that came is kept."""
+    lists, names, roots, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_LONGS), np.uint64)
+
+    def out(upto: int) -> Iterator[pa.RecordBatch]:
+        bound = np.flatnonzero(np.concatenate(([True], lists[1:upto] != lists[: upto - 1], [True])))
+        left, right, count = [lists[:0]], [lists[:0]], 0
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            for x in range(a, b - 1 if (roots[a:b] != roots[a]).any() else a):
+                other = x + 1 + np.flatnonzero(roots[x + 1 : b] != roots[x])
+                near = other[_wide_near(prints[other], prints[x])]
+                left.append(np.full(near.size, names[x]))
+                right.append(names[near])
+                count += near.size
+                if count >= APART:
+                    yield pairs(left, right)
+                    left, right, count = [lists[:0]], [lists[:0]], 0
+        yield pairs(left, right)
+
+    def pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, names, roots = (np.concatenate((have, batch.column(c).to_numpy())) for have, c in ((lists, 0), (names, 1), (roots, 3)))
+        prints = np.concatenate((prints, byte_view(batch.column(2))[0].view(np.uint64).reshape(-1, WIDE_LONGS)))
+        if cut := int(np.searchsorted(lists, lists[-1])):
+            yield from out(cut)
+            lists, names, roots, prints = lists[cut:], names[cut:], roots[cut:], prints[cut:]
+    if lists.size:
+        yield from out(lists.size)
+
+
 def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """Rows with the root of their fingerprint's group, and component_id, the group's smallest id."""
     root = components(written(links, "links")).withColumnRenamed("node", "fp")
@@ -325,10 +362,15 @@ def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_list = Window.partitionBy("list").orderBy("fp")
     met = posted.select("list", "fp", (F.lag("fp").over(by_list).isNotNull() | F.lead("fp").over(by_list).isNotNull()).alias("met")).where("met").drop("met")
     met = written(met, "postings").join(distinct.select("fp", "bytes"), "fp").select("list", "fp", "bytes")
+    texts = df.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     # In order of name, so that the walks of most lists begin at the same members and give the same links.
     links = met.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_wide_links, "a long, b long, sure boolean").distinct()
     links = written(links, "candidates")
-    links = links.where("sure").drop("sure").unionByName(_alike(links.where("NOT sure"), rows, df.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))))
+    found = written(links.where("sure").drop("sure").unionByName(_alike(links.where("NOT sure"), rows, texts)), "found")
+    # A walk has one way to each member, and texts may be unlike along it and alike along another: all pairs of what is still apart are compared.
+    rooted = met.join(written(components(found), "roots").select(F.col("node").alias("fp"), "root"), "fp", "left").select("list", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
+    apart = rooted.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_wide_apart, "a long, b long").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+    links = found.unionByName(_alike(written(apart, "apart"), rows, texts))
     return _named(rows.drop("bytes"), distinct.drop("bytes"), links)
 
 
@@ -346,7 +388,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Fingerprints have 1024 bits; candidates differ in WIDE_BITS or fewer and meet in one of WIDE_LISTS lists of
     three positional bytes, as nearly all such pairs do (no minimum is guaranteed where so many bits may
-    differ). They link if their sets of shingles are that similar, which the bits alone say where they are SURE_BITS or fewer. Texts of fewer than five words link if they have the same words;
+    differ). All candidates between what other links leave apart are compared. They link if their sets of shingles are that similar, which the bits alone say where they are SURE_BITS or fewer. Texts of fewer than five words link if they have the same words;
     null and empty texts link with each other. Null ids, repeated rows, empty tables: as near_duplicate_groups."""
     return _similar(df, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
 
