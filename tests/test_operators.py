@@ -211,3 +211,14 @@ def test_faults_of_poses_and_sensors_by_run(spark):
     assert 10 < len(multi) < 30 and all(v[0] == v[1] and abs(v[0][0]) <= 1 for v in multi)
     placed = {(r.run_id, r.frame, r.platform_id, r.sensor_idx): r.yaw for r in sensing.sensor_poses(poses, sensors).collect()}
     assert len(placed) == 5 * 40 * 3 * 2
+
+
+def test_range_joins_are_dealt_whatever_the_files(spark):
+    """A few rows in one file, with the objects broadcast: pairs are still made by many tasks."""
+    rows = spark.range(400).coalesce(1).selectExpr("0 as run_id", "cast(id as int) as frame", "0.0D as x", "0.0D as y", "1.0D as cx", "1.0D as cy")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = sensing.within_range(rows.select("run_id", "frame", "x", "y"), F.broadcast(rows.select("run_id", "frame", "cx", "cy")), 5.0)
+        assert pairs.count() == 400 and pairs.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -37,6 +37,8 @@ def within_range(sensors: DataFrame, objects: DataFrame, reach: float | str, key
     at = lambda c: F.floor(c / side).cast("int")
     touched = lambda c: F.explode(F.sequence(at(F.col(c) - bound - 1e-6), at(F.col(c) + bound + 1e-6)))
     near = sensors.withColumn("_cell_x", touched("x")).withColumn("_cell_y", touched("y"))
+    # A few bytes of input make many pairs, so rows are dealt as the join wants them even where the objects are broadcast, not as files were cut.
+    near = near.repartition(*keys, "_cell_x", "_cell_y")
     placed = objects.withColumns({"_cell_x": at(F.col("cx")), "_cell_y": at(F.col("cy"))})
     pairs = near.join(placed, [*keys, "_cell_x", "_cell_y"]).drop("_cell_x", "_cell_y")
     dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")

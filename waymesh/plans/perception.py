@@ -366,11 +366,11 @@ _SIDES = f"SELECT * REPLACE (sqrt({V.axis('+')}) AS ea, sqrt({V.axis('-')}) AS e
 @query(sql("SELECT platform_id, sensor_idx, count(*) AS n, round(avg(greatest(-1000, least(1000, score))), 3) + 0.0 AS score FROM offs GROUP BY ALL", sides=_SIDES, offs=_OFF))
 def sensor_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residuals of measurements to their objects, over what their covariance lets expect beyond a fused track's."""
-    rows = V.measured(spark, sf_dir)
+    true = V.thinned(spark, sf_dir).withColumns({"tx": F.col("cx"), "ty": F.col("cy")})  # where the object is; detections are moved
+    rows = _measured(spark, sf_dir, augment.perturbed(true, V.SEED, *V.KEYS))
     a, b, phi = G.ellipse(F.col("c00"), F.col("c01"), F.col("c11"), 1.0)
     ex, ey = G.radius_at(a, b, phi, F.lit(0.0)), G.radius_at(a, b, phi, F.pi() / 2)
-    objects = V.state(spark, sf_dir).select(*FRAME, "object_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"))
-    rows = rows.withColumn("expected", F.sqrt(ex * ex + ey * ey) - FUSED_RADIUS * F.sqrt(F.lit(2.0))).join(objects, [*FRAME, "object_id"])
+    rows = rows.withColumn("expected", F.sqrt(ex * ex + ey * ey) - FUSED_RADIUS * F.sqrt(F.lit(2.0)))
     off = F.sqrt(F.pow(F.col("cx") - F.col("tx"), 2) + F.pow(F.col("cy") - F.col("ty"), 2))
     score = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.try_divide(off, F.col("expected"))))
     found = rows.groupBy("platform_id", "sensor_idx").agg(F.count("*").alias("n"), F.avg(score).alias("score"))
