@@ -348,3 +348,8 @@ def test_pairs_that_are_left_out_have_little_in_common():
     a, b = (np.column_stack((draw.normal(0, 1, (4000, 2)), draw.uniform(1, 5, (4000, 2)), draw.uniform(0, 7, 4000))) for _ in "ab")
     can = least_overlap(a, b, 0.5)
     assert (iou_of(a[~can], b[~can]) <= 0.5).all() and (iou_of(a[can], b[can]) > 0.5).any() and (~can).sum() > 1000
+
+
+def test_twins_run_their_trackers_once(detections):
+    sides = T.twins(T.tracks(detections, 0.5))
+    assert "MapInArrow" not in sides._jdf.queryExecution().optimizedPlan().toString()

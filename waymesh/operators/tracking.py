@@ -453,6 +453,7 @@ def consistency(found: DataFrame, joined: DataFrame, detections: DataFrame) -> D
 def twins(found: DataFrame) -> DataFrame:
     """Pairs of tracks of one tracker and frame (a_id below b_id) whose boxes nearly coincide, and the loser: that of scoring.duplicate_loser."""
     keys = ["run_id", "tracker_id", "frame"]
+    found = scratch.written(found, "tracks")  # the sides of the join and their levels are read from it, so that trackers run once
     names = {"x": "x", "y": "y", "w": "width", "l": "length", "angle": "angle", "id": "track_id", "last": "last_seen", "steps": "steps"}
     a, b = (found.select(*keys, *(F.col(c).alias(f"{side}_{k}") for k, c in names.items())) for side in "ab")
     pairs = scoring.with_iou(scoring.candidates(a, b, keys).where("a_id < b_id"))

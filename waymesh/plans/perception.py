@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from waymesh import scratch
 from waymesh.functions import geometry as G, kinematics as K
 from waymesh.operators import augment, report, safety, scoring, sensing, tracking, truth
 from waymesh.sources import catalogs
@@ -135,7 +136,9 @@ VIEWED = {
 
 
 def _truth_of(sightings: DataFrame, keys: list[str]) -> DataFrame:
-    return sightings.withColumns({"cx": F.col("true_x"), "cy": F.col("true_y")}).select(*keys, *_COLUMNS).dropDuplicates([*keys, "object_id"])
+    """What is there to see; counts and scores take it apart in many ways, so it is written."""
+    rows = sightings.withColumns({"cx": F.col("true_x"), "cy": F.col("true_y")}).select(*keys, *_COLUMNS)
+    return scratch.written(rows.dropDuplicates([*keys, "object_id"]), "truth")
 
 
 def _seen_by_each(sightings: DataFrame) -> DataFrame:
@@ -145,7 +148,8 @@ def _seen_by_each(sightings: DataFrame) -> DataFrame:
 def _seen_by_all(sightings: DataFrame) -> DataFrame:
     """The detections of all platforms, those of one object made one by their covariances."""
     rows = tracking.pooled(sightings.where("seen"), [*FRAME, "slot", "object_id", "vx", "vy", "width", "length"], information=True)
-    return rows.withColumn("det_ord", F.col("slot")).withColumnsRenamed({"x": "cx", "y": "cy"}).select(*FRAME, "det_ord", *_COLUMNS)
+    rows = rows.withColumn("det_ord", F.col("slot")).withColumnsRenamed({"x": "cx", "y": "cy"})
+    return scratch.written(rows.select(*FRAME, "det_ord", *_COLUMNS), "pooled")
 
 
 def _scores_sql(seen: str, truth: str, keys: str) -> dict[str, str]:
