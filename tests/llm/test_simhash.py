@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -224,3 +225,77 @@ def test_a_list_gives_all_pairs_of_what_is_apart():
     assert found(S._wide_apart, rows) == {(10, 11), (10, 12), (11, 12)}
     together = rows.set_column(3, "root", pa.array([10, 11, 11]))
     assert found(S._wide_apart, together) == {(10, 11), (10, 12)}
+
+
+def joined(sets, pairs):
+    """The root of each text where these pairs are linked."""
+    parent = {k: k for k in sets}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in pairs:
+        parent[find(max(find(a), find(b)))] = min(find(a), find(b))
+    return {k: find(k) for k in parent}
+
+
+def near_copies(n, seed):
+    """Copies of one text with other words at places of their own: most pairs of them are candidates, few are alike."""
+    rng = np.random.default_rng(seed)
+    base, texts = [f"w{k}" for k in rng.integers(0, 5000, 220)], {}
+    for i in range(n):
+        v, at = list(base), int(rng.integers(215))
+        for k in {at, int(rng.integers(215)), *rng.integers(0, 215, int(rng.integers(0, 4))).tolist()}:
+            v[k] = f"x{int(rng.integers(10**6))}"
+        texts[i] = " ".join(v)
+    return texts
+
+
+def candidates(texts):
+    """All pairs that meet in a list and differ in WIDE_BITS at most."""
+    prints = np.array([S.majority(S.shingle_set(t.encode()), S.WIDE_LONGS) for t in texts.values()])
+    byte, ids = prints.view(np.uint8).reshape(len(prints), -1)[:, S.WIDE_TRIPLES], list(texts)
+    for i in range(len(ids) - 1):
+        near = (np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1) <= S.WIDE_BITS) & (byte[i + 1 :] == byte[i]).all(axis=2).any(axis=1)
+        yield from ((ids[i], ids[i + 1 + j]) for j in np.flatnonzero(near).tolist())
+
+
+def test_rows_of_candidates_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """The groups are those of all candidates that are alike; twice the near copies make at most some twice the rows that are joined to texts, and a few for each text."""
+    rows, real = [], S._alike
+    monkeypatch.setattr(S, "_alike", lambda links, *rest: rows.append(links.count()) or real(links, *rest))
+    monkeypatch.setattr(S, "NEAREST", (2, 6))
+    made, compared = {}, 0
+    for n in (120, 240):
+        texts = near_copies(n, 3)
+        sets, pairs = {k: shingles(t) for k, t in texts.items()}, list(candidates(texts))
+        want = joined(sets, [(a, b) for a, b in pairs if likeness(sets[a], sets[b]) >= 0.8])
+        rows.clear()
+        found = S.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in found} == want
+        made[n], compared = sum(rows), compared + sum(want[a] != want[b] for a, b in pairs)
+        assert made[n] <= 9 * n < len(pairs)
+    assert made[240] <= 2.5 * made[120] and compared > 9 * 360
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 23, 9000])
+def test_what_rounds_leave_is_compared_in_blocks(spark, monkeypatch, block_bytes):
+    """Without alike pairs in any round, blocks of lists alone find all groups, whether a list is one block or some."""
+    monkeypatch.setattr(S, "_alike", lambda links, rows, texts: links.select("a", "b").limit(0))
+    monkeypatch.setattr(S, "NEAREST", (1,))
+    monkeypatch.setattr(S, "SURE_BITS", -1)
+    monkeypatch.setattr(S, "BLOCK_BYTES", block_bytes)
+    texts = near_copies(40, 4)
+    sets, pairs = {k: shingles(t) for k, t in texts.items()}, list(candidates(texts))
+    want = joined(sets, [(a, b) for a, b in pairs if likeness(sets[a], sets[b]) >= 0.8])
+    found = S.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and 1 < len(set(want.values())) < 40
+
+
+def test_a_shingle_that_stands_often_counts_once(spark):
+    """A line that is repeated a hundred times outweighs what differs in counts of shingles, not in their sets."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "same line again and again " * 100 + " ".join(f"w{k}" for k in rng.integers(0, 10**6, 60))) for i in range(4)]
+    assert {r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1, 2, 3}

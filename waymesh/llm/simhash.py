@@ -15,7 +15,8 @@ member, linking each fingerprint once to one already reached, which gives the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import partial
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ SURE_BITS, WIDE_BITS = 104, 190
 WALKS = (160, WIDE_BITS)
 #: Pairs that are handed on at a time.
 APART = 1 << 16
+#: Candidates that a fingerprint has compared in one round after the other, the nearest of what is still apart; where there are more than the
+#: last round takes, tasks compare sets of shingles inside blocks of a list, each of so many bytes.
+NEAREST = (60,)
+BLOCK_BYTES = 1 << 23
 #: Shingles whose bits are unpacked at a time; a byte counts to 255, so their bits are summed in eight bytes at once.
 CHUNK, LANES = 4080, 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -190,12 +195,33 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The hashes of the text's shingles of WIDE_WORDS words, each once, in order."""
+    return np.unique(shingle_hashes(text, WIDE_WORDS))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a similarity of SIMILAR or more."""
+    if min(a.size, b.size) < SIMILAR * max(a.size, b.size):
+        return False
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both >= SIMILAR * (a.size + b.size - both)
+
+
 @F.arrow_udf(T.BinaryType())
 def wide_simhash(text: pa.Array) -> pa.Array:
-    """The wide fingerprint, 128 bytes; null counts as empty."""
+    """The wide fingerprint, 128 bytes, of the set of shingles: one that stands often counts once, as in the similarity; null counts as empty."""
+    data, starts = byte_view(text)
+    whole = data.tobytes()
+    return pa.array([majority(shingle_set(whole[a:b]), WIDE_LONGS).tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def shingle_sets(text: pa.Array) -> pa.Array:
+    """The set of shingles, eight bytes each in order; null counts as empty."""
     data, starts = byte_view(text)
     whole = data.tobytes()
-    return pa.array([majority(shingle_hashes(whole[a:b], WIDE_WORDS), WIDE_LONGS).tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+    return pa.array([shingle_set(whole[a:b]).tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
 
 
 def _spread_triples(positions: int, count: int) -> np.ndarray:
@@ -246,7 +272,7 @@ def _wide_walked(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside whole lists, and whether they are sure; rows (list, name, bytes) come sorted by list, and the list that a batch ends in waits for the next."""
+    """Links inside whole lists, whether they are sure, and their bits; rows (list, name, bytes) come sorted by list, and the list that a batch ends in waits for the next."""
     lists, names, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_LONGS), np.uint64)
 
     def out(upto: int) -> pa.RecordBatch:
@@ -264,8 +290,8 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(bound[i] + x[apart])
                 b.append(bound[i] + y[apart])
         a, b = np.concatenate(a), np.concatenate(b)
-        sure = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= SURE_BITS
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b])), pa.array(sure)], ["a", "b", "sure"])
+        bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b])), pa.array(bits <= SURE_BITS), pa.array(bits)], ["a", "b", "sure", "bits"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -280,28 +306,42 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lists.size)
 
 
-def _wide_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list that differ in WIDE_BITS or fewer and have different roots; rows (list, name, bytes, root) come sorted by list, and of the list that a batch ends in all that came is kept."""
+def _first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a table of fingerprints, the first triple of positions at which it has the bytes of a fingerprint that it meets."""
+    return (a.view(np.uint8).reshape(-1, 8 * WIDE_LONGS) == b.view(np.uint8))[:, WIDE_TRIPLES].all(axis=2).argmax(axis=1)
+
+
+def _wide_apart(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """All pairs of a list that differ in WIDE_BITS or fewer and have different roots, and their bits; rows (list, name, bytes, root) come sorted by list and name, and of the list that a batch ends in all that came is kept.
+
+    With most, a pair comes from the first list in which it meets only, and a name gives so many pairs with names before it, the nearest."""
     lists, names, roots, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_LONGS), np.uint64)
 
     def out(upto: int) -> Iterator[pa.RecordBatch]:
         bound = np.flatnonzero(np.concatenate(([True], lists[1:upto] != lists[: upto - 1], [True])))
-        left, right, count = [lists[:0]], [lists[:0]], 0
+        left, right, far, count = [lists[:0]], [lists[:0]], [lists[:0]], 0
         for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-            for x in range(a, b - 1 if (roots[a:b] != roots[a]).any() else a):
-                other = x + 1 + np.flatnonzero(roots[x + 1 : b] != roots[x])
-                near = other[_wide_near(prints[other], prints[x])]
-                left.append(np.full(near.size, names[x]))
-                right.append(names[near])
+            for x in range(a + 1, b if (roots[a:b] != roots[a]).any() else a):
+                near = a + np.flatnonzero(roots[a:x] != roots[x])
+                near = near[_wide_near(prints[near], prints[x])]
+                if most is not None and near.size:
+                    near = near[_first_list(prints[near], prints[x]) == lists[x] >> 24]
+                bits = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
+                if most is not None and near.size > most:
+                    nearest = np.lexsort((names[near], bits))[:most]
+                    near, bits = near[nearest], bits[nearest]
+                left.append(names[near])
+                right.append(np.full(near.size, names[x]))
+                far.append(bits)
                 count += near.size
                 if count >= APART:
-                    yield pairs(left, right)
-                    left, right, count = [lists[:0]], [lists[:0]], 0
-        yield pairs(left, right)
+                    yield pairs(left, right, far)
+                    left, right, far, count = [lists[:0]], [lists[:0]], [lists[:0]], 0
+        yield pairs(left, right, far)
 
-    def pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    def pairs(left: list[np.ndarray], right: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
         a, b = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(far))], ["a", "b", "bits"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -315,6 +355,50 @@ def _wide_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(lists.size)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of the rows of one key after the other; the key is the first column, rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+
+    def columns() -> list[pa.Array]:
+        return [pa.concat_arrays([part.column(c) for part in held]) for c in range(held[0].num_columns)]
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        for a, b in pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), key.size]):
+            if held and key[a] != last:
+                yield columns()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield columns()
+
+
+def _wide_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between what is apart in two blocks of a list, or in one: each full name is compared with those before it by their sets of shingles, until they are together.
+
+    Rows (list << 30 | block << 15 | block, name, bytes, root, full, block, shingles) come sorted by the first two."""
+    for key, *columns in _whole(batches):
+        key, (names, root, full, block) = key[0].as_py(), (columns[c].to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+        prints, (data, starts) = byte_view(columns[1])[0].view(np.uint64).reshape(-1, WIDE_LONGS), byte_view(columns[5])
+        shingles, starts, root = data.view(np.uint64), (starts // 8).tolist(), root.copy()
+        one, left, right = (key >> 15 & 0x7FFF) == (key & 0x7FFF), [], []
+        for x in np.flatnonzero(full).tolist():
+            near = np.flatnonzero((root[:x] != root[x]) & (one | (block[:x] != block[x])))
+            near = near[_wide_near(prints[near], prints[x])]
+            near = near[_first_list(prints[near], prints[x]) == key >> 54]
+            mine = shingles[starts[x] : starts[x + 1]]
+            for y in near[np.argsort(np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64))].tolist():
+                if root[y] != root[x] and alike(mine, shingles[starts[y] : starts[y + 1]]):
+                    left.append(names[y])
+                    right.append(names[x])
+                    root[root == root[y]] = root[x]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """Rows with the root of their fingerprint's group, and component_id, the group's smallest id."""
     root = components(written(links, "links")).withColumnRenamed("node", "fp")
@@ -337,41 +421,89 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [byte_view(batch.column(c)) for c in ("a_text", "b_text")]
         keep = np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
-            a, b = (np.unique(shingle_hashes(data[starts[i] : starts[i + 1]].tobytes(), WIDE_WORDS)) for data, starts in columns)
-            both = np.intersect1d(a, b, assume_unique=True).size
-            keep[i] = both >= SIMILAR * (a.size + b.size - both)
+            keep[i] = alike(*(shingle_set(data[starts[i] : starts[i + 1]].tobytes()) for data, starts in columns))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+def _texts(ends: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fp, text): a text of each fingerprint, looked up by its hash."""
+    hashes = rows.join(ends, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    return texts.join(hashes, "text_hash").groupBy("fp").agg(F.min("text").alias("text"))
+
+
 def _alike(links: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) between fingerprints of texts of SIMILAR or more; a text of each end is looked up by its hash."""
+    """The links (a, b) between fingerprints of texts of SIMILAR or more."""
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    hashes = rows.join(ends, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
-    texts = texts.join(hashes, "text_hash").groupBy("fp").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = written(_texts(ends, rows, texts), "texts")
     a, b = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
     return links.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_jaccard, "a long, b long")
 
 
+def _apart(met: DataFrame, found: DataFrame, full: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(list, fp, root, full) of the lists that hold members of more than one root and a full one, and what was found as links to roots; without a table of full ones all are."""
+    root = written(components(found), "roots").select(F.col("node").alias("fp"), "root")
+    rooted = met.select("list", "fp").join(root, "fp", "left").select("list", "fp", F.coalesce("root", "fp").alias("root"))
+    if full is None:
+        rooted = rooted.withColumn("full", F.lit(True))
+    else:
+        rooted = rooted.join(full.withColumn("full", F.lit(True)), "fp", "left").withColumn("full", F.coalesce("full", F.lit(False))).select("list", "fp", "root", "full")
+    one = Window.partitionBy("list")
+    rooted = rooted.withColumn("apart", (F.min("root").over(one) != F.max("root").over(one)) & F.max("full").over(one)).where("apart").drop("apart")
+    return written(rooted, "apart"), root.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+
+
+def _compared(apart: DataFrame, prints: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of the full fingerprints with others of their lists, compared in tasks of two blocks of a list each."""
+    one = Window.partitionBy("list")
+    sets = _texts(apart.select("fp").distinct(), rows, texts).select("fp", shingle_sets("text").alias("shingles"))
+    sets = written(sets.join(prints, "fp"), "sets")
+    upto = F.sum(F.length("shingles") + 8 * WIDE_LONGS).over(one.orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lists = apart.join(sets, "fp").withColumn("block", F.floor((upto - 1) / BLOCK_BYTES).cast("int")).withColumn("blocks", F.max("block").over(one) + 1)
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = (f("block", "other").cast("long") for f in (F.least, F.greatest))
+    tasks = lists.select((F.shiftleft("list", 30) + F.shiftleft(low, 15) + high).alias("task"), "fp", "bytes", "root", "full", "block", "shingles")
+    return tasks.repartition("task").sortWithinPartitions("task", "fp").mapInArrow(_wide_compared, "a long, b long").distinct()
+
+
 def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The same columns by wide fingerprints; fp is a fingerprint's 64-bit hash."""
     rows = written(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), wide_simhash(F.col(text_col)).alias("bytes")).withColumn("fp", F.xxhash64("bytes")), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("bytes").alias("bytes")), "fingerprints")
-    posted = distinct.select("fp", "bytes").mapInArrow(_wide_postings, "list long, fp long")
+    prints = distinct.select("fp", "bytes")
+    posted = prints.mapInArrow(_wide_postings, "list long, fp long")
     # Most lists have one member; the others' members get their fingerprints, which are verified there.
     by_list = Window.partitionBy("list").orderBy("fp")
     met = posted.select("list", "fp", (F.lag("fp").over(by_list).isNotNull() | F.lead("fp").over(by_list).isNotNull()).alias("met")).where("met").drop("met")
-    met = written(met, "postings").join(distinct.select("fp", "bytes"), "fp").select("list", "fp", "bytes")
+    met = written(met, "postings")
     texts = df.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    # In order of name, so that the walks of most lists begin at the same members and give the same links.
-    links = met.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_wide_links, "a long, b long, sure boolean").distinct()
-    links = written(links, "candidates")
-    found = written(links.where("sure").drop("sure").unionByName(_alike(links.where("NOT sure"), rows, texts)), "found")
-    # A walk has one way to each member, and texts may be unlike along it and alike along another: all pairs of what is still apart are compared.
-    rooted = met.join(written(components(found), "roots").select(F.col("node").alias("fp"), "root"), "fp", "left").select("list", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
-    apart = rooted.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_wide_apart, "a long, b long").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    links = found.unionByName(_alike(written(apart, "apart"), rows, texts))
-    return _named(rows.drop("bytes"), distinct.drop("bytes"), links)
+
+    def by_lists(members: DataFrame, *more: str) -> DataFrame:
+        # In order of name, so that the walks of most lists begin at the same members and give the same links.
+        return members.join(prints, "fp").select("list", "fp", "bytes", *more).repartition("list").sortWithinPartitions("list", "fp")
+
+    walked = written(by_lists(met).mapInArrow(_wide_links, "a long, b long, sure boolean, bits long"), "walked")
+    # Whatever has a candidate in a list has a link of its walks there; most members only share bytes with others.
+    linked = walked.select(F.col("a").alias("fp")).union(walked.select("b")).distinct()
+    # Of links that are not sure, a fingerprint's shortest: most are alike, and what that leaves apart is compared after.
+    links = walked.groupBy("b", "sure", F.when(F.col("sure"), F.col("a")).alias("to")).agg(F.min(F.struct("bits", "a")).alias("least")).select("least.a", "b", "sure")
+    tested = written(links, "candidates")
+    found = written(tested.where("sure").drop("sure").unionByName(_alike(tested.where("NOT sure").drop("sure"), rows, texts)), "found")
+    # A walk has one way to each member, and texts may be unlike along it and alike along another: all pairs of what is still apart are compared,
+    # the nearest first, so that few are left where most texts are alike. Fingerprints that have no more of them are done.
+    apart, tested, full = met.join(linked, "fp", "left_semi"), tested.drop("sure"), None
+    for most in NEAREST:
+        (apart, found), nearest = _apart(apart, found, full), Window.partitionBy("b").orderBy("bits", "a")
+        pairs = by_lists(apart, "root").mapInArrow(partial(_wide_apart, most=most), "a long, b long, bits long")
+        pairs = written(pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most).drop("place", "bits"), "pairs")
+        found = written(found.unionByName(_alike(written(pairs.join(tested, ["a", "b"], "left_anti"), "untested"), rows, texts)), "found")
+        full = written(pairs.groupBy(F.col("b").alias("fp")).agg(F.count("*").alias("n")).where(F.col("n") >= most).select("fp"), "full")
+        if full.isEmpty():
+            break
+        tested = tested.unionByName(pairs)
+    else:
+        apart, found = _apart(apart, found, full)
+        found = found.unionByName(_compared(apart, prints, rows, texts))
+    return _named(rows.drop("bytes"), distinct.drop("bytes"), found)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,7 +520,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Fingerprints have 1024 bits; candidates differ in WIDE_BITS or fewer and meet in one of WIDE_LISTS lists of
     three positional bytes, as nearly all such pairs do (no minimum is guaranteed where so many bits may
-    differ). All candidates between what other links leave apart are compared. They link if their sets of shingles are that similar, which the bits alone say where they are SURE_BITS or fewer. Texts of fewer than five words link if they have the same words;
+    differ). All candidates between what other links leave apart are compared, the nearest first; a fingerprint that has more than the last of NEAREST
+    is compared inside its lists, where no row a pair is made. They link if their sets of shingles are that similar, which the bits alone say where they are SURE_BITS or fewer. Texts of fewer than five words link if they have the same words;
     null and empty texts link with each other. Null ids, repeated rows, empty tables: as near_duplicate_groups."""
     return _similar(df, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
 
