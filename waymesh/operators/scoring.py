@@ -8,6 +8,8 @@ from waymesh import scratch
 from waymesh.functions import geometry as G
 
 LEAST_IOU = 0.5
+#: Cells of a level are so many times as wide as its boxes, so that most boxes touch one cell only.
+TILE = 16
 
 
 def _diagonal(side: str) -> Column:
@@ -25,8 +27,9 @@ def _levels(boxes: DataFrame, side: str) -> DataFrame:
 
 
 def _spread(boxes: DataFrame, side: str) -> DataFrame:
-    """Each box in the cells of its own level that the centre of a box of that level or a lower one can be in if it meets it: three by three at most."""
-    size, half = F.pow(F.lit(2.0), F.col("_level")), (_diagonal(side) + F.pow(F.lit(2.0), F.col("_level"))) / 2 + 1e-6
+    """Each box in the cells of its own level that the centre of a box of that level or a lower one can be in if it meets it: mostly one, two by two at most."""
+    own = F.pow(F.lit(2.0), F.col("_level"))
+    size, half = TILE * own, (_diagonal(side) + own) / 2 + 1e-6
     touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / size), F.floor((F.col(c) + half) / size)))
     return boxes.withColumn("_level", _level(side)).withColumn("_x", touched(f"{side}_x")).withColumn("_y", touched(f"{side}_y"))
 
@@ -35,16 +38,17 @@ def _placed(boxes: DataFrame, side: str, levels: DataFrame, above: int) -> DataF
     """Each box in the cell of its centre, at each of the levels that is `above` its own or higher."""
     own = _level(side) + above
     rows = boxes.join(F.broadcast(levels)).withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= own))).drop("_levels")  # a row of at most 41 levels
-    size = F.pow(F.lit(2.0), F.col("_level"))
+    size = TILE * F.pow(F.lit(2.0), F.col("_level"))
     return rows.withColumns({"_x": F.floor(F.col(f"{side}_x") / size), "_y": F.floor(F.col(f"{side}_y") / size)})
 
 
 def candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of boxes (columns a_ and b_: x, y, w, l, angle) of equal keys whose circles meet, whatever their sizes.
 
-    The grid is hierarchical: a box belongs to the level whose cells are as wide as its diagonal, or up to
-    twice. The larger box of a pair is spread over the cells about it at its level, the other stands in
-    one cell of that level, so a pair meets once, and joins are on keys, level and cell. Only levels that
+    The grid is hierarchical: a box belongs to the level of its diagonal, from one power of two to the next,
+    whose cells are TILE times as wide. The larger box of a pair is spread over the cells about it at its level,
+    the other stands in one cell of that level, so a pair meets once, and joins are on keys, level and cell.
+    A box that is much smaller than a cell is shuffled about once; inside a cell, circles are compared. Only levels that
     the other side has are used: where all boxes are of one level the second join is empty."""
     cells = [*keys, "_level", "_x", "_y"]
     of_a, of_b = _levels(a, "a"), _levels(b, "b")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymesh import scratch
 from waymesh.functions import geometry as G
@@ -361,12 +361,23 @@ def table_of(schema: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(kinds)).astype({c: _KINDS[k] for c, k in kinds.items()})
 
 
-def with_calendar(detections: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Detections of each tracker, and a row without a batch for each frame (run_id, tracker_id, frame, t) that has none: tracks move and expire there too. Without a column trust all are trusted."""
+def with_calendar(detections: DataFrame, calendar: DataFrame, batches: list[Column] | None = None) -> DataFrame:
+    """Detections of each tracker, and a row without a batch for each frame (run_id, tracker_id, frame, t) that has none: tracks move and expire there too. Without a column trust all are trusted.
+
+    With batches, the order that a frame's batches stand in, they are numbered here. Rows are dealt once, as
+    the tracker wants them: frames are rows beside the detections, and what a frame has is found where it is."""
     if "trust" not in detections.columns:
         detections = detections.withColumn("trust", F.lit(1.0))
-    rows = calendar.join(detections.drop("t"), ["run_id", "tracker_id", "frame"], "left")
-    return rows.select(*INPUT)
+    c = F.col
+    frames = calendar.select("run_id", "tracker_id", "frame", c("t").alias("_t"), F.lit(True).alias("_frame"))
+    rows = detections.drop("t").unionByName(frames, allowMissingColumns=True).repartition("run_id", "tracker_id")
+    frame = Window.partitionBy("run_id", "tracker_id", "frame")
+    if batches is not None:
+        number = F.dense_rank().over(frame.orderBy(c("_frame").asc_nulls_first(), *batches)) - 1
+        rows = rows.withColumn("batch_ord", F.when(c("_frame").isNull(), number))
+    found = F.max(c("_frame").isNull()).over(frame)
+    rows = rows.withColumns({"t": F.max("_t").over(frame), "_known": F.max("_frame").over(frame), "_found": found})
+    return rows.where("_known AND (_frame IS NULL OR NOT _found)").select(*INPUT)
 
 
 def _stepped(detections: DataFrame, schema: str, members: bool, cleanup: float, compat: bool, mode: int, distance: str) -> DataFrame:

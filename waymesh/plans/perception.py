@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waymesh import scratch
 from waymesh.functions import geometry as G, kinematics as K
@@ -276,9 +276,14 @@ def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.thinned(spark, sf_dir).groupBy(*FRAME, "platform_id").agg(F.count("*").alias("detections"), F.count_distinct("object_id").alias("objects"))
 
 
+def batch_order() -> list[Column]:
+    """The sites' batches of a frame in order of site, then those of vehicles."""
+    return [F.desc("kind"), F.asc("platform_id"), F.asc("sensor_idx")]
+
+
 def batches(detections: DataFrame) -> DataFrame:
-    """Adds batch_ord: the sites' batches of a frame in order of site, then those of vehicles."""
-    w = Window.partitionBy(*FRAME).orderBy(F.desc("kind"), "platform_id", "sensor_idx")
+    """Adds batch_ord, by batch_order in a frame."""
+    w = Window.partitionBy(*FRAME).orderBy(*batch_order())
     return detections.withColumn("batch_ord", F.dense_rank().over(w) - 1)
 
 

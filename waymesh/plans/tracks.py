@@ -10,7 +10,6 @@ from waymesh.operators import tracking
 
 from . import views as V
 from . import perception
-from .perception import batches
 from .registry import query
 
 #: Sites' trackers are numbered from here; one more is the tracker of all platforms.
@@ -41,9 +40,9 @@ def platform_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batches(_measured(spark, sf_dir)).withColumn("tracker_id", F.lit(EVERYWHERE).cast("long"))
+    rows = _measured(spark, sf_dir).withColumn("tracker_id", F.lit(EVERYWHERE).cast("long"))
     calendar = V.raw(spark, sf_dir).select("run_id", F.lit(EVERYWHERE).cast("long").alias("tracker_id"), "frame", "t").distinct()
-    return tracking.with_calendar(rows, calendar)
+    return tracking.with_calendar(rows, calendar, batches=perception.batch_order())
 
 
 @query()

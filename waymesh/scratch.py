@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that were handed out and not removed yet.
 _open: list[str] = []
+#: Whether shuffle files go when the job that made them ends. Else they stay until the driver collects its garbage, with those of all jobs of a query.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return _open[-1]
 
 
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage is cut and nothing is computed twice."""
+    """The same rows, read back from a table in the shared folder: lineage is cut and nothing is computed twice. What was shuffled for it is freed."""
     path = path or fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with _freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
