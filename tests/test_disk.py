@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from waymesh import scratch
-from waymesh.operators import scoring, tracking as T
-from waymesh.plans import tracks as plans
+from waymesh.operators import safety, scoring, tracking as T
+from waymesh.plans import perception, registry, tracks as plans, views
+from waymesh.sources import catalogs
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,49 @@ def test_rows_of_trackers_are_dealt_once(spark):
     plan = T.tracks(plans.global_detections(spark, SF), cleanup=0.5)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(run_id#\d+, tracker_id#\d+L?, \d", plan)) == 1
     assert not re.findall(r"Exchange hashpartitioning\(run_id#\d+, (?:tracker_id#\d+L?, )?frame#\d+, \d", plan)
+
+
+def tables(df):
+    """Names of the written tables and files that a result still reads."""
+    return {f.split("/")[-2].split("-")[0] if "-" in f.split("/")[-2] else f.split("/")[-1] for f in df.inputFiles()}
+
+
+def settled(spark, before):
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_reports_count_in_steps(spark):
+    """What each platform sees is counted and scored by then, a step after the other, and the steps' own tables are gone."""
+    before = shuffle_files(spark)
+    with scratch.cleaned(spark):
+        since = len(scratch._open)
+        df = registry.QUERIES["frame_metrics"](spark, SF)
+        assert settled(spark, before)
+        assert "own" in tables(df) and "sightings" not in tables(df)
+        left = [p.split("/")[-1].split("-")[0] for p in scratch._open[since:]]
+        assert left.count("truth") == 1  # of all platforms together; each one's own has been counted
+
+
+def test_own_sides_are_dealt_once(spark):
+    """Truth and detections of a platform are one row of one exchange, and the same rows as each for itself."""
+    with scratch.cleaned(spark):
+        sightings = views.sightings(spark, SF)
+        sides = perception._own_sides(sightings)
+        assert len(re.findall(r"Exchange hashpartitioning\(", sides._jdf.queryExecution().executedPlan().toString())) == 1
+        columns = [*perception.EGO, "object_id", "cx", "cy", "vx", "vy"]
+        for side, want in (("truth", perception._truth_of(sightings, perception.EGO)), ("seen", perception._seen_by_each(sightings))):
+            got = sides.where(F.col("side") == side).select(*columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_counts_of_each_platform_shuffle_objects_once(spark):
+    with scratch.cleaned(spark):
+        sightings = views.sightings(spark, SF)
+        egos = perception._as_egos(views.platforms(spark, SF))
+        counts = safety.violations(egos.drop("kind"), perception._own_sides(sightings), perception.EGO, catalogs.envelopes(spark).where("category = 'Aggressive'"))
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"Exchange hashpartitioning\([^\n]*(side|_rx|_packet)", plan)

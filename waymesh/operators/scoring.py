@@ -73,7 +73,7 @@ def first_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     windows over one side of one set of keys, so nothing is gathered by set; most pairs are the only
     ones of their sides and go in the first. There are as many rounds as the longest chain of pairs
     that wait for each other; their tables are written."""
-    found, left = None, scratch.written(pairs.select(*keys, "det_ord", "gt_ord").distinct(), "pairs")
+    found, left = None, scratch.written(pairs.select(*keys, "det_ord", "gt_ord"), "pairs").distinct()
     while True:
         det, gt = Window.partitionBy(*keys, "det_ord"), Window.partitionBy(*keys, "gt_ord")
         rows = left.withColumn("_gt", F.min("gt_ord").over(det)).withColumn("_taken", (F.min("det_ord").over(gt) == F.col("det_ord")) & (F.col("_gt") == F.col("gt_ord")))

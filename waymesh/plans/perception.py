@@ -203,12 +203,31 @@ METRICS = {
 }
 
 
+def _own_sides(sightings: DataFrame) -> DataFrame:
+    """What each ego can see and what it sees, as sides of its counts: a sighting goes to its ego once, as one row, and is taken apart there."""
+    first = F.row_number().over(Window.partitionBy(*EGO, "object_id").orderBy("sensor_idx")) == 1  # of the sensors that can see an object, one has its truth
+    truth, seen = (F.struct(F.lit(side).alias("side"), F.col(x).alias("cx"), F.col(y).alias("cy")) for side, x, y in (("truth", "true_x", "true_y"), ("seen", "cx", "cy")))
+    rows = sightings.select(*EGO, "sensor_idx", "object_id", "true_x", "true_y", "cx", "cy", "vx", "vy", "seen").repartition(*EGO).withColumn("_first", first)
+    sides = F.array_compact(F.array(F.when(F.col("_first"), truth), F.when(F.col("seen"), seen)))
+    return rows.select(*EGO, "object_id", "vx", "vy", F.inline(sides))
+
+
+def _own_metrics(egos: DataFrame, sightings: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """A row for each ego on what it can see and sees. Scores, then counts, so that the disk holds what one of them shuffles."""
+    spark = egos.sparkSession
+    scores = scratch.alone(spark, "scores", lambda: _scores(_seen_by_each(sightings), _truth_of(sightings, EGO), EGO).select(*EGO, "f1", "truths"))
+
+    def rows() -> DataFrame:
+        own = _confused(safety.violations(egos.drop("kind"), _own_sides(sightings), EGO, envelopes.where("category = 'Aggressive'")))
+        return own.join(egos.select(*EGO, F.col("kind").alias("source")), EGO).join(scores, EGO, "left").na.fill(0, ["f1", "truths"])
+
+    return scratch.alone(spark, "own", rows)
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vehicle (CAV) and site (CIS) on what it can see and sees; for each vehicle on what all can and see (Global), and one more, without an ego, with the frame's score."""
     envelopes, egos, sightings = catalogs.envelopes(spark), _as_egos(V.platforms(spark, sf_dir)), V.sightings(spark, sf_dir)
-    own_truth, own_seen = _truth_of(sightings, EGO), _seen_by_each(sightings)
-    own = _confused(_counted(egos, own_truth, own_seen, EGO, envelopes))
-    own = own.join(egos.select(*EGO, F.col("kind").alias("source")), EGO).join(_scores(own_seen, own_truth, EGO).select(*EGO, "f1", "truths"), EGO, "left").na.fill(0, ["f1", "truths"])
+    own = _own_metrics(egos, sightings, envelopes)
     return own.unionByName(_global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes).select(*own.columns))
 
 

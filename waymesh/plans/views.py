@@ -89,14 +89,17 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.perturbed(thinned(spark, sf_dir), SEED, *KEYS)
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every platform can see, at its true place (true_x, true_y) and where it would be detected, with the expected covariance; and whether it is (seen).
-
-    Reports take it apart in many ways, so it is written."""
+def sighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every platform can see, at its true place (true_x, true_y) and where it would be detected, with the expected covariance; and whether it is (seen)."""
     rows = budgeted(spark, sf_dir).withColumns({"true_x": F.col("cx"), "true_y": F.col("cy"), "seen": seeded.uniform(SEED, "detect", *KEYS) <= F.col("probability")})
     cov = sensing.expected_covariance(F.col("distance_error"), F.col("radial_error"), F.col("bearing"))
     rows = augment.perturbed(rows, SEED, *KEYS).withColumns(dict(zip(("c00", "c01", "c11"), cov, strict=True)))
-    return scratch.written(rows.select("run_id", "frame", F.col("platform_id").alias("ego_id"), "sensor_idx", "slot", "object_id", "true_x", "true_y", "cx", "cy", "vx", "vy", "width", "length", "c00", "c01", "c11", "seen"), "sightings")
+    return rows.select("run_id", "frame", F.col("platform_id").alias("ego_id"), "sensor_idx", "slot", "object_id", "true_x", "true_y", "cx", "cy", "vx", "vy", "width", "length", "c00", "c01", "c11", "seen")
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; reports take it apart in many ways, so it is written."""
+    return scratch.written(sighted(spark, sf_dir), "sightings")
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:

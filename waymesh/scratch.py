@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +70,10 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         clean(spark, since)
+
+
+def alone(spark: SparkSession, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a step, written; what the step wrote on its way is deleted, and what it shuffled freed, before the next one."""
+    path = fresh_dir(spark, name)
+    with cleaned(spark):
+        return written(rows(), name, path)
