@@ -89,3 +89,11 @@ def test_counts_of_each_platform_shuffle_objects_once(spark):
         counts = safety.violations(egos.drop("kind"), perception._own_sides(sightings), perception.EGO, catalogs.envelopes(spark).where("category = 'Aggressive'"))
         plan = counts._jdf.queryExecution().executedPlan().toString()
         assert not re.findall(r"Exchange hashpartitioning\([^\n]*(side|_rx|_packet)", plan)
+
+
+def test_scores_write_no_covariances(spark):
+    with scratch.cleaned(spark):
+        since = len(scratch._open)
+        registry.QUERIES["detection_f1"](spark, SF)
+        written = {p.split("/")[-1].split("-")[0]: p for p in scratch._open[since:]}
+        assert not {"c00", "c01", "c11"} & set(spark.read.parquet(written["sightings"]).columns)

@@ -180,7 +180,7 @@ def _scores(seen: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(sql(f"SELECT run_id, frame, ego_id, truths, detections, matches, {r('f1')} FROM platform_truth_scores", **SCORES))
 def detection_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sightings = V.sightings(spark, sf_dir)
+    sightings = scratch.written(V.sighted(spark, sf_dir).drop("c00", "c01", "c11"), "sightings")  # no score needs covariances
     return clean(_scores(_seen_by_each(sightings), _truth_of(sightings, EGO), EGO), *EGO, "truths", "detections", "matches", "f1")
 
 
