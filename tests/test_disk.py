@@ -97,3 +97,11 @@ def test_scores_write_no_covariances(spark):
         registry.QUERIES["detection_f1"](spark, SF)
         written = {p.split("/")[-1].split("-")[0]: p for p in scratch._open[since:]}
         assert not {"c00", "c01", "c11"} & set(spark.read.parquet(written["sightings"]).columns)
+
+
+def test_metrics_of_tracks_write_no_sightings(spark):
+    with scratch.cleaned(spark):
+        since = len(scratch._open)
+        df = registry.QUERIES["global_track_metrics"](spark, SF)
+        assert {p.split("/")[-1].split("-")[0] for p in scratch._open[since:]} == {"seen", "truth", "pairs"}
+        assert df.where("f1 > 0").count() > 0

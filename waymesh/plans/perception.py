@@ -233,7 +233,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_metrics(spark: SparkSession, sf_dir: str, seen: DataFrame) -> DataFrame:
     """The Global rows on what all platforms can see, against the given objects (run_id, frame, det_ord, object_id, cx, cy, vx, vy, width, length)."""
-    truths = _truth_of(V.sightings(spark, sf_dir), FRAME)
+    truths = _truth_of(V.sighted(spark, sf_dir), FRAME)  # read once, and only what is there to see
     rows = _global_metrics(_egos(spark, sf_dir), truths, seen, catalogs.envelopes(spark))
     return clean(rows, "run_id", "source", "ego_id", "frame", *report.COUNTERS, "f1")
 
