@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymesh import scratch
@@ -58,12 +59,13 @@ def settled(spark, before):
     return False
 
 
-def test_reports_count_in_steps(spark):
+@pytest.mark.parametrize("name", ["frame_metrics"])
+def test_reports_count_in_steps(spark, name):
     """What each platform sees is counted and scored by then, a step after the other, and the steps' own tables are gone."""
     before = shuffle_files(spark)
     with scratch.cleaned(spark):
         since = len(scratch._open)
-        df = registry.QUERIES["frame_metrics"](spark, SF)
+        df = registry.QUERIES[name](spark, SF)
         assert settled(spark, before)
         assert "own" in tables(df) and "sightings" not in tables(df)
         left = [p.split("/")[-1].split("-")[0] for p in scratch._open[since:]]
@@ -105,3 +107,16 @@ def test_metrics_of_tracks_write_no_sightings(spark):
         df = registry.QUERIES["global_track_metrics"](spark, SF)
         assert {p.split("/")[-1].split("-")[0] for p in scratch._open[since:]} == {"seen", "truth", "pairs"}
         assert df.where("f1 > 0").count() > 0
+
+
+def written_for(spark, name):
+    since = len(scratch._open)
+    df = registry.QUERIES[name](spark, SF)
+    return df, {p.split("/")[-1].split("-")[0] for p in scratch._open[since:]}
+
+
+def test_mean_scores_count_no_violations(spark):
+    with scratch.cleaned(spark):
+        df, names = written_for(spark, "mean_f1")
+        assert "scores" in names and "own" not in names
+        assert "members" not in df._jdf.queryExecution().optimizedPlan().toString()  # of packets, of the Global counts

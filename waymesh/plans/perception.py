@@ -212,23 +212,25 @@ def _own_sides(sightings: DataFrame) -> DataFrame:
     return rows.select(*EGO, "object_id", "vx", "vy", F.inline(sides))
 
 
-def _own_metrics(egos: DataFrame, sightings: DataFrame, envelopes: DataFrame) -> DataFrame:
+def _own_metrics(egos: DataFrame, sightings: DataFrame, envelopes: DataFrame, scored: bool, counted: bool) -> DataFrame:
     """A row for each ego on what it can see and sees. Scores, then counts, so that the disk holds what one of them shuffles."""
     spark = egos.sparkSession
-    scores = scratch.alone(spark, "scores", lambda: _scores(_seen_by_each(sightings), _truth_of(sightings, EGO), EGO).select(*EGO, "f1", "truths"))
-
-    def rows() -> DataFrame:
-        own = _confused(safety.violations(egos.drop("kind"), _own_sides(sightings), EGO, envelopes.where("category = 'Aggressive'")))
-        return own.join(egos.select(*EGO, F.col("kind").alias("source")), EGO).join(scores, EGO, "left").na.fill(0, ["f1", "truths"])
-
-    return scratch.alone(spark, "own", rows)
-
-
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each vehicle (CAV) and site (CIS) on what it can see and sees; for each vehicle on what all can and see (Global), and one more, without an ego, with the frame's score."""
+    own = egos.select(*EGO, F.col("kind").alias("source"))
+    if scored:
+        scores = scratch.alone(spark, "scores", lambda: _scores(_seen_by_each(sightings), _truth_of(sightings, EGO), EGO).select(*EGO, "f1", "truths"))
+        own = own.join(scores, EGO, "left").na.fill(0, ["f1", "truths"])
+    if not counted:
+        return own
+    counts = _confused(safety.violations(egos.drop("kind"), _own_sides(sightings), EGO, envelopes.where("category = 'Aggressive'")))
+    return scratch.alone(spark, "own", lambda: counts.join(own, EGO))
+
+
+def _metrics(spark: SparkSession, sf_dir: str, scored: bool = True, counted: bool = True) -> DataFrame:
+    """A row for each vehicle (CAV) and site (CIS) on what it can see and sees; for each vehicle on what all can and see (Global), and one more, without an ego, with the frame's score. The same rows without scores or without counts for reports that have no use for them."""
     envelopes, egos, sightings = catalogs.envelopes(spark), _as_egos(V.platforms(spark, sf_dir)), V.sightings(spark, sf_dir)
-    own = _own_metrics(egos, sightings, envelopes)
-    return own.unionByName(_global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes).select(*own.columns))
+    own = _own_metrics(egos, sightings, envelopes, scored, counted)
+    everyone = _global_metrics(_egos(spark, sf_dir), _truth_of(sightings, FRAME), _seen_by_all(sightings), envelopes, scored, counted)
+    return own.unionByName(everyone.select(*own.columns))
 
 
 def global_metrics(spark: SparkSession, sf_dir: str, seen: DataFrame) -> DataFrame:
@@ -238,9 +240,13 @@ def global_metrics(spark: SparkSession, sf_dir: str, seen: DataFrame) -> DataFra
     return clean(rows, "run_id", "source", "ego_id", "frame", *report.COUNTERS, "f1")
 
 
-def _global_metrics(cavs: DataFrame, truths: DataFrame, seen: DataFrame, envelopes: DataFrame) -> DataFrame:
-    rows = _confused(_counted(cavs, truths, seen, FRAME, envelopes)).withColumns({"f1": F.lit(0.0), "truths": F.lit(0).cast("long")})
-    frames = _scores(seen, truths, FRAME).withColumns({"ego_id": F.lit(None).cast("string")} | {c: F.lit(0).cast("long") for c in report.COUNTERS})
+def _global_metrics(cavs: DataFrame, truths: DataFrame, seen: DataFrame, envelopes: DataFrame, scored: bool = True, counted: bool = True) -> DataFrame:
+    nothing = {c: F.lit(0).cast("long") for c in report.COUNTERS}
+    unscored = {"f1": F.lit(0.0), "truths": F.lit(0).cast("long")}
+    rows = _confused(_counted(cavs, truths, seen, FRAME, envelopes)) if counted else cavs.select(*EGO).withColumns(nothing)
+    rows = rows.withColumns(unscored)
+    frames = _scores(seen, truths, FRAME) if scored else truths.select(*FRAME).distinct().withColumns(unscored)
+    frames = frames.withColumns({"ego_id": F.lit(None).cast("string")} | nothing)
     return rows.unionByName(frames.select(*rows.columns)).withColumn("source", F.lit("Global"))
 
 
@@ -262,7 +268,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT run_id, source, {r('sum(CASE WHEN f1 <> 0 AND truths > 0 THEN f1 ELSE 0 END)', 'score_sum')}, count(*) FILTER (f1 <> 0 AND truths > 0) AS scored_frames, {r('coalesce(sum(f1) FILTER (f1 <> 0 AND truths > 0) / nullif(count(*) FILTER (f1 <> 0 AND truths > 0), 0), 0)', 'mean_score')} FROM metrics GROUP BY ALL", **METRICS))
 def mean_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(report.mean_score(_metrics(spark, sf_dir), ["run_id", "source"], "f1", "truths"), "run_id", "source", "score_sum", "scored_frames", "mean_score")
+    return clean(report.mean_score(_metrics(spark, sf_dir, counted=False), ["run_id", "source"], "f1", "truths"), "run_id", "source", "score_sum", "scored_frames", "mean_score")
 
 
 _LONG = " UNION ALL ".join(f"SELECT run_id, source || ' {c}' AS metric, CAST({c} AS DOUBLE) AS total FROM totals" for c in [*report.COUNTERS, "f1_sum", "platform_frames", "steps"])
