@@ -120,3 +120,9 @@ def test_mean_scores_count_no_violations(spark):
         df, names = written_for(spark, "mean_f1")
         assert "scores" in names and "own" not in names
         assert "members" not in df._jdf.queryExecution().optimizedPlan().toString()  # of packets, of the Global counts
+
+
+def test_progress_needs_no_scores(spark):
+    with scratch.cleaned(spark):
+        _, names = written_for(spark, "progress_report")
+        assert "own" in names and not {"scores", "pairs"} & names

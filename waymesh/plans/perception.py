@@ -286,7 +286,7 @@ _FRAME_SUMS = {**METRICS, "frames": "SELECT run_id, source, frame, CAST(sum(enve
 
 @query(sql("SELECT * FROM (SELECT run_id, source, frame, CAST(sum(envelope_truth) OVER w AS BIGINT) AS envelope_truth, CAST(sum(ttc_seen) OVER w AS BIGINT) AS ttc_seen FROM frames WINDOW w AS (PARTITION BY run_id, source ORDER BY frame)) WHERE frame % 100 = 0", **_FRAME_SUMS))
 def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _metrics(spark, sf_dir).groupBy("source", *FRAME).agg(F.sum("envelope_truth").alias("envelope_truth"), F.sum("ttc_seen").alias("ttc_seen"))
+    frames = _metrics(spark, sf_dir, scored=False).groupBy("source", *FRAME).agg(F.sum("envelope_truth").alias("envelope_truth"), F.sum("ttc_seen").alias("ttc_seen"))
     return report.running(frames, ["envelope_truth", "ttc_seen"], keys=("run_id", "source"))
 
 
