@@ -59,7 +59,7 @@ def settled(spark, before):
     return False
 
 
-@pytest.mark.parametrize("name", ["frame_metrics", "run_totals"])
+@pytest.mark.parametrize("name", ["frame_metrics", "run_totals", "totals_long"])
 def test_reports_count_in_steps(spark, name):
     """What each platform sees is counted and scored by then, a step after the other, and the steps' own tables are gone."""
     before = shuffle_files(spark)
